@@ -21,6 +21,14 @@ def mean_text2(total: Column, n: Column) -> Column:
     return F.bround(total.cast("decimal(24,2)") / n.cast("decimal(18,0)"), 2).cast("string")
 
 
+def mean(total: Column, n: Column) -> Column:
+    """The mean ``total / n`` as the double nearest to it; NULL when ``n`` is 0.
+
+    Both sides are made whole numbers first, so that there is one rounding and not two.
+    """
+    return (total * 100).cast("double") / F.nullif(n * 100, F.lit(0)).cast("double")
+
+
 def mean2(total: Column, n: Column) -> Column:
     """The exact mean ``total / n`` rounded to two decimals; halves go away from zero."""
     return F.round(total / F.nullif(n, F.lit(0)), 2)

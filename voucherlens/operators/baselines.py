@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voucherlens import schema as S
-from voucherlens.functions.money import mean_text2, text2
+from voucherlens.functions.money import mean, mean_text2, text2
 from voucherlens.operators.flags import flag, flag_rows
 
 
@@ -22,9 +22,7 @@ def vendor_baselines(clean: DataFrame, key: str = "vendor_id",
         F.sum(value).alias("baseline_total"),
         F.stddev_samp(F.col(value).cast("double")).alias("std_dev"),
     )
-    return out.withColumn(
-        "baseline",
-        F.col("baseline_total").cast("double") / F.nullif(F.col("baseline_n"), F.lit(0)))
+    return out.withColumn("baseline", mean(F.col("baseline_total"), F.col("baseline_n")))
 
 
 def z_score(value: str = "amount") -> Column:

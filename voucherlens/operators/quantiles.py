@@ -11,6 +11,7 @@ however many rows a category has.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -59,7 +60,10 @@ def rank_buckets(df: DataFrame, key: str, value: str, probs: Sequence[float]) ->
 
 def percentiles_in_buckets(df: DataFrame, targets: DataFrame, key: str, value: str,
                            n_probs: int) -> DataFrame:
-    """Second pass. Reads the values at the ranks found by :func:`rank_buckets`."""
+    """Second pass. Reads the values at the ranks found by :func:`rank_buckets`.
+
+    Interpolates in decimals with four digits, which is exact for quartiles of amounts.
+    """
     buckets = targets.select("_key", "_target").distinct()
     counts = (df.where(F.col(value).isNotNull())
               .select(key, F.col(value).alias("_value"), _bucket(F.col(value)).alias("_bucket"))
@@ -71,14 +75,14 @@ def percentiles_in_buckets(df: DataFrame, targets: DataFrame, key: str, value: s
         targets,
         (F.col(key) == F.col("_key")) & (F.col("_bucket") == F.col("_target"))
         & (F.col("rank_in_bucket") >= F.col("_before")) & (F.col("rank_in_bucket") < F.col("_upto")))
-    x = F.col("_value").cast("double")
+    x = F.col("_value").cast(S.MONEY)
 
     def pick(i: int, side: str) -> Column:
         return F.max(F.when((F.col("prob") == i) & (F.col("side") == side), x))
 
     def at(i: int) -> Column:
-        frac = F.max(F.when(F.col("prob") == i, F.col("frac")))
-        return pick(i, "lo") + (pick(i, "hi") - pick(i, "lo")) * frac
+        frac = F.max(F.when(F.col("prob") == i, F.col("frac"))).cast("decimal(9,8)")
+        return (pick(i, "lo") + (pick(i, "hi") - pick(i, "lo")) * frac).cast("decimal(18,4)")
 
     return found.groupBy(key).agg(*[at(i).alias(f"p{i}") for i in range(n_probs)])
 
@@ -91,11 +95,11 @@ def iqr_fences(clean: DataFrame, stage: Callable[[DataFrame, str], DataFrame],
     iqr = F.col("q3") - F.col("q1")
     return (q.select(key, F.col("p0").alias("q1"), F.col("p1").alias("q3"))
             .withColumn("iqr", iqr)
-            .withColumn("upper_fence", F.col("q3") + F.lit(k) * F.col("iqr")))
+            .withColumn("upper_fence", F.col("q3") + F.lit(Decimal(str(k))) * F.col("iqr")))
 
 
 def is_outlier(value: str = "amount") -> Column:
-    return F.col(value).cast("double") > F.col("upper_fence")
+    return F.col(value) > F.col("upper_fence")
 
 
 def iqr_finding(value: str = "amount") -> Column:
@@ -104,7 +108,8 @@ def iqr_finding(value: str = "amount") -> Column:
                        F.lit(" | Upper fence: "), text2(F.col("upper_fence")),
                        F.lit(" | IQR: "), text2(F.col("iqr")))
     return flag(S.IQR_OUTLIER, S.MEDIUM, details,
-                score=amount.cast("double") / F.nullif(F.col("upper_fence"), F.lit(0.0)),
+                score=amount.cast("double")
+                / F.nullif(F.col("upper_fence").cast("double"), F.lit(0.0)),
                 baseline=F.col("q3"), threshold=F.col("upper_fence"))
 
 

@@ -100,11 +100,11 @@ def is_spike(factor: int | float = 3, value: str = "amount") -> Column:
 
 
 def rolling_mean() -> Column:
-    return F.col("prev_cents") / F.lit(100.0) / F.nullif(F.col("prev_n"), F.lit(0))
+    return F.col("prev_cents") / F.nullif(F.col("prev_n") * 100, F.lit(0))
 
 
 def spike_ratio(value: str = "amount") -> Column:
-    return F.col(value).cast("double") / F.nullif(rolling_mean(), F.lit(0.0))
+    return (cents(F.col(value)) * F.col("prev_n")) / F.nullif(F.col("prev_cents"), F.lit(0))
 
 
 def spike_finding(factor: int | float = 3, value: str = "amount") -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voucherlens import schema as S
-from voucherlens.functions.money import pct2
+from voucherlens.functions.money import mean, pct2
 
 
 def vendor_facts(audited: DataFrame, cutoff: dt.date) -> DataFrame:
@@ -47,7 +47,7 @@ def signal_magnitude(facts: DataFrame) -> DataFrame:
     """Mean z-score of the vendor's z-score flags, each taken with two decimals."""
     return (facts.where(F.col("z_flags") > 0)
             .select("vendor_id",
-                    (F.col("z_total").cast("double") / F.col("z_flags")).alias("avg_zscore")))
+                    mean(F.col("z_total"), F.col("z_flags")).alias("avg_zscore")))
 
 
 def signal_high_severity(facts: DataFrame) -> DataFrame:
@@ -73,8 +73,7 @@ def magnitude_from_text(flags: DataFrame) -> DataFrame:
             .agg(F.sum(z.try_cast("decimal(18,2)")).alias("z_total"),
                  F.count(z.try_cast("decimal(18,2)")).alias("z_flags"))
             .select("vendor_id",
-                    (F.col("z_total").cast("double") / F.nullif(F.col("z_flags"), F.lit(0)))
-                    .alias("avg_zscore")))
+                    mean(F.col("z_total"), F.col("z_flags")).alias("avg_zscore")))
 
 
 def vendor_signals(facts: DataFrame) -> DataFrame:
@@ -83,7 +82,7 @@ def vendor_signals(facts: DataFrame) -> DataFrame:
     return facts.select(
         "vendor_id",
         pct2(F.col("flagged_invoices"), F.col("total_invoices")).alias("frequency"),
-        (F.col("z_total").cast("double") / F.nullif(F.col("z_flags"), F.lit(0))).alias("magnitude"),
+        mean(F.col("z_total"), F.col("z_flags")).alias("magnitude"),
         pct2(F.col("high_invoices"), F.col("total_invoices")).alias("validation"),
         F.when(any_flag, F.coalesce(pct2(F.col("recent_flags"), F.col("older_flags")),
                                     F.lit(100.0))).alias("recency"),
