@@ -1,0 +1,191 @@
+import math
+import random
+from decimal import Decimal
+
+import pytest
+from conftest import day, ids
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from voucherlens.operators import baselines, quantiles, rolling
+from voucherlens.plans import audit
+from voucherlens.schema import AuditParams
+
+
+def fixed_baseline(spark, mean, sd):
+    return spark.createDataFrame(
+        [(1, 4, Decimal(mean * 4), float(sd), float(mean))],
+        "vendor_id long, baseline_n long, baseline_total decimal(22,2), std_dev double, baseline double")
+
+
+def test_z_thresholds_are_strict(spark, invoices):
+    inv = invoices(dict(amount=120), dict(amount="120.01"), dict(amount=130), dict(amount="130.01"),
+                   dict(amount=50))
+    found = {r.invoice_id: r.severity for r in
+             baselines.detect_zscore(inv, baselines=fixed_baseline(spark, 100, 10)).collect()}
+    assert found == {"I001": "MEDIUM", "I002": "MEDIUM", "I003": "HIGH"}
+
+
+def test_one_row_vendor_and_constant_vendor_have_z_zero(invoices):
+    inv = invoices(dict(vendor_id=1, amount=10), dict(vendor_id=2, amount=5), dict(vendor_id=2, amount=5))
+    assert {r.z_score for r in baselines.with_zscore(inv).collect()} == {0.0}
+    assert baselines.detect_zscore(inv).count() == 0
+
+
+def test_baseline_join_equals_window(invoices):
+    rnd = random.Random(1)
+    inv = invoices(*[dict(vendor_id=rnd.choice([1, 2, None]), amount=rnd.randint(1, 10 ** 6))
+                     for _ in range(200)])
+    w = Window.partitionBy("vendor_id")
+    x = F.col("amount").cast("double")
+    want = {r.invoice_id: r.z for r in inv.select(
+        "invoice_id", ((x - F.avg(x).over(w)) / F.stddev_samp(x).over(w)).alias("z")).collect()}
+    got = {r.invoice_id: r.z_score for r in baselines.with_zscore(inv).collect()}
+    assert got.keys() == want.keys()
+    assert all(math.isclose(got[k], want[k], rel_tol=1e-9, abs_tol=1e-9) for k in want)
+
+
+def test_zscore_text(spark, invoices):
+    found = baselines.detect_zscore(invoices(dict(amount="130.05")),
+                                    baselines=fixed_baseline(spark, 100, 10)).first()
+    assert found.details == "Z-score: 3.01 | Amount: 130.05 | Baseline: 100.00 | StdDev: 10.00"
+    assert (found.baseline, found.threshold) == (100.0, 2.0)
+
+
+def test_spike_is_strict_and_the_first_invoice_is_never_one(invoices):
+    inv = invoices(dict(amount=900), dict(amount=100, vendor_id=2), dict(amount=300, vendor_id=2),
+                   dict(amount="600.01", vendor_id=2))
+    found = rolling.detect_rolling_spike(inv).collect()
+    assert [r.invoice_id for r in found] == ["I003"]
+    assert found[0].details == "Spike ratio: 3.00x | Amount: 600.01 | Rolling avg: 200.00"
+
+
+def test_printed_mean_rounds_halves_to_even(invoices):
+    inv = invoices(dict(amount="0.01"), dict(amount="0.02"), dict(amount=1))
+    assert rolling.detect_rolling_spike(inv).first().details.endswith("Rolling avg: 0.02")
+    inv = invoices(dict(amount="0.02"), dict(amount="0.03"), dict(amount=1))
+    assert rolling.detect_rolling_spike(inv).first().details.endswith("Rolling avg: 0.02")
+
+
+def test_frame_is_thirty_rows_and_ties_go_by_id(invoices):
+    inv = invoices(*[dict(amount=i + 1, invoice_date=day(0)) for i in range(40)])
+    rows = {r.invoice_id: r for r in rolling.with_preceding(inv).collect()}
+    assert (rows["I000"].prev_n, rows["I000"].prev_cents) == (0, None)
+    assert (rows["I005"].prev_n, rows["I005"].prev_cents) == (5, 1500)
+    assert (rows["I035"].prev_n, rows["I035"].prev_cents) == (30, 100 * sum(range(6, 36)))
+
+
+@pytest.mark.parametrize("block,parts", [(1, 3), (31, 4), (50, 7), (1000, 2)])
+def test_blocks_equal_the_plain_window(invoices, stage, block, parts):
+    rnd = random.Random(block)
+    inv = invoices(*[dict(vendor_id=rnd.choice([1, 1, 1, 1, 2, None, 3 + i]), amount=rnd.randint(1, 999),
+                          invoice_date=day(rnd.randint(0, 20))) for i in range(400)])
+    cols = ["invoice_id", "vendor_id", "amount", "prev_n", "prev_cents"]
+    want = sorted(rolling.with_preceding(inv).select(*cols).collect(), key=str)
+    cut = rolling.with_preceding_in_blocks(inv, block, parts, stage)
+    assert sorted(cut.select(*cols).collect(), key=str) == want
+    assert cut.columns == inv.columns + ["prev_n", "prev_cents"]
+
+
+@given(st.lists(st.tuples(st.integers(0, 2), st.integers(0, 3), st.integers(1, 99)), max_size=60),
+       st.integers(1, 5), st.integers(1, 4))
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+def test_blocks_equal_the_plain_window_for_any_rows(invoices, stage, rows, frame, parts):
+    inv = invoices(*[dict(vendor_id=v, invoice_date=day(d), amount=a) for v, d, a in rows])
+    cols = ["invoice_id", "prev_n", "prev_cents"]
+    want = rolling.with_preceding(inv, rows=frame).select(*cols)
+    cut = rolling.with_preceding_in_blocks(inv, frame, parts, stage, rows=frame).select(*cols)
+    assert sorted(cut.collect(), key=str) == sorted(want.collect(), key=str)
+
+
+def test_only_big_vendors_are_cut(invoices, stage):
+    inv = invoices(*[dict(vendor_id=1 if i % 4 else None if i % 8 else 2, amount=i + 1)
+                     for i in range(200)])
+    sizes = stage(baselines.vendor_baselines(inv), "sizes")
+    names = []
+
+    def spy(df, name):
+        names.append(name)
+        return stage(df, name)
+
+    cols = ["invoice_id", "prev_n", "prev_cents"]
+    want = sorted(rolling.with_preceding(inv).select(*cols).collect())
+    for limit, staged in ((1000, 0), (60, 2), (10, 2)):
+        names.clear()
+        got = rolling.with_preceding_by_size(inv, sizes, limit, spy)
+        assert sorted(got.select(*cols).collect()) == want
+        assert len(names) == staged
+
+
+def exact(df, key, value, stage, probs):
+    targets = stage(quantiles.rank_buckets(df, key, value, probs), "targets")
+    got = quantiles.percentiles_in_buckets(df, targets, key, value, len(probs))
+    return {r[0]: tuple(float(x) for x in r[1:]) for r in got.collect()}
+
+
+def builtin(df, key, value, probs):
+    want = df.groupBy(key).agg(*[F.percentile(F.col(value).cast("double"), p) for p in probs])
+    return {r[0]: tuple(round(x, 4) for x in r[1:]) for r in want.collect() if r[0] is not None}
+
+
+@pytest.mark.parametrize("top", [300, 10 ** 5, 10 ** 9])
+def test_percentiles_equal_the_built_in(invoices, stage, top):
+    rnd = random.Random(top)
+    inv = invoices(*[dict(category_id=rnd.choice([1, 1, 1, 2, 3, None]),
+                          amount=Decimal(rnd.randint(-top, top)) / 100) for _ in range(500)])
+    probs = (0.0, 0.25, 0.5, 0.75, 1.0)
+    assert exact(inv, "category_id", "amount", stage, probs) == builtin(
+        inv, "category_id", "amount", probs)
+
+
+@given(st.lists(st.tuples(st.integers(1, 2), st.integers(1, 4 * 10 ** 6)), min_size=1, max_size=40))
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+def test_quartiles_equal_the_built_in_for_any_rows(invoices, stage, rows):
+    inv = invoices(*[dict(category_id=c, amount=Decimal(a) / 100) for c, a in rows])
+    probs = (0.25, 0.75)
+    assert exact(inv, "category_id", "amount", stage, probs) == builtin(
+        inv, "category_id", "amount", probs)
+
+
+def test_fence_is_strict(invoices, stage):
+    # quartiles 20 and 40, fence 70
+    base = [10, 20, 30, 40]
+    inv = invoices(*[dict(amount=a) for a in base], dict(amount=70), dict(category_id=None, amount=999))
+    fences = stage(quantiles.iqr_fences(inv, stage), "fences")
+    row = fences.first()
+    assert (row.q1, row.q3, row.iqr, row.upper_fence) == (20, 40, 20, 70)
+    assert quantiles.detect_iqr(inv, fences).count() == 0
+    more = invoices(dict(amount="70.01"), dict(amount=70))
+    found = quantiles.detect_iqr(more, fences).collect()
+    assert [r.invoice_id for r in found] == ["I000"]
+    assert found[0].details == "Amount: 70.01 | Upper fence: 70.00 | IQR: 20.00"
+
+
+def test_all_detectors_read_the_same_clean_rows(invoices, vendors, stage):
+    """A flagged invoice takes part in no baseline, frame or quartile."""
+    rows = [dict(amount=100 + i % 3, invoice_date=day(i)) for i in range(20)]
+    wild = [dict(amount=10 ** 6, state_code="09", invoice_date=day(5)) for _ in range(3)]
+    ven = vendors((1, "07"))
+    with_wild = audit.find_outliers(
+        stage(audit.validate(invoices(*rows, *wild), ven, stage), "v"), stage)
+    assert with_wild.where("validation_status = 'FLAGGED'").count() == 3
+    assert ids(with_wild.where("validation_status = 'FLAGGED'")) == ["I020", "I021", "I022"]
+
+
+@pytest.mark.parametrize("limit", [5_000_000, 12])
+def test_column_and_table_form_of_the_detectors_agree(invoices, vendors, stage, limit):
+    rnd = random.Random(5)
+    inv = invoices(*[dict(vendor_id=rnd.choice([1, 2, None]), category_id=rnd.choice([1, 2, None]),
+                          amount=rnd.choice([100, 110, 120, 2000]) + i / 100) for i in range(150)])
+    validated = stage(audit.validate(inv, vendors((1, "07"), (2, "07")), stage), "v")
+    got = audit.find_outliers(validated, stage, AuditParams(max_group_rows=limit))
+    clean = audit.clean_rows(validated)
+    fences = stage(quantiles.iqr_fences(clean, stage), "f")
+    want = (baselines.detect_zscore(clean).unionByName(rolling.detect_rolling_spike(clean))
+            .unionByName(quantiles.detect_iqr(clean, fences)))
+    table = got.select("invoice_id", "vendor_id", F.inline("flags"))
+    assert table.count() > 20
+    assert sorted(table.drop("score").collect(), key=str) == sorted(
+        want.drop("score").collect(), key=str)

@@ -32,9 +32,20 @@ def flag(flag_type: str, severity: str | Column, details: Column, *, score: Colu
     )
 
 
+def no_flags() -> Column:
+    return F.array().cast(f"array<{S.FLAG.simpleString()}>")
+
+
 def collect_flags(*candidates: tuple[Column, Column]) -> Column:
-    """The array of those findings whose condition holds."""
-    return F.array_compact(F.array(*[F.when(cond, finding) for cond, finding in candidates]))
+    """The array of those findings whose condition holds.
+
+    Most invoices have none; they skip the array functions, which are not code-generated.
+    """
+    any_holds = candidates[0][0]
+    for cond, _ in candidates[1:]:
+        any_holds = any_holds | cond
+    found = F.array_compact(F.array(*[F.when(cond, finding) for cond, finding in candidates]))
+    return F.when(any_holds, found).otherwise(no_flags())
 
 
 def flag_table(flagged: DataFrame) -> DataFrame:
@@ -80,7 +91,6 @@ def attach_flags(inv: DataFrame, flags: DataFrame) -> DataFrame:
     per_invoice = (flags.dropDuplicates(["invoice_id", "flag_type"])
                    .groupBy("invoice_id")
                    .agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("flags")))
-    empty = F.array().cast(f"array<{S.FLAG.simpleString()}>")
     return (inv.drop("flags", "validation_status").join(per_invoice, "invoice_id", "left")
-            .withColumn("flags", F.coalesce("flags", empty))
+            .withColumn("flags", F.coalesce("flags", no_flags()))
             .withColumn("validation_status", status_of(F.col("flags"))))

@@ -21,9 +21,9 @@ def vendor_facts(audited: DataFrame, cutoff: dt.date) -> DataFrame:
     """
     known = F.col("vendor_id").isNotNull()
     n_flags = F.size("flags")
-    is_high = F.exists("flags", lambda f: f["severity"] == S.HIGH)
-    z = F.get(F.filter("flags", lambda f: f["flag_type"] == S.STATISTICAL_ZSCORE), F.lit(0))
-    z2 = F.round(z["score"], 2).cast("decimal(18,2)")
+    is_high = (n_flags > 0) & F.exists("flags", lambda f: f["severity"] == S.HIGH)
+    z = F.filter("flags", lambda f: f["flag_type"] == S.STATISTICAL_ZSCORE)
+    z2 = F.when(n_flags > 0, F.round(F.get(z, F.lit(0))["score"], 2).cast("decimal(18,2)"))
     recent = F.col("invoice_date") >= F.lit(cutoff)
     older = F.col("invoice_date") < F.lit(cutoff)
     return audited.groupBy("vendor_id").agg(

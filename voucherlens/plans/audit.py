@@ -16,9 +16,15 @@ from voucherlens.plans import reports
 Staging = Callable[[DataFrame, str], DataFrame]
 
 
-def validate(inv: DataFrame, vendors: DataFrame, stage: Staging) -> DataFrame:
-    """Layer 1: ``inv`` with the findings of the rule checks and a status."""
-    groups = stage(rules.duplicate_groups(inv), "duplicate_groups")
+def validate(inv: DataFrame, vendors: DataFrame, stage: Staging,
+             inv_keys: DataFrame | None = None) -> DataFrame:
+    """Layer 1: ``inv`` with the findings of the rule checks and a status.
+
+    ``inv_keys`` may give the columns of the duplicate check by a cheaper query than ``inv``;
+    Spark prunes columns but not the left joins that would supply the others.
+    """
+    groups = stage(rules.duplicate_groups(inv if inv_keys is None else inv_keys),
+                   "duplicate_groups")
     marked = rules.mark_mismatch(rules.mark_duplicates(inv, groups), vendors)
     flags = collect_flags(
         (F.col("is_duplicate"), rules.duplicate_finding()),

@@ -40,8 +40,9 @@ def plain(df: DataFrame) -> DataFrame:
 
 
 def _validated(spark: SparkSession, folder: str, stage: Stage, **kind) -> DataFrame:
-    return audit.validate(ledger.invoices(spark, folder, **kind), ledger.vendors(spark, folder),
-                          stage)
+    narrow = ledger.invoices(spark, folder, **{**kind, "category": False, "state": False})
+    return audit.validate(ledger.invoices(spark, folder, **kind),
+                          ledger.vendor_states(spark, folder), stage, narrow)
 
 
 def _clean(spark: SparkSession, folder: str, stage: Stage, category: bool = False) -> DataFrame:
@@ -81,7 +82,7 @@ def flag_duplicate(spark, folder, stage):
 
 def flag_state_mismatch(spark, folder, stage):
     return rules.detect_mismatch(ledger.invoices(spark, folder, category=False),
-                                 ledger.vendors(spark, folder))
+                                 ledger.vendor_states(spark, folder))
 
 
 def flag_invalid_amount(spark, folder, stage):
@@ -108,7 +109,7 @@ def status_from_flag_table(spark, folder, stage):
     inv = ledger.invoices(spark, folder, category=False)
     found = flags.union_flags(
         rules.detect_duplicates(inv, groups=stage(rules.duplicate_groups(inv), "groups")),
-        rules.detect_mismatch(inv, ledger.vendors(spark, folder)),
+        rules.detect_mismatch(inv, ledger.vendor_states(spark, folder)),
         rules.detect_invalid_amount(inv))
     return flags.with_status(inv, found).select("invoice_id", "vendor_id", "validation_status")
 
@@ -252,8 +253,9 @@ def report_vendor_scores(spark, folder, stage):
 
 
 def report_invoice_detail(spark, folder, stage):
-    return reports.report_invoice_detail(_audited(spark, folder, stage),
-                                         ledger.vendors(spark, folder),
+    # The vendor table is the result of joins here; staged, its size is known to the join.
+    vendors = stage(ledger.vendors(spark, folder), "vendors")
+    return reports.report_invoice_detail(_audited(spark, folder, stage), vendors,
                                          ledger.categories(spark))
 
 

@@ -56,6 +56,13 @@ def categories(spark: SparkSession) -> DataFrame:
                      + " AS t(category_id, category_name, gst_rate, description)")
 
 
+def vendor_states(spark: SparkSession, folder: str) -> DataFrame:
+    """Just the registered states: a plain scan, whose size Spark knows before planning."""
+    return _read(spark, folder, "supplier").select(
+        F.col("s_suppkey").alias("vendor_id"),
+        state_text(F.col("s_nationkey")).alias("state_code"))
+
+
 def vendors(spark: SparkSession, folder: str) -> DataFrame:
     """Suppliers as vendors; their region stands in for the vendor category."""
     nation = _read(spark, folder, "nation")
@@ -96,6 +103,20 @@ def invoices(spark: SparkSession, folder: str, category: bool = True, state: boo
         "tax_claimed": (amount * F.col("l_tax").cast("decimal(4,2)")).cast(S.MONEY),
     }
     lines = _read(spark, folder, "lineitem")
+    if state:
+        # Only every 31st order needs its customer, so only those lines meet the orders.
+        supplier = _read(spark, folder, "supplier").select("s_suppkey", "s_nationkey")
+        orders = _read(spark, folder, "orders").where(F.col("o_orderkey") % 31 == 0)
+        at_home = (lines.where(order % 31 != 0)
+                   .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"), "left")
+                   .select(*lines.columns, F.col("s_nationkey").alias("_nation")))
+        moved = (lines.where(order % 31 == 0)
+                 .join(orders, order == F.col("o_orderkey"), "left")
+                 .join(_read(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey"),
+                       "left")
+                 .select(*lines.columns, F.col("c_nationkey").alias("_nation")))
+        lines = at_home.unionByName(moved)
+        columns["state_code"] = state_text(F.col("_nation"))
     if category:
         part = _read(spark, folder, "part").select("p_partkey", "p_type")
         lines = lines.join(part, F.col("l_partkey") == F.col("p_partkey"), "left")
@@ -103,15 +124,6 @@ def invoices(spark: SparkSession, folder: str, category: bool = True, state: boo
         for i, name, _ in CATEGORY_RATES:
             by_type = by_type.when(F.col("p_type") == name, i)
         columns["category_id"] = by_type
-    if state:
-        supplier = _read(spark, folder, "supplier").select("s_suppkey", "s_nationkey")
-        moved = (_read(spark, folder, "orders").where(F.col("o_orderkey") % 31 == 0)
-                 .join(_read(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-                 .select("o_orderkey", "c_nationkey"))
-        lines = (lines.join(supplier, F.col("l_suppkey") == F.col("s_suppkey"), "left")
-                 .join(moved, order == F.col("o_orderkey"), "left"))
-        columns["state_code"] = state_text(
-            F.when(order % 31 == 0, F.col("c_nationkey")).otherwise(F.col("s_nationkey")))
     if copies:
         suffixes = F.when(order % 97 == 0, F.array(F.lit(""), F.lit("-D"))).otherwise(
             F.array(F.lit("")))
