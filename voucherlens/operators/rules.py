@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voucherlens import schema as S
-from voucherlens.operators.flags import flag, flag_rows
+from voucherlens.operators.flags import collect_flags, flag, flag_rows
 
 # Evidence texts of the rule checks.
 DUPLICATE_TEXT = "Same vendor, amount, and date as another invoice"
@@ -84,6 +84,15 @@ def detect_invalid_amount(inv: DataFrame) -> DataFrame:
     return flag_rows(inv.where(is_invalid_amount()), invalid_finding())
 
 
+def rule_flags() -> Column:
+    """The findings of the rule checks, from the three boolean marks."""
+    return collect_flags(
+        (F.col("is_duplicate"), duplicate_finding()),
+        (F.col("is_mismatch"), mismatch_finding()),
+        (F.col("is_invalid"), invalid_finding()),
+    )
+
+
 def missing_field_report(inv: DataFrame,
                          cols: Sequence[str] = S.REQUIRED_FIELDS) -> DataFrame:
     """One row: invoices with any required field missing, and how often each is missing."""

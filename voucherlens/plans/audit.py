@@ -14,11 +14,15 @@ from voucherlens.operators.flags import collect_flags, flag_table, status_of
 from voucherlens.plans import reports
 
 Staging = Callable[[DataFrame, str], DataFrame]
+MARKS = ("is_duplicate", "is_mismatch", "is_invalid")
 
 
 def validate(inv: DataFrame, vendors: DataFrame, stage: Staging,
              inv_keys: DataFrame | None = None) -> DataFrame:
-    """Layer 1: ``inv`` with the findings of the rule checks and a status.
+    """Layer 1: ``inv`` with one boolean mark per rule check, and a status.
+
+    The findings themselves follow from the marks (``rules.rule_flags``), so the staged table
+    stays narrow.
 
     ``inv_keys`` may give the columns of the duplicate check by a cheaper query than ``inv``;
     Spark prunes columns but not the left joins that would supply the others.
@@ -26,14 +30,11 @@ def validate(inv: DataFrame, vendors: DataFrame, stage: Staging,
     groups = stage(rules.duplicate_groups(inv if inv_keys is None else inv_keys),
                    "duplicate_groups")
     marked = rules.mark_mismatch(rules.mark_duplicates(inv, groups), vendors)
-    flags = collect_flags(
-        (F.col("is_duplicate"), rules.duplicate_finding()),
-        (F.col("is_mismatch"), rules.mismatch_finding()),
-        (rules.is_invalid_amount(), rules.invalid_finding()),
-    )
-    return (marked.withColumn("flags", flags)
-            .withColumn("validation_status", status_of(F.col("flags")))
-            .select(*inv.columns, "flags", "validation_status"))
+    any_mark = F.col("is_duplicate") | F.col("is_mismatch") | F.col("is_invalid")
+    return (marked
+            .withColumn("is_invalid", F.coalesce(rules.is_invalid_amount(), F.lit(False)))
+            .withColumn("validation_status", F.when(any_mark, S.FLAGGED).otherwise(S.CLEAN))
+            .select(*inv.columns, *MARKS, "validation_status"))
 
 
 def clean_rows(validated: DataFrame) -> DataFrame:
@@ -47,7 +48,8 @@ def find_outliers(validated: DataFrame, stage: Staging,
     The three detectors read the same clean rows. ``validated`` should be staged: it is read
     for the baselines, the quartiles (both narrow) and the rows themselves.
     """
-    clean = clean_rows(validated)
+    columns = [c for c in validated.columns if c not in (*MARKS, "validation_status")]
+    clean = clean_rows(validated).select(*columns)
     base = stage(baselines.vendor_baselines(clean), "baselines")
     fences = stage(quantiles.iqr_fences(clean, stage, k=params.iqr_k), "fences")
     rolled = rolling.with_preceding_by_size(clean, base, params.max_group_rows, stage,
@@ -58,10 +60,10 @@ def find_outliers(validated: DataFrame, stage: Staging,
         (rolling.is_spike(params.spike_factor), rolling.spike_finding(params.spike_factor)),
         (quantiles.is_outlier(), quantiles.iqr_finding()),
     )
-    judged = (judged.withColumn("flags", flags)
-              .withColumn("validation_status", status_of(F.col("flags")))
-              .select(*validated.columns))
-    return judged.unionByName(validated.where(F.col("validation_status") == S.FLAGGED))
+    judged = judged.select(*columns, flags.alias("flags"))
+    ruled_out = (validated.where(F.col("validation_status") == S.FLAGGED)
+                 .select(*columns, rules.rule_flags().alias("flags")))
+    return judged.unionByName(ruled_out).withColumn("validation_status", status_of(F.col("flags")))
 
 
 def vendor_scores(audited: DataFrame, stage: Staging,
