@@ -84,7 +84,7 @@ def test_blocks_equal_the_plain_window(invoices, stage, block, parts):
                           invoice_date=day(rnd.randint(0, 20))) for i in range(400)])
     cols = ["invoice_id", "vendor_id", "amount", "prev_n", "prev_cents"]
     want = sorted(rolling.with_preceding(inv).select(*cols).collect(), key=str)
-    cut = rolling.with_preceding_in_blocks(inv, block, parts, stage)
+    cut = rolling.with_preceding_in_blocks(inv, block, stage, slices=parts)
     assert sorted(cut.select(*cols).collect(), key=str) == want
     assert cut.columns == inv.columns + ["prev_n", "prev_cents"]
 
@@ -96,7 +96,7 @@ def test_blocks_equal_the_plain_window_for_any_rows(invoices, stage, rows, frame
     inv = invoices(*[dict(vendor_id=v, invoice_date=day(d), amount=a) for v, d, a in rows])
     cols = ["invoice_id", "prev_n", "prev_cents"]
     want = rolling.with_preceding(inv, rows=frame).select(*cols)
-    cut = rolling.with_preceding_in_blocks(inv, frame, parts, stage, rows=frame).select(*cols)
+    cut = rolling.with_preceding_in_blocks(inv, frame, stage, rows=frame, slices=parts).select(*cols)
     assert sorted(cut.collect(), key=str) == sorted(want.collect(), key=str)
 
 
@@ -112,7 +112,7 @@ def test_only_big_vendors_are_cut(invoices, stage):
 
     cols = ["invoice_id", "prev_n", "prev_cents"]
     want = sorted(rolling.with_preceding(inv).select(*cols).collect())
-    for limit, staged in ((1000, 0), (60, 2), (10, 2)):
+    for limit, staged in ((1000, 0), (60, 3), (10, 3)):
         names.clear()
         got = rolling.with_preceding_by_size(inv, sizes, limit, spy)
         assert sorted(got.select(*cols).collect()) == want

@@ -101,6 +101,35 @@ def test_invoice_detail(run):
         reports.report_invoice_detail(run.audited, run.vendors, run.categories, "other")
 
 
+def test_sql_over_the_views_gives_the_reports(spark, run, out):
+    run.create_views()
+
+    def same(sql, name):
+        got = spark.sql(sql)
+        assert got.columns == run.reports()[name].columns
+        want = sorted((tuple(map(str, r)) for r in out[name]))
+        assert sorted(tuple(map(str, r)) for r in got.collect()) == want
+
+    same("""SELECT count(*) total_invoices, sum(amount) total_amount, sum(tax_claimed) total_tax_claimed,
+                   count(*) FILTER (WHERE validation_status = 'FLAGGED') total_flagged,
+                   round(100D * count_if(validation_status = 'FLAGGED') / count(*), 2) flag_rate_pct
+            FROM invoices""", "kpi_overview")
+    same("""SELECT flag_type, severity, count(*) flag_count, count(DISTINCT vendor_id) vendors_affected
+            FROM flags GROUP BY ALL""", "flags_breakdown")
+    same("""SELECT s.vendor_id, vendor_name, category, state_code, anomaly_frequency, deviation_magnitude,
+                   validation_failures, recency_score, composite_score, risk_tier
+            FROM vendor_risk_scores s JOIN vendors v ON s.vendor_id = v.vendor_id""", "vendor_risk_scores")
+    same("""SELECT i.invoice_id, i.vendor_id, vendor_name, category, category_name gst_category, gst_rate,
+                   invoice_date, amount, tax_claimed, i.state_code, validation_status, flag_types,
+                   max_severity
+            FROM invoices i JOIN vendors v ON i.vendor_id = v.vendor_id
+            JOIN gst_categories c ON i.category_id = c.category_id
+            LEFT JOIN (SELECT invoice_id, max(severity) max_severity,
+                              listagg(DISTINCT flag_type, ', ') WITHIN GROUP (ORDER BY flag_type) flag_types
+                       FROM flags GROUP BY invoice_id) f ON i.invoice_id = f.invoice_id""",
+         "invoice_detail")
+
+
 def test_csv_export(spark, run, out, tmp_path):
     names = sinks.export_reports(run, str(tmp_path))
     sinks.export_reports(run, str(tmp_path))        # replaces, does not append

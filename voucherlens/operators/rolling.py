@@ -36,16 +36,22 @@ def with_preceding(clean: DataFrame, key: str = "vendor_id", order: Sequence[str
     return _preceding(clean, [key], order, value, rows)
 
 
-def with_preceding_in_blocks(big: DataFrame, block_rows: int, partitions: int,
+def with_preceding_in_blocks(big: DataFrame, block_rows: int,
                              stage: Callable[[DataFrame, str], DataFrame],
                              key: str = "vendor_id", order: Sequence[str] = ORDER,
-                             value: str = "amount", rows: int = 30) -> DataFrame:
-    """Same result as :func:`with_preceding`, with no task bound to a whole ``key``."""
+                             value: str = "amount", rows: int = 30,
+                             slices: int | None = None) -> DataFrame:
+    """Same result as :func:`with_preceding`, with no task bound to a whole ``key``.
+
+    ``slices`` is the number of partitions of the range shuffle; the session's own number of
+    shuffle partitions if not given.
+    """
     block_rows = max(block_rows, rows)
     sort_key = [key, *order]
+    ranges = sort_key if slices is None else [slices, *sort_key]
     # The id is (partition << 33) + row in partition; staging fixes it for the uses below.
     numbered = stage(
-        big.repartitionByRange(partitions, *sort_key).sortWithinPartitions(*sort_key)
+        big.repartitionByRange(*ranges).sortWithinPartitions(*sort_key)
         .withColumn("_id", F.monotonically_increasing_id())
         .withColumn("_slice", F.shiftright("_id", 33)),
         "numbered")
@@ -77,20 +83,20 @@ def with_preceding_by_size(clean: DataFrame, sizes: DataFrame, max_group_rows: i
                            value: str = "amount", rows: int = 30) -> DataFrame:
     """Plain window for vendors up to ``max_group_rows`` rows, blocks for the bigger ones.
 
-    ``sizes`` is a staged table with ``key`` and its count ``baseline_n``.
+    ``sizes`` is a staged table with ``key`` and its count ``baseline_n``. At most one key per
+    ``max_group_rows`` rows is big, so the list of them is short.
     """
-    big_keys = sizes.where(F.col("baseline_n") > max_group_rows).select(F.col(key).alias("_big"))
-    big_rows = sizes.where(F.col("baseline_n") > max_group_rows).agg(
-        F.sum("baseline_n")).first()[0]
+    big = sizes.where(F.col("baseline_n") > max_group_rows)
+    big_rows = big.agg(F.sum("baseline_n")).first()[0]
     if not big_rows:
         return with_preceding(clean, key, order, value, rows)
+    big_keys = stage(big.select(F.col(key).alias("_big")), "big_keys")
     same = F.col(key).eqNullSafe(F.col("_big"))
-    partitions = int(big_rows // max_group_rows) + 1
     return with_preceding(
         clean.join(big_keys, same, "left_anti"), key, order, value, rows,
     ).unionByName(with_preceding_in_blocks(
-        clean.join(big_keys, same, "left_semi"), max_group_rows, partitions, stage,
-        key, order, value, rows))
+        clean.join(big_keys, same, "left_semi"), max_group_rows, stage, key, order, value, rows,
+        slices=int(big_rows // max_group_rows) + 1))
 
 
 def is_spike(factor: int | float = 3, value: str = "amount") -> Column:

@@ -83,6 +83,14 @@ class Audit:
     vendors: DataFrame
     categories: DataFrame
 
+    def create_views(self) -> None:
+        """Names the five tables, so that plain SQL can be run against the results."""
+        self.audited.drop("flags").createOrReplaceTempView("invoices")
+        self.flags.createOrReplaceTempView("flags")
+        self.scores.createOrReplaceTempView("vendor_risk_scores")
+        self.vendors.createOrReplaceTempView("vendors")
+        self.categories.createOrReplaceTempView("gst_categories")
+
     def reports(self) -> dict[str, DataFrame]:
         return {
             "kpi_overview": reports.report_kpi(self.audited),

@@ -148,7 +148,7 @@ def flag_rolling_spike(spark, folder, stage):
 def flag_rolling_spike_in_blocks(spark, folder, stage):
     """The plan for giant vendors, with every vendor of the data sent through it."""
     clean = _clean(spark, folder, stage)
-    rolled = rolling.with_preceding_in_blocks(clean, block_rows=200, partitions=16, stage=stage)
+    rolled = rolling.with_preceding_in_blocks(clean, block_rows=200, stage=stage)
     return rolling.detect_rolling_spike(clean, preceding=rolled)
 
 
@@ -276,7 +276,7 @@ def unknown_vendors(spark, folder, stage):
     """Invoices of vendors that are not among those whose category is AFRICA or AMERICA."""
     some = ledger.vendors(spark, folder).where(F.col("category").isin("AFRICA", "AMERICA"))
     inv = ledger.invoices(spark, folder, category=False, state=False)
-    return keys.check_fk(inv, some, "vendor_id").select("invoice_id", "vendor_id")
+    return keys.check_fk(inv, stage(some, "vendors"), "vendor_id").select("invoice_id", "vendor_id")
 
 
 def insert_if_absent(spark, folder, stage):
