@@ -20,6 +20,8 @@ from voucherlens.functions.money import cents, mean_text2, text2
 from voucherlens.operators.flags import flag, flag_rows
 
 ORDER = ("invoice_date", "invoice_id")
+# Blocks are smaller than the biggest vendor left whole, so that they spread evenly by hash.
+BLOCKS_PER_GROUP = 10
 
 
 def _preceding(df: DataFrame, partition: Sequence[str], order: Sequence[str], value: str,
@@ -95,7 +97,8 @@ def with_preceding_by_size(clean: DataFrame, sizes: DataFrame, max_group_rows: i
     return with_preceding(
         clean.join(big_keys, same, "left_anti"), key, order, value, rows,
     ).unionByName(with_preceding_in_blocks(
-        clean.join(big_keys, same, "left_semi"), max_group_rows, stage, key, order, value, rows,
+        clean.join(big_keys, same, "left_semi"), max_group_rows // BLOCKS_PER_GROUP, stage,
+        key, order, value, rows,
         slices=int(big_rows // max_group_rows) + 1))
 
 
