@@ -86,8 +86,10 @@ def flag_state_mismatch(spark, folder, stage):
 
 
 def flag_invalid_amount(spark, folder, stage):
+    """Invalid amounts; -1 stands for a missing vendor."""
     return rules.detect_invalid_amount(
-        ledger.invoices(spark, folder, category=False, state=False, dirty=True))
+        ledger.invoices(spark, folder, category=False, state=False, dirty=True)
+    ).fillna(-1, ["vendor_id"])
 
 
 def missing_fields(spark, folder, stage):
@@ -229,8 +231,8 @@ def top_medium_vendors(spark, folder, stage):
 
 
 def dirty_vendor_scores(spark, folder, stage):
-    """Scores of the ledger with negative amounts and missing vendors."""
-    return _scores(spark, folder, stage, dirty=True)
+    """Scores of the ledger with negative amounts and missing vendors (as vendor -1)."""
+    return _scores(spark, folder, stage, dirty=True).fillna(-1, ["vendor_id"])
 
 
 # --- reports ---------------------------------------------------------------------------------

@@ -101,6 +101,8 @@ def report_invoice_detail(audited: DataFrame, vendors: DataFrame, categories: Da
     The findings travel with the invoice, so only the two dimensions are joined. ``ordered``
     adds the global sort by date, which costs a range shuffle of the whole ledger.
     """
+    # Most invoices have no findings and skip the array functions.
+    has_flags = F.size("flags") > 0
     types = F.array_join(F.array_sort(F.array_distinct(
         F.transform("flags", lambda f: f["flag_type"]))), ", ")
     out = (audited
@@ -109,8 +111,9 @@ def report_invoice_detail(audited: DataFrame, vendors: DataFrame, categories: Da
                                    "gst_rate"), "category_id")
            .select("invoice_id", "vendor_id", "vendor_name", "category", "gst_category",
                    "gst_rate", "invoice_date", "amount", "tax_claimed", "state_code",
-                   "validation_status", F.nullif(types, F.lit("")).alias("flag_types"),
-                   max_severity(F.col("flags"), severity_order).alias("max_severity")))
+                   "validation_status", F.when(has_flags, types).alias("flag_types"),
+                   F.when(has_flags, max_severity(F.col("flags"), severity_order))
+                   .alias("max_severity")))
     return out.orderBy("invoice_date", "invoice_id") if ordered else out
 
 
