@@ -12,12 +12,13 @@ from voucherlens.operators.flags import flag, flag_rows
 
 def vendor_baselines(clean: DataFrame, key: str = "vendor_id",
                      value: str = "amount") -> DataFrame:
-    """Per ``key``: count, exact sum, mean and sample standard deviation of ``value``.
+    """Per ``key``: rows, values, exact sum, mean and sample standard deviation of ``value``.
 
     An aggregate and not a window: it is combined before the shuffle and never buffers the
     rows of a big vendor.
     """
     out = clean.groupBy(key).agg(
+        F.count(F.lit(1)).alias("n_rows"),
         F.count(value).alias("baseline_n"),
         F.sum(value).alias("baseline_total"),
         F.stddev_samp(F.col(value).cast("double")).alias("std_dev"),
@@ -45,6 +46,7 @@ def with_zscore(clean: DataFrame, baselines: DataFrame | None = None, key: str =
 
 def zscore_finding(z_min: float, z_high: float, value: str = "amount") -> Column:
     z = F.col("z_score")
+    # The wording of the evidence, which magnitude_from_text reads back.
     details = F.concat(
         F.lit("Z-score: "), text2(z),
         F.lit(" | Amount: "), text2(F.col(value)),

@@ -104,6 +104,7 @@ def is_outlier(value: str = "amount") -> Column:
 
 def iqr_finding(value: str = "amount") -> Column:
     amount = F.col(value)
+    # The wording of the evidence.
     details = F.concat(F.lit("Amount: "), text2(amount),
                        F.lit(" | Upper fence: "), text2(F.col("upper_fence")),
                        F.lit(" | IQR: "), text2(F.col("iqr")))

@@ -85,11 +85,11 @@ def with_preceding_by_size(clean: DataFrame, sizes: DataFrame, max_group_rows: i
                            value: str = "amount", rows: int = 30) -> DataFrame:
     """Plain window for vendors up to ``max_group_rows`` rows, blocks for the bigger ones.
 
-    ``sizes`` is a staged table with ``key`` and its count ``baseline_n``. At most one key per
+    ``sizes`` is a staged table with ``key`` and its rows ``n_rows``. At most one key per
     ``max_group_rows`` rows is big, so the list of them is short.
     """
-    big = sizes.where(F.col("baseline_n") > max_group_rows)
-    big_rows = big.agg(F.sum("baseline_n")).first()[0]
+    big = sizes.where(F.col("n_rows") > max_group_rows)
+    big_rows = big.agg(F.sum("n_rows")).first()[0]
     if not big_rows:
         return with_preceding(clean, key, order, value, rows)
     big_keys = stage(big.select(F.col(key).alias("_big")), "big_keys")
@@ -118,6 +118,7 @@ def spike_ratio(value: str = "amount") -> Column:
 
 def spike_finding(factor: int | float = 3, value: str = "amount") -> Column:
     total = (F.col("prev_cents").cast("decimal(20,0)") / F.lit(100).cast("decimal(3,0)"))
+    # The wording of the evidence.
     details = F.concat(
         F.lit("Spike ratio: "), text2(spike_ratio(value)),
         F.lit("x | Amount: "), text2(F.col(value)),

@@ -132,7 +132,7 @@ def flag_zscore(spark, folder, stage):
 
 
 def _rolled(clean, stage):
-    sizes = stage(clean.groupBy("vendor_id").agg(F.count(F.lit(1)).alias("baseline_n")), "sizes")
+    sizes = stage(clean.groupBy("vendor_id").agg(F.count(F.lit(1)).alias("n_rows")), "sizes")
     return rolling.with_preceding_by_size(clean, sizes, PARAMS.max_group_rows, stage)
 
 
