@@ -37,8 +37,10 @@ def finish(df) -> None:
 
 def full_audit(spark, folder) -> None:
     """The pipeline as a user runs it: every stage once, then all six reports."""
-    run = audit.run(ledger.invoices(spark, folder), ledger.vendors(spark, folder),
-                    ledger.categories(spark), Stage(spark), catalog.PARAMS)
+    stage = Stage(spark)
+    vendors = stage(ledger.vendors(spark, folder), "vendors")
+    run = audit.run(ledger.invoices(spark, folder), vendors, ledger.categories(spark), stage,
+                    catalog.PARAMS)
     for df in run.reports().values():
         finish(df)
 
