@@ -2,15 +2,41 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+_shipped: dict[str, tempfile.TemporaryDirectory] = {}
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the Python workers this package, once per application.
+
+    The functions that run on executors are found by module name there. ``addPyFile`` sends a
+    small archive of the sources along, whatever folder the driver was started in.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    folder = tempfile.TemporaryDirectory(prefix="voucherlens-src-")
+    package = Path(__file__).resolve().parent.parent
+    archive = f"{folder.name}/voucherlens_src.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(archive)
+    _shipped[sc.applicationId] = folder
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A test table as it is on disk, all rows and columns."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -20,6 +46,7 @@ def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     The operators work on this alone, so whatever other columns a table has cannot clash with
     theirs.
     """
+    ship(df.sparkSession)
     return df.select(F.col(id_col).alias("doc_id"),
                      F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voucherlens.llm.common import schema_with, table
+from voucherlens.llm.common import schema_with, ship, table
 
 SAMPLE_PAGES = 300
 
@@ -431,6 +431,7 @@ def train(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> TextModel:
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
                   html_col: str = "html", model: TextModel | None = None) -> DataFrame:
     """``page_id``, ``url``, the main ``text`` and its ``n_chars`` in code points."""
+    ship(pages.sparkSession)
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"),
                         F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
     model = model or train(rows)
