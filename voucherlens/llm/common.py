@@ -40,15 +40,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                whole: bool = False) -> DataFrame:
     """Just the id and the text (null counts as empty), under fixed names.
 
     The operators work on this alone, so whatever other columns a table has cannot clash with
-    theirs.
+    theirs. With ``whole`` the complete row comes along in one column ``row``, for filters that
+    give back their input's columns.
     """
     ship(df.sparkSession)
+    row = [F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")] if whole else []
     return df.select(F.col(id_col).alias("doc_id"),
-                     F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+                     F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *row)
 
 
 def fold_of(id_col: str = "doc_id", folds: int = 5) -> Column:

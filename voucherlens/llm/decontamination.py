@@ -132,25 +132,27 @@ _RESULT = ("n_words bigint", "n_hit bigint", "ranges array<bigint>", "items arra
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                   text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
                   window: int = WINDOW, block_bytes: int = BLOCK_BYTES,
-                  stage: Stage | None = None) -> DataFrame:
-    """Per document: ``n_words``, ``n_hit``, the hit word ``ranges`` and the ``items`` found."""
-    texts = id_and_text(docs, id_col, text_col)
+                  stage: Stage | None = None, whole: bool = False) -> DataFrame:
+    """Per document: ``n_words``, ``n_hit``, the hit word ``ranges`` and the ``items`` found;
+    with ``whole`` also the complete input row as ``row``."""
+    texts = id_and_text(docs, id_col, text_col, whole)
+    keep = ("doc_id", "row") if whole else ("doc_id",)
     items = id_and_text(benchmark, item_col, item_text).select(
         F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("item"), "text")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = int(total // block_bytes) + 1
     if blocks == 1:
-        return _search(texts, items, window, ("doc_id",))
+        return _search(texts, items, window, keep)
     # More than one pass: rows get a number that ties the passes together.
     stage = stage or Stage(docs.sparkSession)
-    numbered = stage(texts.withColumn("row", F.monotonically_increasing_id()), "numbered")
+    numbered = stage(texts.withColumn("number", F.monotonically_increasing_id()), "numbered")
     found = None
     for k in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
-        one = _search(numbered, part, window, ("doc_id", "row"))
+        one = _search(numbered, part, window, ("number",))
         found = one if found is None else found.unionByName(one)
-    grouped = found.groupBy("row").agg(
-        F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"),
+    grouped = found.groupBy("number").agg(
+        F.max("n_words").alias("n_words"),
         F.collect_list("ranges").alias("ranges"),  # one entry per block
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
 
@@ -162,9 +164,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                                       b.column("items").to_pylist(), strict=True):
                 flat = [(r[i], r[i + 1]) for r in ranges for i in range(0, len(r), 2)]
                 rows.append((n, merge(flat), set(ids)))
-            yield _finish({"doc_id": b.column("doc_id")}, rows)
+            yield _finish({"number": b.column("number")}, rows)
 
-    return grouped.mapInArrow(together, schema_with(grouped, *_RESULT))
+    merged = grouped.mapInArrow(together, schema_with(grouped, *_RESULT, keep=("number",)))
+    return numbered.select("number", *keep).join(merged, "number").drop("number")
 
 
 def _search(texts: DataFrame, items: DataFrame, window: int, keep: tuple[str, ...]) -> DataFrame:

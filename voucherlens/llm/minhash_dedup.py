@@ -273,19 +273,40 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                        .select("node", "text").dropDuplicates(["node"]), "candidate_texts")
     _, roots = find_links(buckets, candidates, stage, percent)
     if roots is None:
-        grouped = classes.select("digest", F.col("least").alias("component_id"))
+        grouped = classes.select("digest", F.col("least").alias("component_id"),
+                                 F.col("of.text_hash").alias("first_hash"))
     else:
-        of = classes.select("digest", "node", "least").join(roots, "node", "left").select(
-            "digest", "least", F.coalesce("root", "node").alias("root"))
-        least = of.groupBy("root").agg(F.min("least").alias("component_id"))
-        grouped = of.join(least, "root").select("digest", "component_id")
-    joined = signed.select("doc_id", "n_shingles", "digest").join(
+        of = classes.select("digest", "node", "least", "of.text_hash").join(
+            roots, "node", "left").select(
+            "digest", "least", "text_hash", F.coalesce("root", "node").alias("root"))
+        least = of.groupBy("root").agg(F.min("least").alias("component_id"),
+                                       F.min("text_hash").alias("first_hash"))
+        grouped = of.join(least, "root").select("digest", "component_id", "first_hash")
+    joined = signed.select("doc_id", "text_hash", "n_shingles", "digest").join(
         stage(grouped, "components").withColumnRenamed("digest", "_d"),
         (F.col("digest") == F.col("_d")) & (F.col("n_shingles") > 0), "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    # In a component of null ids the texts with the smallest hash are kept.
+    named = F.col("doc_id").isNotNull() | (F.col("n_shingles") == 0) | (
+        F.col("text_hash") == F.col("first_hash"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id"),
-                         F.col("doc_id").eqNullSafe(component).alias("kept"))
+                         (F.col("doc_id").eqNullSafe(component) & named).alias("kept"),
+                         "text_hash")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                         percent: int = PERCENT, stage: Stage | None = None) -> DataFrame:
+    """``docs`` without all but one document of each component; of rows with equal id and text
+    one stays. Rows without words are components of their own."""
+    found = near_duplicates(docs, id_col, text_col, percent, stage)
+    name = F.concat(F.when(F.col("doc_id").isNull(), "null").otherwise("id "),
+                    F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    keepers = found.where("kept").select(name.alias("_name"), F.col("text_hash").alias("_hash"))
+    row = id_and_text(docs, id_col, text_col, whole=True)
+    return (row.select("row", name.alias("_name"), _text_hash().alias("_hash"))
+            .join(keepers.distinct(), ["_name", "_hash"])
+            .dropDuplicates(["_name", "_hash"]).select("row.*"))
 
 
 def op5_minhash_dedup(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")

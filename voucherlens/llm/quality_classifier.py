@@ -166,21 +166,25 @@ def train(texts: DataFrame, labels: DataFrame, label_col: str = "quality",
 
 
 def classify(docs: DataFrame, model: FactorisationMachine, id_col: str = "doc_id",
-             text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``doc_id``, ``held_out``, ``score`` in 0 to 1, ``predicted`` 0 or 1."""
-    texts = id_and_text(docs, id_col, text_col)
+             text_col: str = "text", threshold: float = THRESHOLD,
+             whole: bool = False) -> DataFrame:
+    """``doc_id``, ``held_out``, ``score`` in 0 to 1, ``predicted`` 0 or 1; with ``whole`` also
+    the complete input row as ``row``."""
+    texts = id_and_text(docs, id_col, text_col, whole)
     shared = texts.sparkSession.sparkContext.broadcast(model)
+    keep = ("doc_id", "row") if whole else ("doc_id",)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = shared.value
         for batch in batches:
             scores = [machine.score(*features(t.as_py())) for t in batch.column("text")]
-            yield pa.RecordBatch.from_pydict({
-                "doc_id": batch.column("doc_id"), "score": pa.array(scores, pa.float64())})
+            yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in keep}
+                                             | {"score": pa.array(scores, pa.float64())})
 
-    scored = texts.mapInArrow(run, schema_with(texts, "score double"))
-    return scored.select("doc_id", (fold_of() == 0).alias("held_out"), "score",
-                         (F.col("score") >= threshold).cast("int").alias("predicted"))
+    scored = texts.mapInArrow(run, schema_with(texts, "score double", keep=keep))
+    return scored.select(
+        "doc_id", (fold_of() == 0).alias("held_out"), "score",
+        (F.col("score") >= threshold).cast("int").alias("predicted"), *keep[1:])
 
 
 def op9_quality_classifier(spark, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@ express."""
 
 from __future__ import annotations
 
+import corpus_pipeline
 from voucherlens.llm.decontamination import op6_decontamination
 from voucherlens.llm.html_extraction import op10_html_extraction
 from voucherlens.llm.line_dedup import OP3_SQL, op3_line_dedup
@@ -16,6 +17,7 @@ from voucherlens.llm.suffix_dedup import op4_suffix_dedup
 
 QUERIES = {f.__name__: f for f in (
     op1_lm_scoring, op2_secret_scan, op3_line_dedup, op4_suffix_dedup, op5_minhash_dedup,
-    op6_decontamination, op7_sentencepiece, op8_quality_rules, op9_quality_classifier, op10_html_extraction,
-)}
+    op6_decontamination, op7_sentencepiece, op8_quality_rules, op9_quality_classifier,
+    op10_html_extraction,
+)} | {"pipeline": corpus_pipeline.run}
 ORACLE = {"op3_line_dedup": OP3_SQL}
