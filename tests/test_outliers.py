@@ -3,7 +3,7 @@ import random
 from decimal import Decimal
 
 import pytest
-from conftest import day, ids
+from conftest import DATA, day, ids
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import Window
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from voucherlens.operators import baselines, quantiles, rolling
 from voucherlens.plans import audit
 from voucherlens.schema import AuditParams
+from voucherlens.sources import ledger
 
 
 def fixed_baseline(spark, mean, sd):
@@ -72,9 +73,9 @@ def test_printed_mean_rounds_halves_to_even(invoices):
 def test_frame_is_thirty_rows_and_ties_go_by_id(invoices):
     inv = invoices(*[dict(amount=i + 1, invoice_date=day(0)) for i in range(40)])
     rows = {r.invoice_id: r for r in rolling.with_preceding(inv).collect()}
-    assert (rows["I000"].prev_n, rows["I000"].prev_cents) == (0, None)
-    assert (rows["I005"].prev_n, rows["I005"].prev_cents) == (5, 1500)
-    assert (rows["I035"].prev_n, rows["I035"].prev_cents) == (30, 100 * sum(range(6, 36)))
+    assert (rows["I000"].prev_n, rows["I000"].prev_units) == (0, None)
+    assert (rows["I005"].prev_n, rows["I005"].prev_units) == (5, 1500)
+    assert (rows["I035"].prev_n, rows["I035"].prev_units) == (30, 100 * sum(range(6, 36)))
 
 
 @pytest.mark.parametrize("block,parts", [(1, 3), (31, 4), (50, 7), (1000, 2)])
@@ -82,11 +83,11 @@ def test_blocks_equal_the_plain_window(invoices, stage, block, parts):
     rnd = random.Random(block)
     inv = invoices(*[dict(vendor_id=rnd.choice([1, 1, 1, 1, 2, None, 3 + i]), amount=rnd.randint(1, 999),
                           invoice_date=day(rnd.randint(0, 20))) for i in range(400)])
-    cols = ["invoice_id", "vendor_id", "amount", "prev_n", "prev_cents"]
+    cols = ["invoice_id", "vendor_id", "amount", "prev_n", "prev_units"]
     want = sorted(rolling.with_preceding(inv).select(*cols).collect(), key=str)
     cut = rolling.with_preceding_in_blocks(inv, block, stage, slices=parts)
     assert sorted(cut.select(*cols).collect(), key=str) == want
-    assert cut.columns == inv.columns + ["prev_n", "prev_cents"]
+    assert cut.columns == inv.columns + ["prev_n", "prev_units"]
 
 
 @given(st.lists(st.tuples(st.integers(0, 2), st.integers(0, 3), st.integers(1, 99)), max_size=60),
@@ -94,7 +95,7 @@ def test_blocks_equal_the_plain_window(invoices, stage, block, parts):
 @settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 def test_blocks_equal_the_plain_window_for_any_rows(invoices, stage, rows, frame, parts):
     inv = invoices(*[dict(vendor_id=v, invoice_date=day(d), amount=a) for v, d, a in rows])
-    cols = ["invoice_id", "prev_n", "prev_cents"]
+    cols = ["invoice_id", "prev_n", "prev_units"]
     want = rolling.with_preceding(inv, rows=frame).select(*cols)
     cut = rolling.with_preceding_in_blocks(inv, frame, stage, rows=frame, slices=parts).select(*cols)
     assert sorted(cut.collect(), key=str) == sorted(want.collect(), key=str)
@@ -110,7 +111,7 @@ def test_only_big_vendors_are_cut(invoices, stage):
         names.append(name)
         return stage(df, name)
 
-    cols = ["invoice_id", "prev_n", "prev_cents"]
+    cols = ["invoice_id", "prev_n", "prev_units"]
     want = sorted(rolling.with_preceding(inv).select(*cols).collect(), key=str)
     for limit, staged in ((1000, 0), (60, 3), (10, 3)):
         names.clear()
@@ -187,5 +188,78 @@ def test_column_and_table_form_of_the_detectors_agree(invoices, vendors, stage,
             .unionByName(quantiles.detect_iqr(clean, fences)))
     table = got.select("invoice_id", "vendor_id", F.inline("flags"))
     assert table.count() > 20
-    assert sorted(table.drop("score").collect(), key=str) == sorted(
-        want.drop("score").collect(), key=str)
+    assert sorted(table.collect(), key=str) == sorted(want.collect(), key=str)
+
+
+# mean 34 and deviation 26, so 86 is at exactly two deviations; the second list has one there too
+@pytest.mark.parametrize("amounts", [
+    [26, 31, 23, 15, 23, 86], [10, 15, 9, 18, 39, 37, 3, 35, 19, 22, 3, 54]])
+def test_the_limit_is_met_exactly_however_rows_are_spread(invoices, amounts):
+    inv = invoices(*[dict(amount=a) for a in amounts])
+    scores = set()
+    for parts in range(1, 9):
+        spread = inv.repartition(parts)
+        assert baselines.detect_zscore(spread).count() == 0
+        scores.add(tuple(sorted(r.z_score for r in baselines.with_zscore(spread).collect())))
+    assert len(scores) == 1
+
+
+def test_baselines_are_the_same_bits_for_every_partitioning(spark):
+    events = ledger.event_invoices(spark, DATA)
+    kinds = [sorted(map(str, baselines.vendor_baselines(df).collect()))
+             for df in (events.coalesce(1), events.repartition(7), events.repartition(13, "amount"))]
+    assert kinds[0] == kinds[1] == kinds[2]
+    w = Window.partitionBy("vendor_id")
+    near = baselines.with_zscore(events).withColumn(
+        "sd", F.stddev_samp(F.col("amount").cast("double")).over(w))
+    assert near.where("abs(std_dev - sd) > 1e-9 * sd").count() == 0
+
+
+def test_deviation_of_large_and_negative_amounts(spark):
+    rows = [(1, Decimal(x)) for x in ("9999999999.99", "9999999999.97", "9999999999.95")]
+    rows += [(2, Decimal(x)) for x in ("-0.01", "-0.03", "0.02")]
+    df = spark.createDataFrame(rows, "vendor_id long, amount decimal(12,2)")
+    got = {r.vendor_id: r.std_dev for r in baselines.vendor_baselines(df).collect()}
+    assert got[1] == pytest.approx(0.02, rel=1e-12)
+    assert got[2] == pytest.approx(math.sqrt((1 + 9 + 4 - 4 / 3) / 2) / 100, rel=1e-12)
+
+
+def fine(spark, values, kind="decimal(18,4)"):
+    return spark.createDataFrame(
+        [(f"I{i:03d}", 1, 1, day(i), v) for i, v in enumerate(values)],
+        "invoice_id string, vendor_id long, category_id int, invoice_date date, amount string",
+    ).withColumn("amount", F.col("amount").cast(kind))
+
+
+def test_amounts_with_four_decimals_are_not_cut(spark, stage):
+    rows = fine(spark, [f"0.00{i}0" for i in range(1, 10)])
+    fence = quantiles.iqr_fences(rows, stage).first()
+    assert (fence.q1, fence.q3, fence.upper_fence) == (
+        Decimal("0.003"), Decimal("0.007"), Decimal("0.013"))
+    spike = rolling.detect_rolling_spike(fine(spark, ["0.1963", "0.1963", "0.8700"])).first()
+    assert (spike.baseline, round(spike.score, 4)) == (0.1963, 4.4320)
+    assert spike.details == "Spike ratio: 4.43x | Amount: 0.87 | Rolling avg: 0.20"
+    assert rolling.detect_rolling_spike(fine(spark, ["0.0001", "0.0003"])).count() == 0
+    assert rolling.detect_rolling_spike(fine(spark, ["0.0001", "0.0004"])).count() == 1
+    assert rolling.detect_rolling_spike(fine(spark, ["1", "4"], "int")).count() == 1
+    wide = fine(spark, ["1" + "0" * 20, "4" + "0" * 20], "decimal(30,4)")
+    assert rolling.detect_rolling_spike(wide).count() == 1
+
+
+def test_floating_point_amounts_are_refused(spark, stage):
+    rows = fine(spark, ["0.29", "1"], "double")
+    for call in (baselines.detect_zscore, rolling.detect_rolling_spike,
+                 lambda df: quantiles.iqr_fences(df, stage)):
+        with pytest.raises(TypeError, match="amount is double"):
+            call(rows)
+
+
+def test_repeated_ids_give_the_same_rows_in_blocks_and_in_one_window(invoices, stage):
+    rnd = random.Random(3)
+    inv = invoices(*[dict(invoice_id="same", invoice_date=day(i // 20), amount=rnd.randint(1, 99))
+                     for i in range(200)])
+    cols = ["invoice_date", "amount", "prev_n", "prev_units"]
+    want = sorted(rolling.with_preceding(inv).select(*cols).collect())
+    for parts in (1, 3):
+        cut = rolling.with_preceding_in_blocks(inv.repartition(parts), 40, stage, slices=parts)
+        assert sorted(cut.select(*cols).collect()) == want

@@ -1,14 +1,45 @@
-"""Column expressions for amounts, rates and their printed form."""
+"""Column expressions for amounts, rates and their printed form.
+
+Exact work is done in *units*, whole numbers of the last decimal place of a column's own type:
+cents for ``decimal(12,2)``, ten-thousandths for ``decimal(18,4)``. Floating-point columns have
+no last place and are refused.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from voucherlens import schema as S
+
+# Units of columns up to this many digits are longs; thirty of them still add up in a long.
+LONG_DIGITS = 16
+
+
+def exact_type(df: DataFrame, column: str) -> T.DecimalType:
+    """The decimal type of a column; whole numbers count as decimals without fraction."""
+    kind = df.schema[column].dataType
+    if isinstance(kind, T.DecimalType):
+        return kind
+    if isinstance(kind, T.IntegralType):
+        return T.DecimalType(19, 0)
+    raise TypeError(f"{column} is {kind.simpleString()}; cast it to a decimal type first, amounts "
+                    "are added and compared exactly")
+
+
+def units(amount: Column, kind: T.DecimalType = S.MONEY) -> Column:
+    """An amount of type ``kind`` as a whole number of its last decimal place (exact)."""
+    scaled = amount * F.lit(10 ** kind.scale) if kind.scale else amount
+    small = kind.precision <= LONG_DIGITS
+    return scaled.cast("long" if small else T.DecimalType(38, 0))
 
 
-def cents(amount: Column) -> Column:
-    """A decimal(12,2) amount as a whole number of cents (exact)."""
-    return (amount * 100).cast("long")
+def from_units(number: Column, kind: T.DecimalType = S.MONEY) -> Column:
+    """A sum of units as a decimal amount again."""
+    exact = number.cast(T.DecimalType(38 - kind.scale, 0))
+    return (exact * F.lit(1).cast("decimal(1,0)") / F.lit(10 ** kind.scale)
+            if kind.scale else exact)
 
 
 def text2(x: Column) -> Column:
@@ -18,15 +49,17 @@ def text2(x: Column) -> Column:
 
 def mean_text2(total: Column, n: Column) -> Column:
     """The exact mean ``total / n`` with two decimals; halves go to the even digit."""
-    return F.bround(total.cast("decimal(24,2)") / n.cast("decimal(18,0)"), 2).cast("string")
+    return F.bround(total.cast("decimal(28,6)") / n.cast("decimal(18,0)"), 2).cast("string")
 
 
-def mean(total: Column, n: Column) -> Column:
+def mean(total: Column, n: Column, scale: int = 2) -> Column:
     """The mean ``total / n`` as the double nearest to it; NULL when ``n`` is 0.
 
-    Both sides are made whole numbers first, so that there is one rounding and not two.
+    ``total`` has ``scale`` decimals. Both sides are made whole numbers first, so that there is
+    one rounding and not two.
     """
-    return (total * 100).cast("double") / F.nullif(n * 100, F.lit(0)).cast("double")
+    shift = F.lit(10 ** scale)
+    return (total * shift).cast("double") / F.nullif(n * shift, F.lit(0)).cast("double")
 
 
 def mean2(total: Column, n: Column) -> Column:

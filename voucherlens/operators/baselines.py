@@ -4,26 +4,46 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voucherlens import schema as S
-from voucherlens.functions.money import mean, mean_text2, text2
+from voucherlens.functions.money import exact_type, mean, mean_text2, text2, units
 from voucherlens.operators.flags import flag, flag_rows
 
+_WHOLE = T.DecimalType(38, 0)
+
 
 def vendor_baselines(clean: DataFrame, key: str = "vendor_id",
                      value: str = "amount") -> DataFrame:
     """Per ``key``: rows, values, exact sum, mean and sample standard deviation of ``value``.
 
     An aggregate and not a window: it is combined before the shuffle and never buffers the
-    rows of a big vendor.
+    rows of a big vendor. What is combined are whole numbers, the sums of the values and of their
+    squares, so that the result does not depend on the order or the partitions of the rows. With
+    ``q`` near the mean, ``A = sum (v - q)^2`` and ``r = sum (v - q)`` follow exactly from them,
+    and the variance is ``(A - r * r / n) / (n - 1)``, rounded only there.
     """
-    out = clean.groupBy(key).agg(
+    kind = exact_type(clean, value)
+    v = units(F.col(value), kind).cast(T.DecimalType(min(38, kind.precision), 0))
+    sums = clean.select(key, F.col(value), v.alias("_v")).groupBy(key).agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.count(value).alias("baseline_n"),
         F.sum(value).alias("baseline_total"),
-        F.stddev_samp(F.col(value).cast("double")).alias("std_dev"),
+        F.sum("_v").cast(_WHOLE).alias("_sum"),
+        F.sum(F.col("_v") * F.col("_v")).cast(_WHOLE).alias("_squares"),
     )
-    return out.withColumn("baseline", mean(F.col("baseline_total"), F.col("baseline_n")))
+    n = F.nullif(F.col("baseline_n"), F.lit(0)).cast(T.DecimalType(18, 0))
+    out = sums.withColumn("_n", n).withColumn(
+        "_q", F.expr("`_sum` div `_n`").cast(T.DecimalType(19, 0)))
+    out = out.withColumn("_r", (F.col("_sum") - F.col("_q") * F.col("_n")).cast(T.DecimalType(19, 0)))
+    spread = (F.col("_squares") - (F.col("_q") * F.col("_sum")).cast(_WHOLE) * 2
+              + (F.col("_q") * F.col("_q")).cast(_WHOLE) * F.col("_n"))
+    correction = (F.col("_r") * F.col("_r")).cast("double") / F.col("_n").cast("double")
+    variance = (spread.cast("double") - correction) / F.nullif(
+        F.col("_n") - 1, F.lit(0)).cast("double")
+    return (out.withColumn("std_dev", F.sqrt(variance) / F.lit(float(10 ** kind.scale)))
+            .withColumn("baseline", mean(F.col("baseline_total"), F.col("baseline_n"), kind.scale))
+            .select(key, "n_rows", "baseline_n", "baseline_total", "std_dev", "baseline"))
 
 
 def z_score(value: str = "amount") -> Column:
@@ -36,12 +56,19 @@ def z_score(value: str = "amount") -> Column:
 
 def with_zscore(clean: DataFrame, baselines: DataFrame | None = None, key: str = "vendor_id",
                 value: str = "amount") -> DataFrame:
-    """``clean`` plus its baseline columns and ``z_score``. NULL keys form a group of their own."""
+    """``clean`` plus its baseline columns and ``z_score``. NULL keys form a group of their own.
+
+    The rows with a key meet their baseline by plain equality, which can use a partitioning by
+    that key that is there already (the rolling window's). The NULL group has a join of its own.
+    """
     if baselines is None:
         baselines = vendor_baselines(clean, key, value)
     right = baselines.withColumnRenamed(key, "_key")
-    return (clean.join(right, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
-            .withColumn("z_score", z_score(value)))
+    known = clean.where(F.col(key).isNotNull()).join(
+        right.where(F.col("_key").isNotNull()), F.col(key) == F.col("_key"), "left")
+    unknown = clean.where(F.col(key).isNull()).join(
+        right.where(F.col("_key").isNull()), F.col(key).eqNullSafe(F.col("_key")), "left")
+    return known.unionByName(unknown).drop("_key").withColumn("z_score", z_score(value))
 
 
 def zscore_finding(z_min: float, z_high: float, value: str = "amount") -> Column:

@@ -2,7 +2,7 @@
 
 Spark's exact ``percentile`` keeps every distinct value of a group in one task. Here the
 values are decimals, so a percentile can be found by counting instead: a first pass counts
-values per bucket of ``BUCKET_CENTS`` and finds the buckets that hold the wanted ranks; a
+values per bucket of ``BUCKET`` and finds the buckets that hold the wanted ranks; a
 second pass counts single values inside just those buckets. Both passes combine before the
 shuffle, so what moves is bounded by the number of buckets and of distinct values per bucket,
 however many rows a category has.
@@ -15,16 +15,18 @@ from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voucherlens import schema as S
-from voucherlens.functions.money import cents, text2
+from voucherlens.functions.money import exact_type, text2, units
 from voucherlens.operators.flags import flag, flag_rows
 
-BUCKET_CENTS = 1_000_000
+BUCKET = 10_000  # in whole amounts
 
 
-def _bucket(value: Column) -> Column:
-    return F.floor(cents(value) / BUCKET_CENTS)
+def _bucket(value: Column, kind: T.DecimalType) -> Column:
+    # Any function that does not fall and is the same in both passes will do.
+    return F.floor(units(value, kind).cast("double") / F.lit(float(BUCKET * 10 ** kind.scale)))
 
 
 def _running(df: DataFrame, partition: Sequence[str], order: str) -> DataFrame:
@@ -39,8 +41,9 @@ def rank_buckets(df: DataFrame, key: str, value: str, probs: Sequence[float]) ->
     The percentile at ``p`` of ``n`` sorted values lies at position ``p * (n - 1)``, between
     the two ranks around it. At most two rows per group and probability.
     """
+    kind = exact_type(df, value)
     counts = (df.where(F.col(value).isNotNull() & F.col(key).isNotNull())
-              .groupBy(key, _bucket(F.col(value)).alias("_bucket"))
+              .groupBy(key, _bucket(F.col(value), kind).alias("_bucket"))
               .agg(F.count(F.lit(1)).alias("_n")))
     total = F.sum("_n").over(Window.partitionBy(key))
     ranked = _running(counts.withColumn("_total", total), [key], "_bucket")
@@ -62,11 +65,15 @@ def percentiles_in_buckets(df: DataFrame, targets: DataFrame, key: str, value: s
                            n_probs: int) -> DataFrame:
     """Second pass. Reads the values at the ranks found by :func:`rank_buckets`.
 
-    Interpolates in decimals with four digits, which is exact for quartiles of amounts.
+    Interpolates in decimals with two more digits than the values have, which is exact for
+    quartiles.
     """
+    kind = exact_type(df, value)
+    result = T.DecimalType(min(38, kind.precision + 6), kind.scale + 2)
     buckets = targets.select("_key", "_target").distinct()
     counts = (df.where(F.col(value).isNotNull())
-              .select(key, F.col(value).alias("_value"), _bucket(F.col(value)).alias("_bucket"))
+              .select(key, F.col(value).alias("_value"),
+                      _bucket(F.col(value), kind).alias("_bucket"))
               .join(buckets, (F.col(key) == F.col("_key")) & (F.col("_bucket") == F.col("_target")),
                     "left_semi")
               .groupBy(key, "_bucket", "_value").agg(F.count(F.lit(1)).alias("_n")))
@@ -75,14 +82,14 @@ def percentiles_in_buckets(df: DataFrame, targets: DataFrame, key: str, value: s
         targets,
         (F.col(key) == F.col("_key")) & (F.col("_bucket") == F.col("_target"))
         & (F.col("rank_in_bucket") >= F.col("_before")) & (F.col("rank_in_bucket") < F.col("_upto")))
-    x = F.col("_value").cast(S.MONEY)
+    x = F.col("_value").cast(kind)
 
     def pick(i: int, side: str) -> Column:
         return F.max(F.when((F.col("prob") == i) & (F.col("side") == side), x))
 
     def at(i: int) -> Column:
         frac = F.max(F.when(F.col("prob") == i, F.col("frac"))).cast("decimal(9,8)")
-        return (pick(i, "lo") + (pick(i, "hi") - pick(i, "lo")) * frac).cast("decimal(18,4)")
+        return (pick(i, "lo") + (pick(i, "hi") - pick(i, "lo")) * frac).cast(result)
 
     return found.groupBy(key).agg(*[at(i).alias(f"p{i}") for i in range(n_probs)])
 

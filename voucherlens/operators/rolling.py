@@ -11,12 +11,14 @@ the same, because a row never looks back further than one block.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voucherlens import schema as S
-from voucherlens.functions.money import cents, mean_text2, text2
+from voucherlens.functions.money import exact_type, from_units, mean_text2, text2, units
 from voucherlens.operators.flags import flag, flag_rows
 
 ORDER = ("invoice_date", "invoice_id")
@@ -24,18 +26,26 @@ ORDER = ("invoice_date", "invoice_id")
 BLOCKS_PER_GROUP = 10
 
 
+def total_order(df: DataFrame, order: Sequence[str], value: str) -> list[str]:
+    """``order`` made independent of partitions: rows that still tie are equal in everything
+    the window reads or the findings print."""
+    more = [c for c in (value, "tax_claimed") if c in df.columns and c not in order]
+    return [*order, *more]
+
+
 def _preceding(df: DataFrame, partition: Sequence[str], order: Sequence[str], value: str,
                rows: int) -> DataFrame:
     w = Window.partitionBy(*partition).orderBy(*order).rowsBetween(-rows, -1)
     return (df.withColumn("prev_n", F.count(value).over(w))
-            .withColumn("prev_cents", F.sum(cents(F.col(value))).over(w)))
+            .withColumn("prev_units", F.sum(units(F.col(value), exact_type(df, value))).over(w)))
 
 
 def with_preceding(clean: DataFrame, key: str = "vendor_id", order: Sequence[str] = ORDER,
                    value: str = "amount", rows: int = 30) -> DataFrame:
-    """Adds ``prev_n`` and ``prev_cents``: count and sum (in cents) of ``value`` over the
-    ``rows`` preceding rows of the same ``key``. ``order`` must be unique within ``key``."""
-    return _preceding(clean, [key], order, value, rows)
+    """Adds ``prev_n`` and ``prev_units``: count and sum of ``value`` over the ``rows`` preceding
+    rows of the same ``key``, the sum in units of the column's last decimal place. Rows that tie
+    in ``order`` go by value."""
+    return _preceding(clean, [key], total_order(clean, order, value), value, rows)
 
 
 def with_preceding_in_blocks(big: DataFrame, block_rows: int,
@@ -49,7 +59,7 @@ def with_preceding_in_blocks(big: DataFrame, block_rows: int,
     shuffle partitions if not given.
     """
     block_rows = max(block_rows, rows)
-    sort_key = [key, *order]
+    sort_key = [key, *total_order(big, order, value)]
     ranges = sort_key if slices is None else [slices, *sort_key]
     # The id is (partition << 33) + row in partition; staging fixes it for the uses below.
     numbered = stage(
@@ -102,29 +112,37 @@ def with_preceding_by_size(clean: DataFrame, sizes: DataFrame, max_group_rows: i
         slices=int(big_rows // max_group_rows) + 1))
 
 
-def is_spike(factor: int | float = 3, value: str = "amount") -> Column:
+def _exact(number: float | int) -> Column:
+    return F.lit(Decimal(str(number)))
+
+
+def is_spike(factor: int | float = 3, value: str = "amount",
+             kind: T.DecimalType = S.MONEY) -> Column:
     """``value > factor * mean of the preceding rows``, compared without rounding."""
     return ((F.col("prev_n") > 0)
-            & (cents(F.col(value)) * F.col("prev_n") > F.col("prev_cents") * F.lit(factor)))
+            & (units(F.col(value), kind) * F.col("prev_n") > F.col("prev_units") * _exact(factor)))
 
 
-def rolling_mean() -> Column:
-    return F.col("prev_cents") / F.nullif(F.col("prev_n") * 100, F.lit(0))
+def rolling_mean(kind: T.DecimalType = S.MONEY) -> Column:
+    return F.col("prev_units").cast("double") / F.nullif(
+        F.col("prev_n") * F.lit(10 ** kind.scale), F.lit(0)).cast("double")
 
 
-def spike_ratio(value: str = "amount") -> Column:
-    return (cents(F.col(value)) * F.col("prev_n")) / F.nullif(F.col("prev_cents"), F.lit(0))
+def spike_ratio(value: str = "amount", kind: T.DecimalType = S.MONEY) -> Column:
+    return ((units(F.col(value), kind) * F.col("prev_n")).cast("double")
+            / F.nullif(F.col("prev_units"), F.lit(0)).cast("double"))
 
 
-def spike_finding(factor: int | float = 3, value: str = "amount") -> Column:
-    total = (F.col("prev_cents").cast("decimal(20,0)") / F.lit(100).cast("decimal(3,0)"))
+def spike_finding(factor: int | float = 3, value: str = "amount",
+                  kind: T.DecimalType = S.MONEY) -> Column:
     # The wording of the evidence.
     details = F.concat(
-        F.lit("Spike ratio: "), text2(spike_ratio(value)),
+        F.lit("Spike ratio: "), text2(spike_ratio(value, kind)),
         F.lit("x | Amount: "), text2(F.col(value)),
-        F.lit(" | Rolling avg: "), mean_text2(total, F.col("prev_n")))
-    return flag(S.ROLLING_SPIKE, S.HIGH, details, score=spike_ratio(value),
-                baseline=rolling_mean(), threshold=factor)
+        F.lit(" | Rolling avg: "),
+        mean_text2(from_units(F.col("prev_units"), kind), F.col("prev_n")))
+    return flag(S.ROLLING_SPIKE, S.HIGH, details, score=spike_ratio(value, kind),
+                baseline=rolling_mean(kind), threshold=factor)
 
 
 def detect_rolling_spike(clean: DataFrame, key: str = "vendor_id", order: Sequence[str] = ORDER,
@@ -134,6 +152,8 @@ def detect_rolling_spike(clean: DataFrame, key: str = "vendor_id", order: Sequen
 
     The first invoice of a vendor has no mean and is never flagged.
     """
+    kind = exact_type(clean, value)
     if preceding is None:
         preceding = with_preceding(clean, key, order, value, rows)
-    return flag_rows(preceding.where(is_spike(factor, value)), spike_finding(factor, value))
+    return flag_rows(preceding.where(is_spike(factor, value, kind)),
+                     spike_finding(factor, value, kind))

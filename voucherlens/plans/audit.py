@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voucherlens import schema as S
-from voucherlens.operators import baselines, quantiles, rolling, rules, scores, signals
+from voucherlens.functions.money import exact_type
+from voucherlens.operators import (baselines, keys, quantiles, rolling, rules, scores,
+                                   signals)
 from voucherlens.operators.flags import collect_flags, flag_table, status_of
 from voucherlens.plans import reports
 
@@ -50,6 +52,7 @@ def find_outliers(validated: DataFrame, stage: Staging,
     """
     columns = [c for c in validated.columns if c not in (*MARKS, "validation_status")]
     clean = clean_rows(validated).select(*columns)
+    kind = exact_type(clean, "amount")
     base = stage(baselines.vendor_baselines(clean), "baselines")
     fences = stage(quantiles.iqr_fences(clean, stage, k=params.iqr_k), "fences")
     rolled = rolling.with_preceding_by_size(clean, base, params.max_group_rows, stage,
@@ -57,7 +60,8 @@ def find_outliers(validated: DataFrame, stage: Staging,
     judged = baselines.with_zscore(rolled, base).join(fences, "category_id", "left")
     flags = collect_flags(
         (F.col("z_score") > params.z_min, baselines.zscore_finding(params.z_min, params.z_high)),
-        (rolling.is_spike(params.spike_factor), rolling.spike_finding(params.spike_factor)),
+        (rolling.is_spike(params.spike_factor, kind=kind),
+         rolling.spike_finding(params.spike_factor, kind=kind)),
         (quantiles.is_outlier(), quantiles.iqr_finding()),
     )
     judged = judged.select(*columns, flags.alias("flags"))
@@ -103,10 +107,29 @@ class Audit:
         }
 
 
+def check_keys(inv: DataFrame, vendors: DataFrame, categories: DataFrame,
+               invoice_ids: bool = True) -> None:
+    """Raises unless the keys of the three tables are unique and not NULL.
+
+    A vendor or category that is there twice would double its invoices in every join. Checking
+    the invoice ids costs a shuffle of that one column.
+    """
+    keys.require_unique(vendors, "vendors", "vendor_id")
+    keys.require_unique(categories, "categories", "category_id")
+    if invoice_ids:
+        keys.require_unique(inv, "invoices", "invoice_id")
+
+
 def run(inv: DataFrame, vendors: DataFrame, categories: DataFrame, stage: Staging,
-        params: S.AuditParams = S.AuditParams()) -> Audit:
-    """The whole audit. Each big table is written once and read back where it is needed."""
-    validated = stage(validate(inv, vendors, stage), "validated")
+        params: S.AuditParams = S.AuditParams(), inv_keys: DataFrame | None = None,
+        check_invoice_ids: bool = True) -> Audit:
+    """The whole audit. Each big table is written once and read back where it is needed.
+
+    The keys are checked first. ``inv_keys`` may give id, vendor, amount and date of the
+    invoices by a cheaper query than ``inv``, for the id check and the duplicate groups.
+    """
+    check_keys(inv if inv_keys is None else inv_keys, vendors, categories, check_invoice_ids)
+    validated = stage(validate(inv, vendors, stage, inv_keys), "validated")
     audited = stage(find_outliers(validated, stage, params), "audited")
     scored = stage(vendor_scores(audited, stage, params), "scores")
     return Audit(audited, flag_table(audited), scored, vendors, categories)
