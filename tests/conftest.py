@@ -26,7 +26,8 @@ def spark(tmp_path_factory):
 
 @pytest.fixture()
 def stage(spark):
-    return Stage(spark)
+    with Stage(spark) as own:
+        yield own
 
 
 def day(n: int = 0) -> dt.date:

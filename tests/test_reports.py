@@ -3,9 +3,10 @@ import os
 import pytest
 from conftest import DATA, ids
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voucherlens import schema as S
-from voucherlens.operators import flags, keys
+from voucherlens.operators import flags, keys, rules, signals
 from voucherlens.plans import audit, reports
 from voucherlens.sources import ledger, sinks, tables
 from voucherlens.staging import Stage, staging_root
@@ -110,24 +111,24 @@ def test_sql_over_the_views_gives_the_reports(spark, run, out):
         want = sorted((tuple(map(str, r)) for r in out[name]))
         assert sorted(tuple(map(str, r)) for r in got.collect()) == want
 
-    same("""SELECT count(*) total_invoices, sum(amount) total_amount, sum(tax_claimed) total_tax_claimed,
-                   count(*) FILTER (WHERE validation_status = 'FLAGGED') total_flagged,
-                   round(100D * count_if(validation_status = 'FLAGGED') / count(*), 2) flag_rate_pct
-            FROM invoices""", "kpi_overview")
-    same("""SELECT flag_type, severity, count(*) flag_count, count(DISTINCT vendor_id) vendors_affected
-            FROM flags GROUP BY ALL""", "flags_breakdown")
-    same("""SELECT s.vendor_id, vendor_name, category, state_code, anomaly_frequency, deviation_magnitude,
-                   validation_failures, recency_score, composite_score, risk_tier
-            FROM vendor_risk_scores s JOIN vendors v ON s.vendor_id = v.vendor_id""", "vendor_risk_scores")
-    same("""SELECT i.invoice_id, i.vendor_id, vendor_name, category, category_name gst_category, gst_rate,
-                   invoice_date, amount, tax_claimed, i.state_code, validation_status, flag_types,
-                   max_severity
-            FROM invoices i JOIN vendors v ON i.vendor_id = v.vendor_id
-            JOIN gst_categories c ON i.category_id = c.category_id
-            LEFT JOIN (SELECT invoice_id, max(severity) max_severity,
-                              listagg(DISTINCT flag_type, ', ') WITHIN GROUP (ORDER BY flag_type) flag_types
-                       FROM flags GROUP BY invoice_id) f ON i.invoice_id = f.invoice_id""",
-         "invoice_detail")
+    same("""WITH n AS (SELECT *, if(validation_status = 'CLEAN', 0, 1) bad FROM invoices)
+            SELECT count(bad) total_invoices, sum(amount) total_amount, sum(tax_claimed) total_tax_claimed,
+                   sum(bad) total_flagged, round(avg(bad) * 100, 2) flag_rate_pct FROM n""",
+         "kpi_overview")
+    same("""WITH kinds AS (SELECT flag_type, severity, vendor_id, count(*) k FROM flags GROUP BY ALL)
+            SELECT flag_type, severity, sum(k) flag_count, count(vendor_id) vendors_affected
+            FROM kinds GROUP BY ALL""", "flags_breakdown")
+    same("""SELECT vendor_id, vendor_name, category, state_code,
+                   s.* EXCEPT (vendor_id, risk_tier), risk_tier
+            FROM vendors JOIN vendor_risk_scores s USING (vendor_id)""", "vendor_risk_scores")
+    same("""WITH kinds AS (SELECT invoice_id, array_join(sort_array(collect_set(flag_type)), ', ') flag_types,
+                                  array_max(collect_list(severity)) max_severity
+                           FROM flags GROUP BY invoice_id)
+            SELECT invoice_id, vendor_id, vendor_name, category, category_name gst_category, gst_rate,
+                   invoice_date, amount, tax_claimed, invoices.state_code, validation_status,
+                   flag_types, max_severity
+            FROM invoices JOIN vendors USING (vendor_id) JOIN gst_categories USING (category_id)
+                 LEFT JOIN kinds USING (invoice_id)""", "invoice_detail")
 
 
 def test_csv_export(spark, run, out, tmp_path):
@@ -142,10 +143,51 @@ def test_csv_export(spark, run, out, tmp_path):
         assert back.count() == len(out[name])
 
 
-def test_csv_keeps_commas_quotes_and_leading_zeros(spark, vendors, tmp_path):
-    ven = vendors((1, "07")).withColumn("vendor_name", F.lit('Mand, Tella "and" Dhār'))
-    sinks.write_csv(ven, str(tmp_path / "v"), single_file=True)
-    assert tables.read_csv(spark, str(tmp_path / "v"), S.VENDORS).collect() == ven.collect()
+def test_csv_round_trip(spark, vendors, tmp_path):
+    """Separators, quotes, outer spaces, line breaks, empty text, NULL, leading zeros."""
+    names = ['Öl, Salz "und" Brot', "  two  ", "first\nsecond, third", "", None, "\\", '"', " , "]
+    ven = vendors(*[(i, "07") for i in range(len(names))]).drop("vendor_name").join(
+        spark.createDataFrame(list(enumerate(names)), "vendor_id long, vendor_name string"),
+        "vendor_id").select(*S.VENDORS.fieldNames())
+    sinks.write_csv(ven, str(tmp_path / "v"))
+    back = tables.read_csv(spark, str(tmp_path / "v"), S.VENDORS)
+    assert back.schema == S.VENDORS
+    assert sorted(back.collect(), key=str) == sorted(ven.collect(), key=str)
+
+
+def written(path, *lines):
+    path.mkdir()
+    for i, text in enumerate(lines):
+        (path / f"part-{i}.csv").write_text(text)
+    return str(path)
+
+
+def test_csv_columns_go_by_name(spark, tmp_path):
+    head = "state_code,vendor_id,category,extra,vendor_name,gstin,registration_date\n"
+    path = written(tmp_path / "v", head + "07,1,Textiles,x,A,07A,2020-01-31\n")
+    row = tables.read_csv(spark, path, S.VENDORS).first()
+    assert (row.vendor_id, row.category, row.state_code) == (1, "Textiles", "07")
+    assert str(row.registration_date) == "2020-01-31"
+    with pytest.raises(ValueError, match="category_name"):
+        tables.read_csv(spark, path, S.CATEGORIES)
+
+
+@pytest.mark.parametrize("bad,field", [("bad,x,2020-01-31", "vendor_id"),
+                                       ("1,x,notadate", "registration_date")])
+def test_csv_with_bad_cells_fails(spark, tmp_path, bad, field):
+    schema = T.StructType([S.VENDORS[c] for c in ("vendor_id", "vendor_name", "registration_date")])
+    path = written(tmp_path / "v", "vendor_id,vendor_name,registration_date\n" + bad + "\n")
+    with pytest.raises(Exception, match=f"{field} is not"):
+        tables.read_csv(spark, path, schema).collect()
+
+
+def test_csv_with_ragged_rows_or_other_headers_fails(spark, tmp_path):
+    schema = T.StructType([S.VENDORS["vendor_id"], S.VENDORS["vendor_name"]])
+    ragged = written(tmp_path / "r", "vendor_id,vendor_name\n1,a,b\n")
+    other = written(tmp_path / "o", "vendor_id,vendor_name\n1,a\n", "vendor_name,vendor_id\nb,2\n")
+    for path in (ragged, other):
+        with pytest.raises(Exception):
+            tables.read_csv(spark, path, schema).collect()
 
 
 def test_parquet_and_table_sources_and_timestamps(spark, run, tmp_path):
@@ -169,6 +211,9 @@ def test_jdbc_options():
                    "upperBound": "1000", "numPartitions": "16"}
     with pytest.raises(ValueError):
         tables.jdbc_options("jdbc:x", "invoices", partition_column="vendor_id")
+    with pytest.raises(ValueError, match="single_task"):
+        tables.jdbc_options("jdbc:x", "invoices")
+    assert tables.jdbc_options("jdbc:x", "small", single_task=True)["dbtable"] == "small"
 
 
 def test_insert_if_absent(spark):
@@ -181,10 +226,31 @@ def test_insert_if_absent(spark):
     assert sorted(again.collect()) == got
 
 
+def test_rows_without_a_key_are_refused_and_not_lost(spark):
+    cols = "invoice_id string, amount int"
+    old = spark.createDataFrame([("a", 1)], cols)
+    new = spark.createDataFrame([(None, 1), (None, 2), ("b", 3)], cols)
+    with pytest.raises(Exception, match="NULL in the key invoice_id"):
+        keys.insert_if_absent(old, new, "invoice_id").collect()
+
+
+def test_known_keys_go_before_anything_is_sorted(spark):
+    cols = "invoice_id string, amount int"
+    old, new = (spark.createDataFrame([("a", 1)], cols) for _ in range(2))
+    text = keys.insert_if_absent(old, new, "invoice_id")._jdf.queryExecution().executedPlan().toString()
+    aggregates = [i for i, line in enumerate(text.splitlines()) if "Aggregate" in line]
+    anti = next(i for i, line in enumerate(text.splitlines()) if "LeftAnti" in line)
+    assert max(aggregates) < anti
+
+
 def test_key_checks(spark):
     parent = spark.createDataFrame([(1,), (2,), (2,), (None,)], "k int")
     assert sorted(((r.k or 0), r.occurrences) for r in keys.check_unique(parent, "k").collect()) == [
         (0, 1), (2, 2)]
+    pairs = spark.createDataFrame([(1, "a"), (1, "b"), (1, "b"), (2, None)], "k int, t string")
+    assert sorted(((r.k, r.t or ""), r.occurrences)
+                  for r in keys.check_unique(pairs, "k", "t").collect()) == [
+        ((1, "b"), 2), ((2, ""), 1)]
     child = spark.createDataFrame([(1,), (3,), (None,)], "k int")
     assert [r.k for r in keys.check_fk(child, parent, "k").collect()] == [3]
 
@@ -197,6 +263,41 @@ def test_staging_uses_the_folder_of_the_session(spark, monkeypatch):
     assert all(f.startswith(stage.path) for f in first.inputFiles())
 
 
+def test_a_stage_deletes_its_own_folder_only(spark):
+    other = Stage(spark)
+    other(spark.range(2), "kept")
+    with Stage(spark) as stage:
+        stage(spark.range(5), "x")
+        assert stage.bytes_written() > 0
+    assert stage.bytes_written() == 0 and other.bytes_written() > 0
+    assert other.path.rsplit("/", 1)[0] == stage.path.rsplit("/", 1)[0]
+    stage.close()                                    # once more does no harm
+    other.close()
+
+
+@pytest.mark.parametrize("table", ["vendors", "categories", "invoices"])
+def test_the_audit_refuses_repeated_keys(invoices, vendors, categories, stage, table):
+    given = dict(vendors=vendors((1, "07")), categories=categories,
+                 invoices=invoices(dict(), dict()))
+    given[table] = given[table].unionByName(given[table])
+    key = {"vendors": "vendor_id", "categories": "category_id", "invoices": "invoice_id"}[table]
+    with pytest.raises(ValueError, match=f"{key} is not a key of {table}"):
+        audit.run(given["invoices"], given["vendors"], given["categories"], stage)
+
+
+def test_missing_fields_as_findings(invoices):
+    inv = invoices(dict(), dict(vendor_id=None, amount=None))
+    found = rules.missing_field_report(inv, emit_flags=True).collect()
+    assert [(r.invoice_id, r.severity, r.details) for r in found] == [
+        ("I001", "LOW", "Missing: vendor_id, amount")]
+
+
+def test_frequency_is_ordered_by_rate(run):
+    facts = signals.vendor_facts(run.audited, ledger.CUTOFF)
+    rates = [r.flag_rate for r in signals.signal_frequency(facts).collect()]
+    assert rates == sorted(rates, reverse=True)
+
+
 def test_staging_refuses_a_local_folder_on_a_cluster():
     class Context:
         master = "spark://somewhere:7077"

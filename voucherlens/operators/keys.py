@@ -6,10 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def check_unique(df: DataFrame, key: str) -> DataFrame:
-    """Key values that are NULL or occur more than once; empty when ``key`` is a key."""
-    return (df.groupBy(key).agg(F.count(F.lit(1)).alias("occurrences"))
-            .where(F.col(key).isNull() | (F.col("occurrences") > 1)))
+def check_unique(df: DataFrame, *keys: str) -> DataFrame:
+    """Key values that occur more than once or have a NULL in them; empty when ``keys`` is a key."""
+    missing = F.lit(False)
+    for k in keys:
+        missing = missing | F.col(k).isNull()
+    return (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("occurrences"))
+            .where(missing | (F.col("occurrences") > 1)))
+
+
+def require_unique(df: DataFrame, table: str, *keys: str) -> None:
+    """Raises if ``keys`` is no key of ``df``, naming the table, the key and some bad values."""
+    bad = check_unique(df.select(*keys), *keys).limit(5).collect()  # five rows at most
+    if bad:
+        shown = ", ".join(str(tuple(r[k] for k in keys)) for r in bad)
+        raise ValueError(f"{', '.join(keys)} is not a key of {table}: {shown}")
 
 
 def check_fk(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
@@ -20,10 +31,15 @@ def check_fk(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
 def insert_if_absent(existing: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
     """``existing`` plus those ``incoming`` rows whose key is not there yet.
 
-    If a new key arrives several times, the smallest row by column order is kept. That choice
-    is an aggregate (combined before the shuffle), so a key repeated without end is safe.
+    If a new key arrives several times, the smallest row by column order is kept. The rows that
+    are there already go first (an anti join), then the choice among the few new ones is an
+    aggregate, combined before the shuffle, so a key repeated without end is safe. A NULL key
+    is no key: incoming rows with one make the query fail.
     """
     others = [c for c in existing.columns if c != key]
-    first = (incoming.groupBy(key).agg(F.min(F.struct(*others)).alias("_row"))
-             .select(key, "_row.*"))
-    return existing.unionByName(first.join(existing.select(key), key, "left_anti"))
+    checked = F.when(F.col(key).isNull(), F.raise_error(F.lit(f"NULL in the key {key}"))
+                     ).otherwise(F.col(key))
+    rows = incoming.select(*[checked.alias(c) if c == key else F.col(c) for c in existing.columns])
+    new = rows.join(existing.select(key), key, "left_anti")
+    first = (new.groupBy(key).agg(F.min(F.struct(*others)).alias("_row")).select(key, "_row.*"))
+    return existing.unionByName(first)

@@ -93,9 +93,17 @@ def rule_flags() -> Column:
     )
 
 
-def missing_field_report(inv: DataFrame,
-                         cols: Sequence[str] = S.REQUIRED_FIELDS) -> DataFrame:
-    """One row: invoices with any required field missing, and how often each is missing."""
+def missing_field_report(inv: DataFrame, cols: Sequence[str] = S.REQUIRED_FIELDS,
+                         emit_flags: bool = False) -> DataFrame:
+    """One row: invoices with any required field missing, and how often each is missing.
+
+    With ``emit_flags`` the findings instead, one row for each invoice with a missing field. They
+    are not part of the audit, which only reports them.
+    """
+    if emit_flags:
+        names = F.concat_ws(", ", *[F.when(F.col(c).isNull(), c) for c in cols])
+        return flag_rows(inv.where(names != ""), flag(
+            S.MISSING_FIELD, S.LOW, F.concat(F.lit("Missing: "), names)))
     missing = [F.col(c).isNull() for c in cols]
     any_missing = missing[0]
     for m in missing[1:]:

@@ -38,9 +38,11 @@ def vendor_facts(audited: DataFrame, cutoff: dt.date) -> DataFrame:
 
 
 def signal_frequency(facts: DataFrame) -> DataFrame:
-    """Flagged invoices per 100 invoices."""
-    return facts.select("vendor_id", "total_invoices", "flagged_invoices",
-                        pct2(F.col("flagged_invoices"), F.col("total_invoices")).alias("flag_rate"))
+    """Flagged invoices per 100 invoices, highest rate first."""
+    rate = pct2(F.col("flagged_invoices"), F.col("total_invoices"))
+    return (facts.select("vendor_id", "total_invoices", "flagged_invoices",
+                         rate.alias("flag_rate"))
+            .orderBy(F.desc("flag_rate"), "vendor_id"))
 
 
 def signal_magnitude(facts: DataFrame) -> DataFrame:

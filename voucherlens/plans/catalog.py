@@ -62,11 +62,15 @@ def _facts(spark: SparkSession, folder: str, stage: Stage, **kind) -> DataFrame:
 
 
 def _scores(spark: SparkSession, folder: str, stage: Stage, **kind) -> DataFrame:
-    return audit.vendor_scores(_audited(spark, folder, stage, **kind), stage, PARAMS)
+    # Staged, so that what is asked of the scores is not pushed through the min-max step.
+    return stage(audit.vendor_scores(_audited(spark, folder, stage, **kind), stage, PARAMS),
+                 "scores")
 
 
 def _query(f: Callable[[SparkSession, str, Stage], DataFrame]) -> Query:
-    return lambda spark, folder: plain(f(spark, folder, Stage(spark)))
+    """The result is lazy and reads staged tables: close the stage once it has been used. Without
+    one of your own, the query makes one that stays until the checkpoint folder is cleared."""
+    return lambda spark, folder, stage=None: plain(f(spark, folder, stage or Stage(spark)))
 
 
 # --- rule checks -----------------------------------------------------------------------------
@@ -108,7 +112,7 @@ def validation_summary(spark, folder, stage):
 
 def status_from_flag_table(spark, folder, stage):
     """The status by way of a flag table that is joined back to the invoices."""
-    inv = ledger.invoices(spark, folder, category=False)
+    inv = stage(ledger.invoices(spark, folder, category=False), "invoices")
     found = flags.union_flags(
         rules.detect_duplicates(inv, groups=stage(rules.duplicate_groups(inv), "groups")),
         rules.detect_mismatch(inv, ledger.vendor_states(spark, folder)),
@@ -269,16 +273,21 @@ def report_category(spark, folder, stage):
 
 def duplicate_ids(spark, folder, stage):
     """Order and line number, which look like a key of the lines and are not."""
-    lines = ledger.invoices(spark, folder, category=False, state=False).select(
-        F.regexp_extract("invoice_id", r"^\d+-\d+", 0).alias("line_key"))
-    return keys.check_unique(lines, "line_key")
+    return keys.check_unique(ledger.line_numbers(spark, folder), "l_orderkey", "l_linenumber")
+
+
+def missing_field_flags(spark, folder, stage):
+    """The missing fields as findings; -1 stands for a missing vendor."""
+    return rules.missing_field_report(
+        ledger.invoices(spark, folder, category=False, state=False, dirty=True),
+        emit_flags=True).fillna(-1, ["vendor_id"])
 
 
 def unknown_vendors(spark, folder, stage):
-    """Invoices of vendors that are not among those whose category is AFRICA or AMERICA."""
-    some = ledger.vendors(spark, folder).where(F.col("category").isin("AFRICA", "AMERICA"))
-    inv = ledger.invoices(spark, folder, category=False, state=False)
-    return keys.check_fk(inv, stage(some, "vendors"), "vendor_id").select("invoice_id", "vendor_id")
+    """Invoices of vendors that do not exist, in the ledger with broken vendor ids."""
+    inv = ledger.invoices(spark, folder, category=False, state=False, dirty=True)
+    return keys.check_fk(inv, ledger.vendor_states(spark, folder), "vendor_id").select(
+        "invoice_id", "vendor_id")
 
 
 def insert_if_absent(spark, folder, stage):
@@ -308,6 +317,27 @@ def events_flag_iqr(spark, folder, stage):
     return quantiles.detect_iqr(events, stage(quantiles.iqr_fences(events, stage), "fences"))
 
 
+# Amounts with four decimals: the detectors take the scale from the column.
+
+FINE = T.DecimalType(18, 4)
+
+
+def fine_flag_zscore(spark, folder, stage):
+    events = ledger.event_invoices(spark, folder, FINE)
+    base = stage(baselines.vendor_baselines(events), "baselines")
+    return baselines.detect_zscore(events, baselines=base)
+
+
+def fine_flag_rolling_spike(spark, folder, stage):
+    events = ledger.event_invoices(spark, folder, FINE)
+    return rolling.detect_rolling_spike(events, preceding=_rolled(events, stage))
+
+
+def fine_flag_iqr(spark, folder, stage):
+    events = ledger.event_invoices(spark, folder, FINE)
+    return quantiles.detect_iqr(events, stage(quantiles.iqr_fences(events, stage), "fences"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: _query(f) for f in (
     dup_groups, flag_duplicate, flag_state_mismatch, flag_invalid_amount, missing_fields,
     validation_status, validation_summary, status_from_flag_table,
@@ -319,6 +349,7 @@ QUERIES: dict[str, Query] = {f.__name__: _query(f) for f in (
     top_risk_vendors, top_medium_vendors, dirty_vendor_scores,
     report_kpi, report_flags, report_monthly, report_vendor_scores, report_invoice_detail,
     report_category,
-    duplicate_ids, unknown_vendors, insert_if_absent,
+    duplicate_ids, missing_field_flags, unknown_vendors, insert_if_absent,
     events_flag_zscore, events_flag_rolling_spike, events_flag_iqr,
+    fine_flag_zscore, fine_flag_rolling_spike, fine_flag_iqr,
 )}

@@ -59,6 +59,7 @@ INVALID_AMOUNT = "INVALID_AMOUNT"
 STATISTICAL_ZSCORE = "STATISTICAL_ZSCORE"
 ROLLING_SPIKE = "ROLLING_SPIKE"
 IQR_OUTLIER = "IQR_OUTLIER"
+MISSING_FIELD = "MISSING_FIELD"  # our own; only on request
 
 LOW, MEDIUM, HIGH = "LOW", "MEDIUM", "HIGH"
 PENDING, CLEAN, FLAGGED = "PENDING", "CLEAN", "FLAGGED"

@@ -10,6 +10,7 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voucherlens import schema as S
 
@@ -25,6 +26,7 @@ CATEGORY_RATES = (
     (6, "STANDARD", "18.00"),
 )
 
+UNKNOWN = 1_000_000_000  # added to a vendor id to break it
 
 # The columns read here, with their types: stating them saves a job per table that would
 # open a file to infer them.
@@ -84,7 +86,7 @@ def invoices(spark: SparkSession, folder: str, category: bool = True, state: boo
 
     ``copies`` repeats the lines of every 97th order under a new id, which makes duplicates.
     Every 31st order is invoiced from the customer's state, which makes mismatches. ``dirty``
-    negates some amounts and drops some vendor ids.
+    negates some amounts, drops some vendor ids and breaks others, so that no vendor has them.
     """
     order = F.col("l_orderkey")
     quantity = F.col("l_quantity").cast("decimal(4,0)")
@@ -94,7 +96,7 @@ def invoices(spark: SparkSession, folder: str, category: bool = True, state: boo
                           F.col("l_suppkey"), F.col("l_quantity").cast("int"))
     if dirty:
         amount = F.when(order % 499 == 0, -amount).otherwise(amount)
-        vendor = F.when(order % 997 != 0, vendor)
+        vendor = F.when(order % 983 == 0, vendor + UNKNOWN).when(order % 997 != 0, vendor)
     columns = {
         "invoice_id": line_id,
         "vendor_id": vendor,
@@ -133,13 +135,17 @@ def invoices(spark: SparkSession, folder: str, category: bool = True, state: boo
     return lines.select(*[columns[n].alias(n) for n in names])
 
 
-def event_invoices(spark: SparkSession, folder: str) -> DataFrame:
+def line_numbers(spark: SparkSession, folder: str) -> DataFrame:
+    return _read(spark, folder, "lineitem").select("l_orderkey", "l_linenumber")
+
+
+def event_invoices(spark: SparkSession, folder: str, money: T.DecimalType = S.MONEY) -> DataFrame:
     """Events as a second ledger: users as vendors, event types as categories."""
     return _read(spark, folder, "events").select(
         F.col("event_id").cast("string").alias("invoice_id"),
         F.col("user_id").alias("vendor_id"),
         F.col("event_type").alias("category_id"),
         F.col("ts").cast("date").alias("invoice_date"),
-        F.col("value").cast(S.MONEY).alias("amount"),
+        F.col("value").cast(money).alias("amount"),
         F.lit(0).cast(S.MONEY).alias("tax_claimed"),
     )

@@ -7,14 +7,21 @@ from pyspark.sql import functions as F
 
 from voucherlens.plans.audit import Audit
 
-# Reports whose size grows with the ledger; written in parallel, never as one file.
-BIG_REPORTS = frozenset({"invoice_detail"})
+# Reports whose size grows with the ledger or the vendors; written in parallel, never as one file.
+BIG_REPORTS = frozenset({"invoice_detail", "vendor_risk_scores"})
 
 
 def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
-    """CSV with a header, replacing what was there. ``single_file`` is for small reports."""
+    """CSV with a header, replacing what was there. ``single_file`` is for small reports.
+
+    Spaces, quotes, line breaks and the difference between NULL and the empty text survive, see
+    :func:`tables.read_csv`.
+    """
     out = df.coalesce(1) if single_file else df
-    out.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    (out.write.mode("overwrite")
+     .options(header=True, escape='"', emptyValue='""', ignoreLeadingWhiteSpace=False,
+              ignoreTrailingWhiteSpace=False)
+     .csv(path))
 
 
 def export_reports(audit: Audit, folder: str) -> list[str]:

@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Selects the columns of ``schema`` with its types; missing columns are an error."""
-    missing = [f.name for f in schema.fields if f.name not in df.columns]
-    if missing:
-        raise ValueError(f"missing columns: {', '.join(missing)}")
-    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+    return _require(df, schema).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
 def read_parquet(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -23,16 +20,51 @@ def read_table(spark: SparkSession, name: str, schema: T.StructType) -> DataFram
     return conform(spark.table(name), schema)
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """CSV with a header. The schema is given, never inferred: codes keep leading zeros."""
-    return (spark.read.option("header", True).option("escape", '"').option("multiLine", False)
-            .schema(schema).csv(path))
+def read_csv(spark: SparkSession, path: str, schema: T.StructType,
+             multi_line: bool = True) -> DataFrame:
+    """CSV with a header, as :func:`sinks.write_csv` writes it.
+
+    Columns are found by their name in the header, in every file, and read as text first:
+    codes keep leading zeros, and a value that is not of its column's type is an error that names
+    both, never a silent NULL. An unquoted empty field is NULL, a quoted one the empty text.
+    ``multi_line`` allows line breaks in quoted fields and reads a file in one task; big ledgers
+    without any can do without it.
+    """
+    options = dict(header=True, escape='"', multiLine=multi_line, mode="FAILFAST",
+                   ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+                   nullValue="\0")  # any text that is not the empty one
+    names = spark.read.options(**options).csv(path).columns
+    text = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    rows = spark.read.options(**options, enforceSchema=False).schema(text).csv(path)
+    return rows.transform(_require, schema).select(*[_typed(f) for f in schema.fields])
+
+
+def _require(df: DataFrame, schema: T.StructType) -> DataFrame:
+    missing = [f.name for f in schema.fields if f.name not in df.columns]
+    if missing:
+        raise ValueError(f"missing columns: {', '.join(missing)}")
+    return df
+
+
+def _typed(field: T.StructField) -> Column:
+    """A text column as the type of ``field``; what cannot be converted raises."""
+    text, value = F.col(field.name), F.col(field.name).try_cast(field.dataType)
+    problem = F.concat(F.lit(f"{field.name} is not {field.dataType.simpleString()}: "), text)
+    return F.when(text.isNotNull() & value.isNull(), F.raise_error(problem)).otherwise(
+        value).alias(field.name)
 
 
 def jdbc_options(url: str, table: str, *, user: str | None = None, password: str | None = None,
                  partition_column: str | None = None, lower: object = None, upper: object = None,
-                 partitions: int = 1, fetch_size: int = 10_000) -> dict[str, str]:
-    """Options for a partitioned JDBC read. Without a partition column one task reads all."""
+                 partitions: int = 1, fetch_size: int = 10_000,
+                 single_task: bool = False) -> dict[str, str]:
+    """Options for a partitioned JDBC read.
+
+    Without a partition column one task reads the whole table; that has to be asked for by
+    ``single_task``, for small tables.
+    """
+    if partition_column is None and not single_task:
+        raise ValueError("name a partition column, or ask for single_task=True")
     options = {"url": url, "dbtable": table, "fetchsize": str(fetch_size)}
     if user is not None:
         options["user"] = user

@@ -9,6 +9,13 @@ A staged table does three jobs in this library:
   ``spark.sql.autoBroadcastJoinThreshold`` and otherwise plans a sort-merge join whose sides
   are bare shuffles, which is the shape that AQE can split when one key is hot. So the
   library needs no broadcast hints.
+
+A :class:`Stage` owns one folder. Results are lazy and read from it, so whoever made the stage
+closes it when the results have been written or collected:
+
+    with Stage(spark) as stage:
+        run = audit.run(invoices, vendors, categories, stage)
+        sinks.export_reports(run, folder)
 """
 
 from __future__ import annotations
@@ -46,3 +53,23 @@ class Stage:
         path = f"{self.path}/{self._n:02d}_{name}"
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
+
+    def _folder(self):
+        """The stage's own folder and its file system, whichever Hadoop one that is."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def bytes_written(self) -> int:
+        path, files = self._folder()
+        return files.getContentSummary(path).getLength() if files.exists(path) else 0
+
+    def close(self) -> None:
+        """Deletes this stage's folder and nothing else. Its tables cannot be read afterwards."""
+        path, files = self._folder()
+        files.delete(path, True)
+
+    def __enter__(self) -> Stage:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
