@@ -1,0 +1,83 @@
+import hashlib
+import random
+import re
+import string
+
+import numpy as np
+from conftest import DATA
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from llm_cases import ODD, no_documents, odd_documents
+
+from voucherlens.llm import secret_scan as ss
+
+NAME = "password|passwd|secret|token|api_?key"
+TAIL = r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+
+
+def plain_base(text):
+    """The patterns as they are stated: match, then drop what fails."""
+    either = "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in NAME)
+    kinds = (("assign", f"({either}){TAIL}", lambda m: len(m.group(2)) >= 6),
+             ("access", r"AKIA[A-Z0-9]+", lambda m: len(m.group()) >= 20),
+             ("hex", r"[0-9a-f]+", lambda m: len(m.group()) >= 24))
+    found = [(m.start(), k, m.end(), name) for k, (name, pattern, ok) in enumerate(kinds)
+             for m in re.finditer(pattern, text or "") if ok(m)]
+    return ",".join(f"{name}:{s}:{e}" for s, _, e, name in sorted(found))
+
+
+PIECES = ["password", "PassWD", "api_key", "apiKEY", "secret", "token", "=", ":", " ", '"', "'", "AKIA",
+          "ABCDEF0123456789", "0123456789abcdef", "deadbeef", "xyz", ".", "Key", "ſecret", "-", "é"]
+
+
+@given(st.lists(st.sampled_from(PIECES), max_size=14).map("".join))
+@settings(max_examples=400, deadline=None)
+def test_base_spans(text):
+    assert ss.joined(ss.base_spans(text)) == plain_base(text)
+
+
+def test_query_on_the_documents(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    rows = ss.op2_secret_scan(spark, DATA).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        want = plain_base(texts[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(want.encode()).hexdigest()
+        spans = r.spans.split(",") if r.spans else []
+        assert set(want.split(",")) - {""} <= set(spans)
+        assert spans == sorted(spans, key=lambda s: (int(s.split(":")[1]),
+                                                    ss.KINDS.index(s.split(":")[0])))
+        for kind in ss.KINDS:
+            assert r[f"n_{kind}"] == sum(s.startswith(kind) for s in spans)
+    assert sum(r.n_assign + r.n_access + r.n_hex for r in rows) > 0
+
+
+def trained():
+    rnd = random.Random(1)
+    counts = np.zeros((2, ss._SIZE))
+    for _ in range(300):
+        np.add.at(counts[1], ss.pairs("".join(rnd.choices(string.ascii_letters + string.digits, k=32))), 1)
+        word = "".join(rnd.choice(["re", "con", "tion", "able", "in", "er", "the"]) for _ in range(5))
+        np.add.at(counts[0], ss.pairs(word), 1)
+    return ss.RandomnessModel(counts[1], counts[0])
+
+
+def test_the_models_tell_random_strings_from_identifiers():
+    model, rnd = trained(), random.Random(2)
+    secrets = ["".join(rnd.choices(string.ascii_letters + string.digits, k=30)) for _ in range(50)]
+    names = ["".join(rnd.choice(["re", "con", "tion", "able", "in", "er"]) for _ in range(9)) for _ in range(50)]
+    assert all(model.is_secret(s) for s in secrets)
+    assert not any(model.is_secret(s) for s in names)
+    text = f"the {names[0]} and {secrets[0]} or password={secrets[1]}"
+    base = ss.base_spans(text)
+    added = model.spans(text, base)
+    assert [text[s:e] for s, _, e in added] == [secrets[0]]  # the value is in the fixed span
+
+
+def test_odd_rows(spark):
+    df = odd_documents(spark)
+    rows = ss.secret_spans(df).collect()
+    assert len(rows) == len(ODD)
+    by_text = sorted((str(r.doc_id), r.base) for r in rows)
+    assert by_text == sorted((str(i), plain_base(t)) for i, t in ODD)
+    assert ss.secret_spans(no_documents(spark)).count() == 0

@@ -61,17 +61,21 @@ def site_line_dedup(docs: DataFrame, site_col: str = "source", text_col: str = "
     pages = docs.select(F.col(site_col).cast("string").alias("_site"),
                         F.col(text_col).alias("_text"))
     drop = boilerplate_lines(pages, stage, max_ratio, min_pages)
-    joined = docs.join(drop, F.col(site_col).cast("string").eqNullSafe(F.col("_of")), "left")
-    lines = lines_of(F.col(text_col))
+    # The row travels as one struct, so that its columns cannot clash with those made here.
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
+                        F.col(site_col).cast("string").alias("_site"),
+                        F.col(text_col).alias("_text"))
+    lines = lines_of(F.col("_text"))
     kept = F.when(F.col("_drop").isNull(), lines).otherwise(
         F.filter(lines, lambda x: ~F.array_contains("_drop", x)))
-    done = joined.withColumn("_kept", kept)
-    n_lines = F.coalesce(F.size(lines), F.lit(0))
-    out = [F.array_join("_kept", "\n").alias(c) if c == text_col else F.col(c)
+    done = whole.join(drop, F.col("_site").eqNullSafe(F.col("_of")), "left").select(
+        "_row", lines.alias("_lines"), kept.alias("_kept"))
+    n_lines, n_kept = (F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0))
+                       for c in ("_lines", "_kept"))
+    out = [F.array_join("_kept", "\n").alias(c) if c == text_col else F.col(f"_row.`{c}`")
            for c in docs.columns]
-    return done.select(
-        *out, F.greatest(n_lines, F.lit(0)).cast("long").alias("_n_lines"),
-        F.greatest(n_lines - F.size("_kept"), F.lit(0)).cast("long").alias("_n_dropped"))
+    return done.select(*out, n_lines.cast("long").alias("_n_lines"),
+                       (n_lines - n_kept).cast("long").alias("_n_dropped"))
 
 
 def op3_line_dedup(spark, sf_dir: str) -> DataFrame:
