@@ -21,9 +21,10 @@ linked only if
 so y shares more than cy / (1 + t) of its differences with x, hence at least one of any
 |Dy| + |Ay| - floor(cy / (1 + t)) of them. These (added shingles first: they are rare) are
 joined with all differences of the unlinked members; the members that meet form the buckets of
-the next round. Buckets within one component are dropped. The number of leaders a bucket has
-quadruples every round, so that also groups without links end soon. This loses no pair that
-shares a table key.
+the next round. Differences from one leader also tell how two members differ from each other, so
+later rounds compare these short lists and no texts. Buckets within one component are dropped. The
+number of leaders a bucket has doubles every round, so that also groups without links end soon.
+This loses no pair that shares a table key.
 
 Scale: all group work is joins that AQE can split and aggregates that combine before the
 shuffle; no task gets a bucket, class or component. Texts cross the network once, then only those
@@ -40,6 +41,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -148,50 +150,94 @@ def leaders_of(buckets: DataFrame, stage: Stage, many: int) -> DataFrame:
             .select("key", F.col("t.node").alias("leaders")))
 
 
-def _differences(leader: np.ndarray, member: np.ndarray, percent: int
-                 ) -> tuple[bool, np.ndarray, int]:
-    """(linked, differences, how many of them suffice as the first ones)."""
+class Difference(NamedTuple):
+    """How a member's set differs from a leader's: what it has beyond it, what it lacks of it."""
+
+    size: int            # of the leader's set
+    added: np.ndarray
+    lacking: np.ndarray
+
+    def linked(self, percent: int) -> bool:
+        common, union = self.size - len(self.lacking), self.size + len(self.added)
+        return 100 * common >= percent * union
+
+    def prefix(self, percent: int) -> int:
+        """How many differences suffice to meet every unlinked member this one is linked to."""
+        a, d = len(self.added), len(self.lacking)
+        return a + d - (100 * d + percent * a) // (100 + percent)
+
+
+def difference(leader: np.ndarray, member: np.ndarray) -> Difference:
+    """From two sorted sets of shingles. What is lacking gets another hash than what is added."""
     at = np.searchsorted(leader, member)
     at[at == len(leader)] = 0
     common = leader[at] == member
-    n = int(common.sum())
-    linked = 100 * n >= percent * (len(leader) + len(member) - n)
-    lacking = np.ones(len(leader), dtype=bool)
-    lacking[at[common]] = False
-    added, lacking = member[~common], leader[lacking]
-    # c / (1 + t) with t = percent / 100, in whole numbers
-    enough = (100 * len(lacking) + percent * len(added)) // (100 + percent)
-    prefix = len(added) + len(lacking) - enough
-    out = np.concatenate([added, mix(lacking ^ U64(0x5555555555555555))])
-    return linked, out[:prefix] if linked else out, prefix
-
-
-def _verify(percent: int):
+    lacks = np.ones(len(leader), dtype=bool)
+    lacks[at[common]] = False
+    return Difference(len(leader), member[~common], mix(leader[lacks] ^ U64(0x5555555555555555)))
+
+
+def relative(leader: Difference, member: Difference) -> Difference:
+    """The member's difference from a leader, both given by their differences from a third set.
+
+    What only one of the two lacks of that set, the other one has beyond it.
+    """
+    def without(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return np.setdiff1d(x, y, assume_unique=True)
+
+    return Difference(
+        leader.size - len(leader.lacking) + len(leader.added),
+        np.concatenate([without(member.added, leader.added), without(leader.lacking, member.lacking)]),
+        np.concatenate([without(member.lacking, leader.lacking), without(leader.added, member.added)]))
+
+
+_DIFF = "size int, n_added int, elements array<bigint>"
+_VERIFIED = "linked boolean, prefix int, " + _DIFF
+
+
+def _verified(batch: pa.RecordBatch, keep: tuple[str, ...], diffs: list[Difference], at: int,
+              percent: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({c: batch.column(c).slice(at, len(diffs)) for c in keep} | {
+        "linked": pa.array([d.linked(percent) for d in diffs], pa.bool_()),
+        "prefix": pa.array([d.prefix(percent) for d in diffs], pa.int32()),
+        "size": pa.array([d.size for d in diffs], pa.int32()),
+        "n_added": pa.array([len(d.added) for d in diffs], pa.int32()),
+        "elements": pa.array([np.concatenate([d.added, d.lacking]).view(np.int64) for d in diffs],
+                             pa.list_(pa.int64()))})
+
+
+def _compare_texts(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, leader_set = None, None
         for batch in batches:
-            members: list[np.ndarray] = []
-            linked, elements, prefix = [], [], []
-            done = 0
             for a, b, texts in slices(batch.column("member_text")):
-                members = shingle_sets(texts)
+                members, diffs = shingle_sets(texts), []
                 for k in range(a, b):
                     leader = batch.column("leader")[k].as_py()
                     if leader != last:
                         one = pa.array([batch.column("leader_text")[k].as_py()], pa.string())
-                        leader_set = shingle_sets(next(slices(one))[2])[0]
-                        last = leader
-                    yes, diff, first = _differences(leader_set, members[k - a], percent)
-                    linked.append(yes)
-                    elements.append(diff.view(np.int64))
-                    prefix.append(first)
-                yield pa.RecordBatch.from_pydict({
-                    "leader": batch.column("leader").slice(done, b - done),
-                    "node": batch.column("node").slice(done, b - done),
-                    "linked": pa.array(linked, pa.bool_()),
-                    "prefix": pa.array(prefix, pa.int32()),
-                    "elements": pa.array(elements, pa.list_(pa.int64()))})
-                linked, elements, prefix, done = [], [], [], b
+                        leader_set, last = shingle_sets(next(slices(one))[2])[0], leader
+                    diffs.append(difference(leader_set, members[k - a]))
+                yield _verified(batch, ("leader", "node"), diffs, a, percent)
+    return run
+
+
+def _compare_differences(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def read(batch: pa.RecordBatch, side: str) -> list[Difference]:
+            out = []
+            for size, n, e in zip(*(batch.column(f"{side}_{c}") for c in
+                                    ("size", "n_added", "elements")), strict=True):
+                e = np.asarray(e.values).view(U64)
+                out.append(Difference(size.as_py(), e[:n.as_py()], e[n.as_py():]))
+            return out
+
+        for whole in batches:
+            for a in range(0, whole.num_rows, 1000):
+                batch = whole.slice(a, 1000)
+                diffs = [relative(x, y) for x, y in zip(read(batch, "l"), read(batch, "m"),
+                                                        strict=True)]
+                yield _verified(batch, ("base", "leader", "node"), diffs, 0, percent)
     return run
 
 
@@ -199,51 +245,79 @@ def _next_buckets(groups: DataFrame, verified: DataFrame, roots: DataFrame, stag
                   ) -> DataFrame:
     """Members that meet in a difference from their first leader, where a link may be missing.
 
-    ``groups``: (chain, leader, node), without those that have led the chain.
+    ``groups``: (base, chain, leader, node), without those that have led the chain.
     """
-    rows = groups.join(verified, ["leader", "node"])
+    rows = groups.join(verified, ["base", "leader", "node"])
     open_chains = rows.where("not linked").select("chain").distinct()
+    sufficient = F.when(F.col("linked"), F.slice("elements", 1, F.col("prefix"))).otherwise(
+        F.col("elements"))
     rows = (rows.join(open_chains, "chain", "left_semi")
-            .select("chain", "node", "linked", "prefix", F.posexplode("elements").alias("i", "e"))
-            .select(F.xxhash64("chain", "e").alias("key"), "node", "linked",
+            .select("base", "chain", "node", "linked", "prefix", F.posexplode(sufficient).alias("i", "e"))
+            .select("base", F.xxhash64("chain", "e").alias("key"), "node", "linked",
                     (F.col("i") < F.col("prefix")).alias("first")))
     rows = stage(rows.join(roots, "node", "left")
-                 .select("key", "node", "linked", "first",
+                 .select("base", "key", "node", "linked", "first",
                          F.coalesce("root", "node").alias("root")), "differences")
     wanted = (rows.groupBy("key").agg(
         F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"),
         F.bool_or("first").alias("some"), F.bool_or(~F.col("linked")).alias("open"))
         .where("n > 1 and lo <> hi and some and open").select("key", "n"))
-    return stage(rows.select("key", "node").join(wanted, "key"), "buckets")
+    return stage(rows.select("base", "key", "node").join(wanted, "key"), "buckets")
 
 
 def find_links(buckets: DataFrame, texts: DataFrame, stage: Stage, percent: int = PERCENT
-               ) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b) that connect all classes a link of which shares a key, and their roots."""
-    links, roots, many = None, None, 1
+               ) -> DataFrame | None:
+    """The components of the classes: (node, root), or None where no two share a key.
+
+    The first round compares texts. From then on a member is known by its differences from the
+    leader of that round, its *base*, which decide every further link between its members.
+    """
+    if buckets.isEmpty():
+        return None
+    leaders = leaders_of(buckets, stage, 1)
+    members = stage(
+        buckets.join(leaders, "key")
+        .select(F.col("leaders")[0].alias("leader"), "node").distinct().where("leader <> node"),
+        "members")
+    known = stage(
+        members.join(texts.withColumnRenamed("text", "member_text"), "node")
+        .join(texts.select(F.col("node").alias("leader"), F.col("text").alias("leader_text")),
+              "leader")
+        .select("leader", "node", "leader_text", "member_text")
+        .mapInArrow(_compare_texts(percent), "leader bigint, node bigint, " + _VERIFIED), "verified")
+    pair = [F.col("leader").alias("a"), F.col("node").alias("b")]
+    links = known.where("linked").select(*pair)
+    roots = connected_components(links, stage)
+    based = known.withColumn("base", F.col("leader"))
+    buckets = _next_buckets(based.select("base", F.col("base").alias("chain"), "leader", "node"),
+                            based.select("base", "leader", "node", "linked", "prefix", "elements"),
+                            roots, stage)
+    known = known.select(F.col("leader").alias("base"), "node", "size", "n_added", "elements")
+    many, first_links = 1, links
     while not buckets.isEmpty():
-        leaders = stage(leaders_of(buckets, stage, many), "leaders")
+        leaders = leaders_of(buckets, stage, many)
         members = stage(
             buckets.join(leaders, "key")
-            .select(F.xxhash64("leaders").alias("chain"), "leaders", "node").distinct(), "members")
-        pairs = (members.select(F.explode("leaders").alias("leader"), "node")
+            .select("base", F.xxhash64("base", "leaders").alias("chain"), "leaders", "node")
+            .distinct(), "members")
+        pairs = (members.select("base", F.explode("leaders").alias("leader"), "node")
                  .where("leader <> node").distinct())
-        with_text = pairs.join(texts.withColumnRenamed("text", "member_text"), "node")
+
+        def side(name: str, as_node: str) -> DataFrame:
+            return known.select("base", F.col("node").alias(as_node),
+                                *[F.col(c).alias(f"{name}_{c}") for c in ("size", "n_added", "elements")])
+
         verified = stage(
-            with_text.join(texts.select(F.col("node").alias("leader"),
-                                        F.col("text").alias("leader_text")), "leader")
-            .select("leader", "node", "leader_text", "member_text")
-            .mapInArrow(_verify(percent), "leader bigint, node bigint, linked boolean, prefix int, "
-                                          "elements array<bigint>"), "verified")
-        new = verified.where("linked").select(F.col("leader").alias("a"), F.col("node").alias("b"))
-        links = new if links is None else links.unionByName(new)
-        roots = connected_components(links, stage)
+            pairs.join(side("m", "node"), ["base", "node"]).join(side("l", "leader"), ["base", "leader"])
+            .mapInArrow(_compare_differences(percent),
+                        "base bigint, leader bigint, node bigint, " + _VERIFIED), "verified")
+        links = links.unionByName(verified.where("linked").select(*pair))
         groups = (members.where(~F.array_contains("leaders", F.col("node")))
-                  .select("chain", F.col("leaders")[0].alias("leader"), "node"))
+                  .select("base", "chain", F.col("leaders")[0].alias("leader"), "node"))
         buckets = _next_buckets(groups, verified.select(
-            "leader", "node", "linked", "prefix", "elements"), roots, stage)
-        many *= 4
-    return links, roots
+            "base", "leader", "node", "linked", "prefix", "elements"), roots, stage)
+        many *= 2
+    return roots if links is first_links else connected_components(links, stage)
 
 
 def _text_hash() -> Column:
@@ -271,7 +345,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     same = (F.col("text_hash") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id"))
     candidates = stage(texts.join(stage(wanted, "wanted"), same)
                        .select("node", "text").dropDuplicates(["node"]), "candidate_texts")
-    _, roots = find_links(buckets, candidates, stage, percent)
+    roots = find_links(buckets, candidates, stage, percent)
     if roots is None:
         grouped = classes.select("digest", F.col("least").alias("component_id"),
                                  F.col("of.text_hash").alias("first_hash"))
