@@ -72,8 +72,10 @@ def edited(rnd, base, edits):
     return w
 
 
-def test_groups_in_which_not_all_are_linked_to_one(spark, stage):
+@pytest.mark.parametrize("small", [256, 5])
+def test_groups_in_which_not_all_are_linked_to_one(spark, stage, monkeypatch, small):
     """Copies of copies, chains, and a template that many texts share without being linked."""
+    monkeypatch.setattr(md, "SMALL", small)
     rnd = random.Random(4)
     texts = []
     for g in range(4):
@@ -126,6 +128,19 @@ def test_bands_collide_as_the_similarity_says():
         assert low <= np.mean(hits) <= high
 
 
+@given(st.lists(st.sets(st.integers(0, 30)), min_size=3, max_size=3))
+@settings(max_examples=200, deadline=None)
+def test_differences_from_one_set_tell_those_between_others(sets):
+    hashed = [np.unique(md.mix(np.array(sorted(s), dtype=np.uint64))) for s in sets]
+    base, x, y = hashed
+    d = md.relative(md.difference(base, x), md.difference(base, y))
+    assert (d.size, len(d.added), len(d.lacking)) == (
+        len(x), len(sets[2] - sets[1]), len(sets[1] - sets[2]))
+    if sets[1] | sets[2]:
+        common, union = len(sets[1] & sets[2]), len(sets[1] | sets[2])
+        assert d.linked(85) == (100 * common >= 85 * union)
+
+
 @given(st.lists(st.tuples(st.integers(0, 12), st.integers(0, 12)), max_size=25))
 @settings(max_examples=8, deadline=None)
 def test_components(spark, edges):

@@ -20,11 +20,11 @@ linked only if
 
 so y shares more than cy / (1 + t) of its differences with x, hence at least one of any
 |Dy| + |Ay| - floor(cy / (1 + t)) of them. These (added shingles first: they are rare) are
-joined with all differences of the unlinked members; the members that meet form the buckets of
-the next round. Differences from one leader also tell how two members differ from each other, so
-later rounds compare these short lists and no texts. Buckets within one component are dropped. The
-number of leaders a bucket has doubles every round, so that also groups without links end soon.
-This loses no pair that shares a table key.
+joined with all differences of the unlinked members; the members that meet form new buckets, and
+those within one component are dropped. Differences from one leader also tell how two members
+differ from each other, so from here on these short lists are compared and no texts: all members
+of a bucket of up to ``SMALL`` in one task, a larger bucket with leaders of its own, twice as many
+in every round, until what is left is small. This loses no pair that shares a table key.
 
 Scale: all group work is joins that AQE can split and aggregates that combine before the
 shuffle; no task gets a bucket, class or component. Texts cross the network once, then only those
@@ -64,6 +64,7 @@ from voucherlens.staging import Stage
 SHINGLE = 5
 PERCENT = 85
 BANDS, ROWS = 12, 4
+SMALL = 256
 
 _HASHES = constants(31, 2 * BANDS * ROWS)
 
@@ -265,6 +266,67 @@ def _next_buckets(groups: DataFrame, verified: DataFrame, roots: DataFrame, stag
     return stage(rows.select("base", "key", "node").join(wanted, "key"), "buckets")
 
 
+def _links_within(percent: int):
+    """Links that connect what is linked inside each set; sets have SMALL members at most."""
+    def run(table: pa.Table) -> pa.Table:
+        found: list[tuple[int, int]] = []
+        sets = table.column("set").to_numpy()
+        order = np.argsort(sets, kind="stable")
+        cuts = np.flatnonzero(np.diff(sets[order])) + 1
+        nodes, sizes = table.column("node").to_numpy(), table.column("size").to_numpy()
+        added = table.column("n_added").to_numpy()
+        elements = table.column("elements").combine_chunks()
+        for rows in np.split(order, cuts):
+            lists = [np.asarray(elements[int(i)].values) for i in rows]
+            common = _shared(lists)
+            a = added[rows].astype(np.int64)
+            cost = 100 * (np.array([len(x) for x in lists]) - a) + percent * a
+            linked = ((100 + percent) * common >= cost[:, None] + cost[None, :]
+                      - (100 - percent) * int(sizes[rows[0]]))
+            reached = np.zeros(len(rows), dtype=bool)
+            for first in range(len(rows)):
+                front = [] if reached[first] else [first]
+                reached[first] = True
+                while front:
+                    i = front.pop()
+                    new = np.flatnonzero(linked[i] & ~reached)
+                    reached[new] = True
+                    front.extend(new.tolist())
+                    found.extend((int(nodes[rows[i]]), int(nodes[rows[j]])) for j in new)
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()),
+                         "b": pa.array([y for _, y in found], pa.int64())})
+    return run
+
+
+def _shared(lists: list[np.ndarray]) -> np.ndarray:
+    """How many elements each two lists share, some thousand columns at a time."""
+    n = len(lists)
+    owner = np.repeat(np.arange(n), [len(x) for x in lists])
+    values, column, count = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
+    column = np.where(count > 1, np.cumsum(count > 1) - 1, -1)[column]
+    out = np.zeros((n, n), dtype=np.int64)
+    for start in range(0, int((count > 1).sum()), 4096):
+        here = (column >= start) & (column < start + 4096)
+        x = np.zeros((n, 4096), dtype=np.float32)
+        x[owner[here], column[here] - start] = 1
+        out += (x @ x.T).astype(np.int64)
+    return out
+
+
+def _small_links(buckets: DataFrame, known: DataFrame, stage: Stage, percent: int) -> DataFrame:
+    """All links inside buckets of at most SMALL members, which a task can hold."""
+    sets = (buckets.groupBy("base", "key")
+            .agg(F.sort_array(F.collect_list("node")).alias("nodes"))  # SMALL at most
+            .select("base", "nodes").distinct())  # the differences of one edit give equal sets
+    rows = stage(sets.select("base", F.xxhash64("base", "nodes").alias("set"),
+                             F.explode("nodes").alias("node")), "small_sets")
+    tasks = rows.count() // 20_000 + 1
+    return stage(
+        rows.join(known, ["base", "node"])
+        .groupBy(F.pmod("set", F.lit(tasks)).alias("task"))
+        .applyInArrow(_links_within(percent), "a bigint, b bigint"), "small_links")
+
+
 def find_links(buckets: DataFrame, texts: DataFrame, stage: Stage, percent: int = PERCENT
                ) -> DataFrame | None:
     """The components of the classes: (node, root), or None where no two share a key.
@@ -295,6 +357,11 @@ def find_links(buckets: DataFrame, texts: DataFrame, stage: Stage, percent: int
     known = known.select(F.col("leader").alias("base"), "node", "size", "n_added", "elements")
     many, first_links = 1, links
     while not buckets.isEmpty():
+        links = links.unionByName(
+            _small_links(buckets.where(F.col("n") <= SMALL), known, stage, percent))
+        buckets = buckets.where(F.col("n") > SMALL)
+        if buckets.isEmpty():
+            break
         leaders = leaders_of(buckets, stage, many)
         members = stage(
             buckets.join(leaders, "key")
