@@ -1,5 +1,6 @@
 import re
 
+import duckdb
 import numpy as np
 import pytest
 from conftest import DATA
@@ -7,6 +8,7 @@ from llm_cases import ODD, SPACE_WORD, no_documents, odd_documents
 
 from voucherlens.llm import quality_classifier as qc
 from voucherlens.llm import quality_rules as qr
+from voucherlens.llm.queries import ORACLE
 
 SF = "/root/testdata/sf0.01"
 
@@ -115,3 +117,23 @@ def test_same_model_for_any_partitioning_and_odd_rows(spark):
     assert qc.classify(no_documents(spark), one).count() == 0
     untrained = qc.train(texts, table.where("false"))
     assert {r.score for r in qc.classify(df, untrained).collect()} == {0.5}
+
+
+@pytest.mark.parametrize("folder", [DATA, SF])
+def test_rules_equal_sql(spark, folder):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    want = sorted(con.execute(ORACLE["op8_quality_rules"]).fetchall())
+    assert sorted(tuple(r) for r in qr.op8_quality_rules(spark, folder).collect()) == want
+
+
+def test_odd_rows_equal_sql(spark):
+    con = duckdb.connect()
+    rows = [(i, t) for i, t in ODD] + [(30, "• one\nx | y\n- z " * 20), (31, "AB!! CD!!! e!!\n" * 9)]
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    names = ["doc_id", *COLUMNS, "kept"]
+    want = con.execute(f"SELECT {', '.join(names)} FROM ({ORACLE['op8_quality_rules']})").fetchall()
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = [tuple(r) for r in qr.quality_rules(df).select(*names).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)

@@ -24,6 +24,7 @@ from voucherlens.llm.common import id_and_text, let, table
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
+BULLET = r"^[\x20\x09-\x0D]*[-*•][\x20\x09-\x0D]"
 
 # Frequent function words of the four languages of the corpus.
 STOP_WORDS = (
@@ -121,10 +122,10 @@ def measures(df: DataFrame) -> DataFrame:
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("_words")).cast("long").alias("n_repeat_words"),
         (_count(text, "[A-Z]") / F.greatest(word_chars, F.lit(1))).alias("upper_ratio"),
-        (_count(text, r"!!(?=[\x20\x09-\x0D]|$)") / some).alias("exclaim_ratio"),
+        (_count(text, r"!!(?=[\x20\x09-\x0D]|\z)") / some).alias("exclaim_ratio"),
         (F.size(F.filter(plain, lambda x: x.isin(*sorted(set(STOP_WORDS))))) / some)
         .alias("stop_ratio"),
-        (F.size(F.filter("_lines", lambda x: x.rlike(r"^\s*[-*•]\s") | x.contains(" | ")))
+        (F.size(F.filter("_lines", lambda x: x.rlike(BULLET) | x.contains(" | ")))
          / n_lines).alias("bullet_ratio"),
         n_lines.alias("_n_lines"))
     at_least = F.greatest(F.col("n_words"), F.lit(1))
@@ -167,3 +168,52 @@ def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "kept")
+
+
+def _sql_rule(rule: Rule) -> str:
+    bounds = [f"{rule.measure} >= {rule.low}" if rule.low is not None else "",
+              f"{rule.measure} <= {rule.high}" if rule.high is not None else ""]
+    ok = " AND ".join(filter(None, bounds)) or "true"
+    return f"(({ok}) OR n_words < {rule.min_words})"
+
+
+OP8_SQL = rf"""
+WITH split AS (
+  SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+         list_filter(string_split(coalesce(text, ''), chr(10)),
+                     lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
+  FROM documents),
+runs AS (
+  SELECT row, i, count(*) OVER (PARTITION BY row, ws[i:i + {WINDOW - 1}]) AS n
+  FROM (SELECT row, ws, unnest(range(1, len(ws) - {WINDOW - 2})) AS i FROM split)),
+covered AS (
+  SELECT row, count(DISTINCT place) AS n
+  FROM (SELECT row, unnest(range(i, i + {WINDOW})) AS place FROM runs WHERE n > 1) GROUP BY row),
+counts AS (
+  SELECT doc_id, len(ws)::BIGINT AS n_words,
+         length(array_to_string(ws, ''))::BIGINT AS word_chars,
+         len(regexp_extract_all(t, '[{SYMBOLS}]'))::BIGINT AS n_symbols,
+         (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
+         coalesce(covered.n, 0)::BIGINT AS n_repeat_words, greatest(len(ls), 1) AS n_lines,
+         len(regexp_extract_all(t, '[A-Z]')) AS n_upper,
+         len(list_filter(ws, lambda w: ends_with(w, '!!'))) AS n_exclaim,
+         len(list_filter(regexp_split_to_array(lower(regexp_replace(t, '[.,;:!?]+', '', 'g')),
+                                               '[\x20\x09-\x0D]+'),
+                         lambda w: w IN ({", ".join(f"'{w}'" for w in sorted(set(STOP_WORDS)))})
+             )) AS n_stop,
+         len(list_filter(ls, lambda x: regexp_matches(x, '{BULLET}') OR contains(x, ' | '))) AS n_bullets
+  FROM split LEFT JOIN covered USING (row)),
+measures AS (
+  SELECT *, word_chars / greatest(n_words, 1) AS mean_word_chars,
+         n_symbols / greatest(n_words, 1) AS symbol_ratio,
+         n_upper / greatest(word_chars, 1) AS upper_ratio,
+         n_exclaim / greatest(n_words, 1) AS exclaim_ratio,
+         n_stop / greatest(n_words, 1) AS stop_ratio, n_dup_lines / n_lines AS dup_line_ratio,
+         n_repeat_words / greatest(n_words, 1) AS repeat_ratio, n_bullets / n_lines AS bullet_ratio,
+         n_words < 10 OR n_repeat_words * 100 > n_words * 20 AS base_failed
+  FROM counts)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND {" AND ".join(map(_sql_rule, RULES))} AS kept
+FROM measures
+"""

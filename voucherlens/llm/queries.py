@@ -10,7 +10,7 @@ from voucherlens.llm.line_dedup import OP3_SQL, op3_line_dedup
 from voucherlens.llm.lm_scoring import op1_lm_scoring
 from voucherlens.llm.minhash_dedup import op5_minhash_dedup
 from voucherlens.llm.quality_classifier import op9_quality_classifier
-from voucherlens.llm.quality_rules import op8_quality_rules
+from voucherlens.llm.quality_rules import OP8_SQL, op8_quality_rules
 from voucherlens.llm.secret_scan import op2_secret_scan
 from voucherlens.llm.sentencepiece_codec import op7_sentencepiece
 from voucherlens.llm.suffix_dedup import op4_suffix_dedup
@@ -20,4 +20,4 @@ QUERIES = {f.__name__: f for f in (
     op6_decontamination, op7_sentencepiece, op8_quality_rules, op9_quality_classifier,
     op10_html_extraction,
 )} | {"pipeline": corpus_pipeline.run}
-ORACLE = {"op3_line_dedup": OP3_SQL}
+ORACLE = {"op3_line_dedup": OP3_SQL, "op8_quality_rules": OP8_SQL}
