@@ -72,10 +72,11 @@ def edited(rnd, base, edits):
     return w
 
 
-@pytest.mark.parametrize("small", [256, 5])
-def test_groups_in_which_not_all_are_linked_to_one(spark, stage, monkeypatch, small):
+@pytest.mark.parametrize("small,elements", [(256, 4_000_000), (256, 0), (5, 0)])
+def test_groups_in_which_not_all_are_linked_to_one(spark, stage, monkeypatch, small, elements):
     """Copies of copies, chains, and a template that many texts share without being linked."""
     monkeypatch.setattr(md, "SMALL", small)
+    monkeypatch.setattr(md, "GROUP_ELEMENTS", elements)
     rnd = random.Random(4)
     texts = []
     for g in range(4):

@@ -62,7 +62,7 @@ from voucherlens.staging import Stage
 
 FOLDS, HELD_OUT = 5, 1
 MU = 2000.0
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 8 << 20
 SHARD_TOKENS = 2_000_000
 END = constants(99, 1)[0]  # the hash of the end token
 _ZSTD = pa.Codec("zstd", compression_level=1)
@@ -241,17 +241,18 @@ def _pair_requests(shards: int, frequent: int, shared):
         first, second = keys // size, keys % size
         often = np.isin(words, totals.often)
         hot = often[first]
-        for k, (a, b) in enumerate(_ranges(first[~hot], shard_starts(words, shards))):
+        plain = first[~hot], second[~hot], counts[~hot]
+        for k, (a, b) in enumerate(_ranges(plain[0], shard_starts(words, shards))):
             if b > a:
-                yield k, first[~hot][a:b], second[~hot][a:b], counts[~hot][a:b]
+                yield k, *(x[a:b] for x in plain)
         base = shards + np.concatenate([[0], np.cumsum(_split(totals.often_counts, frequent))])
         for i in np.flatnonzero(often):
             k = int(np.searchsorted(totals.often, words[i]))
             fan = int(base[k + 1] - base[k])
-            own = first == i
+            own = slice(*np.searchsorted(first, [i, i + 1]))  # pairs are in order of context
             for j, (a, b) in enumerate(_ranges(second[own], shard_starts(words, fan))):
                 if b > a:
-                    yield int(base[k]) + j, first[own][a:b], second[own][a:b], counts[own][a:b]
+                    yield int(base[k]) + j, *(x[own][a:b] for x in (first, second, counts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = Totals(*shared.value)

@@ -22,9 +22,10 @@ so y shares more than cy / (1 + t) of its differences with x, hence at least one
 |Dy| + |Ay| - floor(cy / (1 + t)) of them. These (added shingles first: they are rare) are
 joined with all differences of the unlinked members; the members that meet form new buckets, and
 those within one component are dropped. Differences from one leader also tell how two members
-differ from each other, so from here on these short lists are compared and no texts: all members
-of a bucket of up to ``SMALL`` in one task, a larger bucket with leaders of its own, twice as many
-in every round, until what is left is small. This loses no pair that shares a table key.
+differ from each other, so from here on these short lists are compared and no texts. A leader's
+group whose differences are ``GROUP_ELEMENTS`` at most is finished by one task with an index from
+difference to members. Larger groups go by the buckets: up to ``SMALL`` members in one task, more
+with leaders of their own, twice as many in every round. This loses no pair that shares a key.
 
 Scale: all group work is joins that AQE can split and aggregates that combine before the
 shuffle; no task gets a bucket, class or component. Texts cross the network once, then only those
@@ -54,6 +55,7 @@ from voucherlens.llm.hashing import (
     SPACE_WORDS,
     U64,
     Texts,
+    concat_ranges,
     constants,
     mix,
     ngram_hash,
@@ -65,6 +67,7 @@ SHINGLE = 5
 PERCENT = 85
 BANDS, ROWS = 12, 4
 SMALL = 256
+GROUP_ELEMENTS = 4_000_000
 
 _HASHES = constants(31, 2 * BANDS * ROWS)
 
@@ -242,13 +245,11 @@ def _compare_differences(percent: int):
     return run
 
 
-def _next_buckets(groups: DataFrame, verified: DataFrame, roots: DataFrame, stage: Stage
-                  ) -> DataFrame:
+def _next_buckets(rows: DataFrame, roots: DataFrame, stage: Stage) -> DataFrame:
     """Members that meet in a difference from their first leader, where a link may be missing.
 
-    ``groups``: (base, chain, leader, node), without those that have led the chain.
+    ``rows``: (base, chain, node) and the differences, without those that have led the chain.
     """
-    rows = groups.join(verified, ["base", "leader", "node"])
     open_chains = rows.where("not linked").select("chain").distinct()
     sufficient = F.when(F.col("linked"), F.slice("elements", 1, F.col("prefix"))).otherwise(
         F.col("elements"))
@@ -266,51 +267,59 @@ def _next_buckets(groups: DataFrame, verified: DataFrame, roots: DataFrame, stag
     return stage(rows.select("base", "key", "node").join(wanted, "key"), "buckets")
 
 
-def _links_within(percent: int):
-    """Links that connect what is linked inside each set; sets have SMALL members at most."""
+def links_in_group(size: int, added: np.ndarray, elements: list[np.ndarray], open_: np.ndarray,
+                   percent: int) -> list[tuple[int, int]]:
+    """Links (places) that connect all that is linked in a group, given by the differences from
+    one set of ``size`` shingles; only rows in ``open_`` have links that are not known yet.
+
+    What two members share is counted by way of an index from difference to members.
+    """
+    n = len(elements)
+    lengths = np.array([len(e) for e in elements])
+    cost = 100 * (lengths - added) + percent * added
+    _, which, count = np.unique(np.concatenate(elements), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(n), lengths)[np.argsort(which, kind="stable")]
+    start = np.cumsum(count) - count
+    row = np.cumsum(lengths) - lengths
+    group, found = np.arange(n), []
+    for i in np.flatnonzero(open_):
+        mine = which[row[i]:row[i] + lengths[i]]
+        mine = mine[count[mine] > 1]
+        common = np.bincount(owner[concat_ranges(start[mine], count[mine])], minlength=n)
+        linked = (100 + percent) * common >= cost[i] + cost - (100 - percent) * size
+        linked[i] = False
+        others, first = np.unique(group[linked], return_index=True)
+        near = np.flatnonzero(linked)[first]
+        for g, j in zip(others, near, strict=True):
+            if group[i] != g:
+                found.append((int(i), int(j)))
+                group[group == g] = group[i]
+    return found
+
+
+def _links_of_groups(percent: int):
     def run(table: pa.Table) -> pa.Table:
-        found: list[tuple[int, int]] = []
-        sets = table.column("set").to_numpy()
-        order = np.argsort(sets, kind="stable")
-        cuts = np.flatnonzero(np.diff(sets[order])) + 1
-        nodes, sizes = table.column("node").to_numpy(), table.column("size").to_numpy()
-        added = table.column("n_added").to_numpy()
+        base, nodes, sizes, added = (table.column(c).to_numpy()
+                                     for c in ("base", "node", "size", "n_added"))
+        open_ = ~table.column("linked").to_numpy(zero_copy_only=False).astype(bool)
         elements = table.column("elements").combine_chunks()
-        for rows in np.split(order, cuts):
+        order = np.lexsort((nodes, base))
+        a, b = [], []
+        for rows in np.split(order, np.flatnonzero(np.diff(base[order])) + 1):
             lists = [np.asarray(elements[int(i)].values) for i in rows]
-            common = _shared(lists)
-            a = added[rows].astype(np.int64)
-            cost = 100 * (np.array([len(x) for x in lists]) - a) + percent * a
-            linked = ((100 + percent) * common >= cost[:, None] + cost[None, :]
-                      - (100 - percent) * int(sizes[rows[0]]))
-            reached = np.zeros(len(rows), dtype=bool)
-            for first in range(len(rows)):
-                front = [] if reached[first] else [first]
-                reached[first] = True
-                while front:
-                    i = front.pop()
-                    new = np.flatnonzero(linked[i] & ~reached)
-                    reached[new] = True
-                    front.extend(new.tolist())
-                    found.extend((int(nodes[rows[i]]), int(nodes[rows[j]])) for j in new)
-        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()),
-                         "b": pa.array([y for _, y in found], pa.int64())})
+            for i, j in links_in_group(int(sizes[rows[0]]), added[rows].astype(np.int64), lists,
+                                       open_[rows], percent):
+                a.append(int(nodes[rows[i]]))
+                b.append(int(nodes[rows[j]]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
     return run
 
 
-def _shared(lists: list[np.ndarray]) -> np.ndarray:
-    """How many elements each two lists share, some thousand columns at a time."""
-    n = len(lists)
-    owner = np.repeat(np.arange(n), [len(x) for x in lists])
-    values, column, count = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
-    column = np.where(count > 1, np.cumsum(count > 1) - 1, -1)[column]
-    out = np.zeros((n, n), dtype=np.int64)
-    for start in range(0, int((count > 1).sum()), 4096):
-        here = (column >= start) & (column < start + 4096)
-        x = np.zeros((n, 4096), dtype=np.float32)
-        x[owner[here], column[here] - start] = 1
-        out += (x @ x.T).astype(np.int64)
-    return out
+def _group_links(known: DataFrame, tasks: int, percent: int) -> DataFrame:
+    """Links inside the groups of ``known`` (base, node and differences), each held by a task."""
+    return (known.select("base", "node", "linked", "size", "n_added", "elements")
+            .groupBy(F.pmod(F.xxhash64("base"), F.lit(tasks)).alias("task"))
+            .applyInArrow(_links_of_groups(percent), "a bigint, b bigint"))
 
 
 def _small_links(buckets: DataFrame, known: DataFrame, stage: Stage, percent: int) -> DataFrame:
@@ -320,11 +329,8 @@ def _small_links(buckets: DataFrame, known: DataFrame, stage: Stage, percent: in
             .select("base", "nodes").distinct())  # the differences of one edit give equal sets
     rows = stage(sets.select("base", F.xxhash64("base", "nodes").alias("set"),
                              F.explode("nodes").alias("node")), "small_sets")
-    tasks = rows.count() // 20_000 + 1
-    return stage(
-        rows.join(known, ["base", "node"])
-        .groupBy(F.pmod("set", F.lit(tasks)).alias("task"))
-        .applyInArrow(_links_within(percent), "a bigint, b bigint"), "small_links")
+    found = rows.join(known, ["base", "node"]).drop("base").withColumnRenamed("set", "base")
+    return stage(_group_links(found, rows.count() // 20_000 + 1, percent), "small_links")
 
 
 def find_links(buckets: DataFrame, texts: DataFrame, stage: Stage, percent: int = PERCENT
@@ -350,12 +356,21 @@ def find_links(buckets: DataFrame, texts: DataFrame, stage: Stage, percent: int
     pair = [F.col("leader").alias("a"), F.col("node").alias("b")]
     links = known.where("linked").select(*pair)
     roots = connected_components(links, stage)
-    based = known.withColumn("base", F.col("leader"))
-    buckets = _next_buckets(based.select("base", F.col("base").alias("chain"), "leader", "node"),
-                            based.select("base", "leader", "node", "linked", "prefix", "elements"),
-                            roots, stage)
-    known = known.select(F.col("leader").alias("base"), "node", "size", "n_added", "elements")
-    many, first_links = 1, links
+    known = known.withColumnRenamed("leader", "base")
+    # Groups with a member that is not linked to the base. The usual ones are finished at once.
+    groups = stage(
+        known.groupBy("base").agg(F.sum(F.size("elements")).alias("total"),
+                                  F.count(F.lit(1)).alias("n"),
+                                  F.bool_or(~F.col("linked")).alias("open"))
+        .where("open and n > 1").select("base", "total"), "open_groups")
+    fits = F.col("total") <= GROUP_ELEMENTS
+    total = groups.where(fits).agg(F.sum("total")).first()[0] or 0
+    links = links.unionByName(stage(_group_links(
+        known.join(groups.where(fits), "base", "left_semi"),
+        int(4 * total // max(1, GROUP_ELEMENTS)) + 1, percent), "group_links"))
+    large = known.join(groups.where(~fits), "base", "left_semi")
+    buckets = _next_buckets(large.withColumn("chain", F.col("base")), roots, stage)
+    many = 1
     while not buckets.isEmpty():
         links = links.unionByName(
             _small_links(buckets.where(F.col("n") <= SMALL), known, stage, percent))
@@ -381,10 +396,9 @@ def find_links(buckets: DataFrame, texts: DataFrame, stage: Stage, percent: int
         links = links.unionByName(verified.where("linked").select(*pair))
         groups = (members.where(~F.array_contains("leaders", F.col("node")))
                   .select("base", "chain", F.col("leaders")[0].alias("leader"), "node"))
-        buckets = _next_buckets(groups, verified.select(
-            "base", "leader", "node", "linked", "prefix", "elements"), roots, stage)
+        buckets = _next_buckets(groups.join(verified, ["base", "leader", "node"]), roots, stage)
         many *= 2
-    return roots if links is first_links else connected_components(links, stage)
+    return connected_components(links, stage)
 
 
 def _text_hash() -> Column:
@@ -410,7 +424,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = classes.join(buckets.select("node").distinct(), "node", "left_semi").select(
         "node", F.col("of.doc_id").alias("_id"), F.col("of.text_hash").alias("_hash"))
     same = (F.col("text_hash") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id"))
-    candidates = stage(texts.join(stage(wanted, "wanted"), same)
+    # The wanted rows grow with the corpus: never broadcast them, so that one plan holds at every size.
+    candidates = stage(texts.join(stage(wanted, "wanted").hint("merge"), same)
                        .select("node", "text").dropDuplicates(["node"]), "candidate_texts")
     roots = find_links(buckets, candidates, stage, percent)
     if roots is None:
