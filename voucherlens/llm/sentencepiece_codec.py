@@ -34,7 +34,7 @@ from voucherlens.llm.common import id_and_text, schema_with, table
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 _UNITS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-MEMO_UNITS = 100_000
+MEMO_UNITS = 250_000
 # A mark that stands for itself while a text is prepared: a code point UTF-8 cannot hold.
 _LITERAL = "\ud800"
 
