@@ -4,13 +4,14 @@ import re
 import string
 
 import numpy as np
-from conftest import DATA
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from llm_cases import ODD, no_documents, odd_documents
 
 from voucherlens.llm import secret_scan as ss
 
+SF = "/root/testdata/sf0.01"  # the smallest table with secrets in it
+
 NAME = "password|passwd|secret|token|api_?key"
 TAIL = r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 
@@ -37,8 +38,8 @@ def test_base_spans(text):
 
 
 def test_query_on_the_documents(spark):
-    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
-    rows = ss.op2_secret_scan(spark, DATA).collect()
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = ss.op2_secret_scan(spark, SF).collect()
     assert len(rows) == len(texts)
     for r in rows:
         want = plain_base(texts[r.doc_id])

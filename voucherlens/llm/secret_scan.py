@@ -9,8 +9,8 @@ Training: the labelled sample are the runs of a bounded sample of documents (tho
 hashes below a limit set so that about ``sample_docs`` are expected). Values matched by a fixed
 pattern are labelled random, other runs of four or more characters ordinary. Spark counts the
 character pairs of both labels; the driver sees the two tables of counts, 67 by 67 numbers
-however large the corpus is. Add-one smoothing makes the random model uniform and the ordinary
-one nearly so where there was nothing to learn from.
+however large the corpus is. After a character that was seen rarely, a model backs off to its
+frequencies of single characters; without anything to learn from it is uniform.
 
 Edge cases: null and empty texts have no spans; whole texts are scanned; positions are code
 points, the end exclusive; rows are scanned one by one, so repeated rows get equal results; a
@@ -54,6 +54,7 @@ START = len(ALPHABET)  # the state before the first character
 SAMPLE_DOCS = 4000
 MIN_PER_CHAR = 0.5
 MIN_TOTAL = 12.0
+BACK_OFF = 5.0
 
 _CODES = np.zeros(256, dtype=np.int64)
 for _i, _c in enumerate(ALPHABET):
@@ -91,7 +92,9 @@ class RandomnessModel:
         shape = (len(ALPHABET) + 1, len(ALPHABET))
 
         def logs(counts: np.ndarray) -> np.ndarray:
-            c = counts.reshape(shape) + 1.0
+            pair = counts.reshape(shape)
+            single = pair.sum(axis=0) + 0.1
+            c = pair + BACK_OFF * single / single.sum()  # rare contexts go by the characters alone
             return np.log(c / c.sum(axis=1, keepdims=True))
 
         self.ratio = (logs(random) - logs(ordinary)).ravel()
