@@ -21,6 +21,8 @@ from voucherlens.llm import (
 from voucherlens.llm.common import id_and_text, table
 from voucherlens.staging import Stage
 
+NEAR_PERCENT = 80  # of five-word shingles in common; op5_minhash_dedup alone links from 85 on
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the classifier accepts; it learns from the labels of those that are there."""
@@ -36,8 +38,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return minhash_dedup.drop_near_duplicates(docs)
+    """One document of each group of near duplicates, linked from ``NEAR_PERCENT`` on."""
+    return minhash_dedup.drop_near_duplicates(docs, percent=NEAR_PERCENT)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

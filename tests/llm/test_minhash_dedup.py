@@ -162,3 +162,17 @@ def test_components_of_a_long_path(spark, stage):
     df = spark.range(200).selectExpr("id * 7 % 200 as x").selectExpr(
         "x as a", "(x + 1) % 200 as b").where("a <> 199")
     assert {r.root for r in connected_components(df, stage).collect()} == {0}
+
+
+def test_bands_follow_the_threshold():
+    assert [md.bands_for(p) for p in (95, 85, 80)] == [md.BANDS, md.BANDS, 17]
+    assert (md.bands(np.arange(9, dtype=np.uint64), 17)[:12] == md.bands(np.arange(9, dtype=np.uint64))[:12]).all()
+    rng = np.random.default_rng(1)
+    for percent in (80, 85):  # pairs right at the threshold share a band of either collection
+        n, shared = md.bands_for(percent), 0
+        for _ in range(300):
+            common = int(400 * percent / (100 + percent)) + 1
+            pool = rng.integers(0, 1 << 63, 400 - common, dtype=np.uint64)
+            same = md.bands(pool[:200], n) == md.bands(pool[200 - common:], n)
+            shared += same[:n].any() and same[n:].any()
+        assert shared >= 298

@@ -70,3 +70,22 @@ def test_odd_and_no_rows_pass_all_stages(spark):
             columns, docs = docs.columns, step(spark, docs, DATA)
             assert docs.columns == columns
         assert cp.STAGES[-1][1](spark, docs, DATA).where("not round_trip").count() == 0
+
+
+def test_near_dedup_stage_links_from_80_percent_on(spark):
+    """Copies of similarity 0.82 go, those of 0.78 stay; op5 alone links neither."""
+    def copy(base, at):  # other words at the start: ``at`` shingles differ
+        return [f"x{w}" for w in base[:at]] + base[at:]
+
+    def similarity(at, n=100):
+        return (n - 4 - at) / (n - 4 + at)
+
+    bases = [[f"w{g}x{i}" for i in range(100)] for g in range(20)]
+    near, far = 9, 12
+    assert 0.82 < similarity(near) < 0.85 and 0.77 < similarity(far) < 0.80
+    texts = [t for g, b in enumerate(bases) for t in (b, copy(b, near if g < 10 else far))]
+    docs = spark.createDataFrame([(i, " ".join(t), "en", "s", 1) for i, t in enumerate(texts)],
+                                 "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    left = {r.doc_id for r in cp.near_duplicates(spark, docs, DATA).collect()}
+    assert left == {i for i in range(40) if i >= 20 or i % 2 == 0}
+    assert minhash_dedup.drop_near_duplicates(docs).count() == 40

@@ -3,12 +3,13 @@ r"""Near-duplicate groups by MinHash with tensored banding, links confirmed on t
 A document's set are the distinct runs of five words (``[^\x20\x09-\x0D]+``, A-Z lower-cased);
 of fewer words, all of them as one run. Documents with equal sets form a class and go on as one.
 
-*Tensored banding.* Two collections of ``BANDS`` bands with ``ROWS`` minhashes each are computed,
-``2 * BANDS * ROWS`` minhashes in all. A table key is a pair of bands, one from each collection:
-``BANDS ** 2`` tables of ``2 * ROWS`` rows. Computing those tables one by one would take
-``2 * ROWS * BANDS ** 2`` minhashes. Bands that no other class shares are left out before the
-pairs are formed, since no key with them can be shared. At a similarity of 0.85 the chance that
-two classes share no key is 3 in 10,000, at 0.9 about 5 in a million.
+*Tensored banding.* Two collections of ``n`` bands with ``ROWS`` minhashes each are computed,
+``2 * n * ROWS`` minhashes in all. A table key is a pair of bands, one from each collection:
+``n ** 2`` tables of ``2 * ROWS`` rows. Computing those tables one by one would take
+``2 * ROWS * n ** 2`` minhashes. Bands that no other class shares are left out before the
+pairs are formed, since no key with them can be shared. ``n`` follows the threshold
+(``bands_for``): two classes right at it share no key with a chance of 3 in 10,000 at most. That
+is 12 bands (``BANDS``) for 0.85, where at 0.9 it is about 5 in a million, and 17 for 0.8.
 
 *Verification without all pairs.* In each bucket the members are compared with a leader, the one
 with the most neighbours: that links what belongs together in most groups. What remains are
@@ -42,6 +43,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -66,10 +68,22 @@ from voucherlens.staging import Stage
 SHINGLE = 5
 PERCENT = 85
 BANDS, ROWS = 12, 4
+MISSED = 3e-4  # the chance that a pair right at the threshold shares no key
 SMALL = 256
 GROUP_ELEMENTS = 4_000_000
 
-_HASHES = constants(31, 2 * BANDS * ROWS)
+
+def bands_for(percent: int) -> int:
+    """The bands of a collection, ``BANDS`` or as many more as keep to ``MISSED``."""
+    n, no_band = BANDS, 1 - (percent / 100) ** ROWS
+    while 1 - (1 - no_band ** n) ** 2 > MISSED:
+        n += 1
+    return n
+
+
+@lru_cache(maxsize=4)
+def _hashes(n: int) -> np.ndarray:
+    return constants(31, n)
 
 
 def shingle_sets(texts: Texts, size: int = SHINGLE) -> list[np.ndarray]:
@@ -88,48 +102,52 @@ def shingle_sets(texts: Texts, size: int = SHINGLE) -> list[np.ndarray]:
     return out
 
 
-def bands(shingles: np.ndarray) -> np.ndarray:
-    """The 2 * BANDS band hashes: first collection, then second."""
-    low = np.full(len(_HASHES), np.iinfo(np.uint64).max, dtype=U64)
+def bands(shingles: np.ndarray, n: int = BANDS) -> np.ndarray:
+    """The 2 * n band hashes: first collection, then second."""
+    hashes = _hashes(2 * n * ROWS)
+    low = np.full(len(hashes), np.iinfo(np.uint64).max, dtype=U64)
     with np.errstate(over="ignore"):
         for i in range(0, len(shingles), 4096):  # memory does not follow the text's length
-            part = shingles[i:i + 4096, None] * _HASHES
+            part = shingles[i:i + 4096, None] * hashes
             low = np.minimum(low, (part ^ (part >> U64(32))).min(axis=0))
-        rows = mix(low.reshape(2 * BANDS, ROWS) + constants(5, ROWS))
+        rows = mix(low.reshape(2 * n, ROWS) + constants(5, ROWS))
         return mix(rows.sum(axis=1, dtype=U64))
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sizes, digests, signs = [], [], []
-        for _, _, texts in slices(batch.column("text")):
-            for s in shingle_sets(texts):
-                sizes.append(len(s))
-                digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                signs.append(bands(s).view(np.int64) if len(s) else np.zeros(0, np.int64))
-        yield pa.RecordBatch.from_pydict({
-            "doc_id": batch.column("doc_id"), "text_hash": batch.column("text_hash"),
-            "n_shingles": pa.array(sizes, pa.int64()), "digest": pa.array(digests, pa.binary()),
-            "bands": pa.array(signs, pa.list_(pa.int64()))})
+def _sign(n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, digests, signs = [], [], []
+            for _, _, texts in slices(batch.column("text")):
+                for s in shingle_sets(texts):
+                    sizes.append(len(s))
+                    digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                    signs.append(bands(s, n).view(np.int64) if len(s) else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": batch.column("doc_id"), "text_hash": batch.column("text_hash"),
+                "n_shingles": pa.array(sizes, pa.int64()),
+                "digest": pa.array(digests, pa.binary()),
+                "bands": pa.array(signs, pa.list_(pa.int64()))})
+    return run
 
 
-def _table_keys(shared: DataFrame) -> DataFrame:
+def _table_keys(shared: DataFrame, n: int) -> DataFrame:
     """(key, node): all pairs of a band of the first and one of the second collection."""
-    first = F.filter("_b", lambda x: x["i"] < BANDS)
-    second = F.filter("_b", lambda x: x["i"] >= BANDS)
+    first = F.filter("_b", lambda x: x["i"] < n)
+    second = F.filter("_b", lambda x: x["i"] >= n)
     keys = F.flatten(F.transform(first, lambda a: F.transform(
         second, lambda b: F.xxhash64(a["i"], a["band"], b["i"], b["band"]))))
     return shared.select("node", F.explode(keys).alias("key"))
 
 
-def shared_keys(classes: DataFrame, stage: Stage) -> DataFrame:
-    """(key, node) of table keys that at least two classes have."""
+def shared_keys(classes: DataFrame, stage: Stage, n: int = BANDS) -> DataFrame:
+    """(key, node) of table keys that at least two classes have, with ``n`` bands a collection."""
     rows = classes.select("node", F.posexplode("bands").alias("i", "band"))
     several = stage(rows.groupBy("i", "band").agg(F.count(F.lit(1)).alias("n"))
                     .where("n > 1").drop("n"), "shared_bands")
     kept = (rows.join(several, ["i", "band"], "left_semi")
-            .groupBy("node").agg(F.collect_list(F.struct("i", "band")).alias("_b")))  # <= 2 BANDS
-    keys = stage(_table_keys(kept), "table_keys")
+            .groupBy("node").agg(F.collect_list(F.struct("i", "band")).alias("_b")))  # <= 2 n
+    keys = stage(_table_keys(kept, n), "table_keys")
     return stage(_in_buckets(keys), "buckets")
 
 
@@ -410,7 +428,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Per row: ``doc_id``, ``n_shingles``, ``component_id``, ``kept``."""
     stage = stage or Stage(docs.sparkSession)
     texts = id_and_text(docs, id_col, text_col).withColumn("text_hash", _text_hash())
-    signed = stage(texts.mapInArrow(_sign, schema_with(
+    n = bands_for(percent)
+    signed = stage(texts.mapInArrow(_sign(n), schema_with(
         texts, "text_hash bigint", "n_shingles bigint", "digest binary", "bands array<bigint>")),
         "signatures")
     # Staging fixes the numbers of the classes.
@@ -420,7 +439,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
              F.min(F.struct("doc_id", "text_hash")).alias("of"),
              F.first("bands").alias("bands"))
         .withColumn("node", F.monotonically_increasing_id()), "classes")
-    buckets = shared_keys(classes, stage)
+    buckets = shared_keys(classes, stage, n)
     wanted = classes.join(buckets.select("node").distinct(), "node", "left_semi").select(
         "node", F.col("of.doc_id").alias("_id"), F.col("of.text_hash").alias("_hash"))
     same = (F.col("text_hash") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id"))
