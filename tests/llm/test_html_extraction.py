@@ -133,3 +133,43 @@ def test_classifier_and_odd_rows(spark):
     got = sorted(map(tuple, hx.extract_pages(df).collect()), key=str)
     assert got == sorted([(1, "u", LONG, len(LONG))] * 2 + [(None, None, "", 0), (2, "v", "", 0)], key=str)
     assert hx.extract_pages(df.where("false")).count() == 0
+
+
+CARD = f"<article><h2>Other</h2><p>{SIDE}</p></article>"
+
+
+@pytest.mark.parametrize("rest", [
+    f"<section class=comments><article><p>{SIDE}</p></article></section>",
+    f"<section id='comment-list'>{'<div><p>%s</p></div>' % SIDE * 12}</section>",
+    f"<div class='widget'><section class=comments>{CARD * 6}</section></div>",
+    f"<div class='related-posts'>{CARD * 3}</div>", f"<div class=sidebar>{CARD * 4}</div>",
+    f"<form><div class=comments>{CARD * 6}</div></form>", f"<aside>{CARD * 6}</aside>",
+])
+@pytest.mark.parametrize("body", [
+    f"<article><h1>Title</h1><p>{LONG}</p></article>", f"<main><h1>Title</h1><p>{LONG}</p></main>",
+    f"<div class=post-content><h1>Title</h1><p>{LONG}</p></div>",
+])
+def test_articles_in_threads_and_cards_are_not_the_main_text(body, rest):
+    for page in (f"<body>{body}{rest}</body>", f"<body>{rest}{body}</body>",
+                 f"<body><form id=aspnetForm>{body}{rest}</form></body>"):
+        assert hx.extract(page, MODEL) == f"Title\n\n{LONG}"
+
+
+@pytest.mark.parametrize("around", [
+    "<form id=aspnetForm action=/>", "<form><div class='page has-sidebar'>", "<div class='layout-sidebar'>",
+    "<div class=sidebar>", "<div class='cookie-notice'><form>",
+])
+@pytest.mark.parametrize("body", [
+    f"<article class='post share'><h1>Title</h1><p>{LONG}</p></article>",
+    f"<main><h1>Title</h1><p>{LONG}</p></main>",
+])
+def test_a_form_or_layout_around_the_page_does_not_empty_it(around, body):
+    rest = f"<nav>{SIDE}</nav><aside>{SIDE}</aside>"
+    assert hx.extract(f"<body>{around}{rest}{body}", MODEL) == f"Title\n\n{LONG}"
+
+
+def test_a_form_with_most_of_the_text_is_read():
+    text = f"<h1>Title</h1><div><p>{LONG}</p><p>{LONG}</p></div>"
+    assert LONG in hx.extract(f"<body><form>{text}</form><p>Bye.</p></body>", MODEL)
+    assert hx.extract(f"<body><main>{text}</main><form role=search>{SIDE * 20}</form></body>", MODEL) == (
+        f"Title\n\n{LONG}\n\n{LONG}")

@@ -8,7 +8,10 @@ from boilerplate at the least total cost: a short paragraph in the middle of an
 with its neighbours, a lone sentence between two menus goes with them.
 
 The classifier adds two parts. *Structure*: what the enclosing elements say (fixed table below);
-the evidence against a block wins over evidence for it, whichever is further in. *Text*: logistic
+the evidence against a block wins over evidence for it, whichever is further in. A class word
+against an element that holds the article or most of the page is about something else and does not
+count, nor does a form around them; but a thread of comments, a list of related pages or a sidebar
+stays one, whatever its size and the articles in it (``FIRM_WORDS``). *Text*: logistic
 regression over length, punctuation, link share, digits and place of the block, trained on a
 bounded sample of pages whose structurally clear blocks are the labels; it decides where the
 structure is silent.
@@ -71,6 +74,13 @@ BAD_WORDS = frozenset((
     "modal overlay newsletter subscribe subscription signup login comment comments commentlist "
     "disqus respond reply replies share sharing social related recommended recommendations "
     "pagination pager copyright legal disclaimer skip taboola outbrain").split())
+# Not taken back by size or by articles inside: such elements hold cards and threads of articles.
+FIRM_WORDS = frozenset((
+    "sidebar sidebars rail comment comments commentlist disqus respond reply replies related "
+    "recommended recommendations taboola outbrain").split())
+SIDE_WORDS = frozenset("sidebar sidebars rail".split())
+# Beside such a word, as in has-sidebar, they tell of the page and not of the element.
+LAYOUT_WORDS = frozenset("has with without no layout template".split())
 GOOD_WORDS = frozenset("article content post entry story main body maintext articlebody".split())
 BAD_COST, GOOD_COST = 8.0, 5.0
 HEADER_COST = 6.0
@@ -109,9 +119,20 @@ class Block:
         self.text = ""
 
 
-def evidence(name: str, attributes: str) -> tuple[bool, bool, bool, bool]:
-    """(hidden, bad by name or role, bad by class or id, good) of an opening tag."""
-    hidden = bad_class = False
+class Evidence(NamedTuple):
+    """What an opening tag says; the words in ``firm`` are those its classes and id are firm by."""
+
+    hidden: bool
+    bad: bool         # by name or role
+    bad_role: bool
+    bad_class: bool   # by class or id
+    firm: frozenset[str]
+    good: bool
+
+
+def evidence(name: str, attributes: str) -> Evidence:
+    hidden = bad_role = bad_class = False
+    firm: frozenset[str] = frozenset()
     bad, good = name in BAD_TAGS, name in GOOD_TAGS
     for m in _ATTR.finditer(attributes):
         key, value = m.group(1).lower(), (m.group(2) or "").strip("\"'").lower()
@@ -121,14 +142,19 @@ def evidence(name: str, attributes: str) -> tuple[bool, bool, bool, bool]:
             tight = value.replace(" ", "")
             hidden = hidden or "display:none" in tight or "visibility:hidden" in tight
         elif key == "role":
-            bad = bad or value in BAD_ROLES
+            bad_role = bad_role or value in BAD_ROLES
             good = good or value in ("main", "article")
         elif key in ("class", "id"):
             raw = (m.group(2) or "").strip("\"'")
             words = {w.lower() for w in _WORDS.findall(raw)} | set(re.split(r"[\s_\-]+", value))
+            for token in raw.split():
+                parts = {w.lower() for w in _WORDS.findall(token)}
+                parts.update(re.split(r"[_\-]+", token.lower()))
+                if parts.isdisjoint(LAYOUT_WORDS):
+                    firm |= parts & FIRM_WORDS
             bad_class = bad_class or not words.isdisjoint(BAD_WORDS)
             good = good or not words.isdisjoint(GOOD_WORDS)
-    return hidden, bad, bad_class, good
+    return Evidence(hidden, bad or bad_role, bad_role, bad_class, firm, good)
 
 
 def _tags(page: str) -> Iterator[tuple[str, str, str, str]]:
@@ -161,8 +187,10 @@ def blocks_of(page: str) -> list[Block]:
     """The blocks with text, in page order."""
     root = Node(0, "html", (), False, False, False, 0)
     stack, out, count = [root], [], 0
-    weak: dict[int, tuple[int, int]] = {}  # elements bad by class alone: blocks inside
+    weak: dict[int, tuple[int, int]] = {}  # forms and elements bad by class alone: blocks inside
     opened_at: dict[int, int] = {}
+    firm: dict[int, frozenset[str]] = {}   # those of them that only a main element takes back
+    holds_article: set[int] = set()
     holds_main: set[int] = set()
     current: Block | None = None
 
@@ -223,17 +251,30 @@ def blocks_of(page: str) -> list[Block]:
         if name in VOID:
             continue
         top = stack[-1]
-        hidden, bad, bad_class, good = evidence(name, attributes) if attributes else (
-            False, name in BAD_TAGS, False, name in GOOD_TAGS)
+        hidden, bad, bad_role, bad_class, words, good = evidence(name, attributes) if attributes else (
+            Evidence(False, name in BAD_TAGS, False, False, frozenset(), name in GOOD_TAGS))
         count += 1
-        if name in GOOD_TAGS:
-            holds_main.update(x.number for x in stack)
+        if name in GOOD_TAGS and not hidden and not top.skipped and not (words and top.bad):
+            # It counts for itself and the elements around, up to one that stays bad with it.
+            holds_article.add(count)
+            for x in reversed(stack):
+                own = x.bad and x.bad[-1] == x.number
+                if own and x.number not in opened_at:
+                    break
+                if name == "main":
+                    holds_main.add(x.number)
+                holds_article.add(x.number)
+                if own and x.number in firm and name != "main":
+                    break
         if name == "header" and not top.good:
             bad = True
-        if name in ("html", "body") or name in GOOD_TAGS and not top.bad and not hidden:
+        if name in ("html", "body") or name in GOOD_TAGS and not hidden and (
+                not top.bad or not words and all(k in opened_at and k not in firm for k in top.bad)):
             bad_class = bad = False
-        if bad_class and not bad:
+        if (bad or bad_class) and (not bad or name == "form" and not bad_role):
             opened_at[count] = len(out)
+            if words:
+                firm[count] = words
         stack.append(Node(
             count, name, top.bad + (count,) if bad or bad_class else top.bad, top.good or good,
             top.skipped or hidden or name in SKIPPED, top.link or name == "a", top.depth + 1))
@@ -241,10 +282,13 @@ def blocks_of(page: str) -> list[Block]:
             stack.pop()
     close(1)
     flush()
-    # A class word says nothing about an element that holds the article or most of the page.
+    # A form or a class word says nothing about an element that holds the article or most of the page.
     sizes = np.concatenate([[0], np.cumsum([len(b.text) for b in out])]) if out else np.zeros(1)
-    void = {k for k, (a, b) in weak.items()
-            if k in holds_main or sizes[b] - sizes[a] > 0.6 * sizes[-1]}
+    void = {k for k, (a, b) in weak.items() if k in holds_main or k not in firm and (
+        k in holds_article or sizes[b] - sizes[a] > 0.6 * sizes[-1])}
+    if all(not void.issuperset(b.bad) for b in out):
+        # Nothing else on the page: the sidebar is the name of a layout around the article.
+        void |= {k for k in firm if k in holds_article and firm[k] <= SIDE_WORDS}
     if void:
         for b in out:
             b.bad = tuple(k for k in b.bad if k not in void)
