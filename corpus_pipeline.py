@@ -32,8 +32,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the boilerplate lines of their source; ``n_chars`` follows the text."""
-    out = line_dedup.site_line_dedup(docs).select(*docs.columns)
+    """Documents without the boilerplate lines of their source; ``n_chars`` follows the text.
+
+    Copies are left for the next stage, which keeps one of them.
+    """
+    out = line_dedup.site_line_dedup(docs, spare_copies=True).select(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 

@@ -89,3 +89,15 @@ def test_near_dedup_stage_links_from_80_percent_on(spark):
     left = {r.doc_id for r in cp.near_duplicates(spark, docs, DATA).collect()}
     assert left == {i for i in range(40) if i >= 20 or i % 2 == 0}
     assert minhash_dedup.drop_near_duplicates(docs).count() == 40
+
+
+def test_one_copy_of_a_large_group_survives(spark):
+    """Line dedup before near-dedup must not empty a text because it is there many times."""
+    rows = []
+    for i in range(90):
+        name = "copy" if i % 3 else f"own{i}"
+        rows.append((i, "\n".join(f"{name} line {j} says something of {name}" for j in range(12)), "en",
+                     f"src{i % 2}", 1))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    left = cp.near_duplicates(spark, cp.lines(spark, docs, DATA), DATA).collect()
+    assert sorted(r.text for r in left) == sorted({r[1] for r in rows})

@@ -11,6 +11,15 @@ joins back is only the dropped lines, one array per host: on a host, fewer than
 (mean lines a page) / max_ratio lines can be above the ratio. That table is staged, so Spark
 knows its size and broadcasts it when small; else the join is one that AQE can split.
 
+Copies. By default every row is a page, as ``OP3_SQL`` has it. Then a text with copies on more
+than ``max_ratio`` of a host's pages counts as boilerplate line by line, and nothing of it is left
+on any of them. With ``spare_copies``, as the pipeline calls it, copies of one text are one page,
+in the counts of lines and of pages alike. Near copies differ in their texts, so in addition no
+text goes for good: of the pages of a host that would lose more than half of their characters by
+the same set of lines, the one with the least hash stays whole, with its copies. Pages with the
+same menu lose it but for that one; near copies that differ within a line lose different sets and
+all stay, for near-dedup to find. The texts cross the network once more, combined by hash first.
+
 Edge cases: a null host is a host of its own; a null text stays null and has no lines; lines
 without anything but spaces are never counted or dropped; a line counts only on at least
 ``min_pages`` pages, so that hosts with a few pages lose nothing; a ratio equal to the limit
@@ -33,9 +42,15 @@ def lines_of(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
+def page_hash(text: Column) -> Column:
+    return F.struct(F.xxhash64(text), F.crc32(text.cast("binary")))
+
+
 def boilerplate_lines(pages: DataFrame, stage: Stage, max_ratio: float = MAX_RATIO,
-                      min_pages: int = MIN_PAGES) -> DataFrame:
+                      min_pages: int = MIN_PAGES, spare_copies: bool = False) -> DataFrame:
     """``_site`` and the array of its lines above the ratio, from ``_site`` and ``_text``."""
+    if spare_copies:
+        pages = pages.withColumn("_page", page_hash(F.col("_text"))).dropDuplicates(["_site", "_page"])
     lines = pages.select("_site", F.explode(F.array_distinct(lines_of(F.col("_text")))).alias("_line"))
     counts = (lines.where(F.trim("_line") != "")
               .groupBy("_site", "_line").agg(F.count(F.lit(1)).alias("_pages"))
@@ -49,27 +64,67 @@ def boilerplate_lines(pages: DataFrame, stage: Stage, max_ratio: float = MAX_RAT
                  .withColumnRenamed("_site", "_of"), "boilerplate")
 
 
+def spared_pages(pages: DataFrame, stage: Stage) -> DataFrame:
+    """Per set of lines that makes up most of a page, the hash of the page that keeps them.
+
+    ``pages``: ``_site``, ``_text``, ``_lines`` and ``_kept``.
+    """
+    return stage(pages.where(_loses_most()).groupBy(_loss().alias("_of_loss"))
+                 .agg(F.min(page_hash(F.col("_text"))).alias("_whole")), "spared_pages")
+
+
+def _characters(lines: Column) -> Column:
+    return F.length(F.regexp_replace(F.array_join(lines, ""), " ", ""))
+
+
+def _loses_most() -> Column:
+    return (F.size("_kept") < F.size("_lines")) & (
+        2 * _characters(F.col("_kept")) < _characters(F.col("_lines")))
+
+
+def _loss() -> Column:
+    """The host and the set of lines a page loses, as a hash; null if these are not most of it."""
+    lost = F.array_sort(F.array_except("_lines", "_kept"))
+    return F.when(_loses_most(), F.struct(F.xxhash64("_site", lost), F.crc32(
+        F.array_join(lost, "\n").cast("binary"))))
+
+
 def site_line_dedup(docs: DataFrame, site_col: str = "source", text_col: str = "text",
                     max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES,
-                    stage: Stage | None = None) -> DataFrame:
+                    stage: Stage | None = None, spare_copies: bool = False) -> DataFrame:
     """``docs`` with boilerplate lines removed from ``text_col``.
 
     All columns come back as they were, but for the text; ``_n_lines`` and ``_n_dropped`` are
-    added (lines before, lines dropped).
+    added (lines before, lines dropped). With ``spare_copies`` a text that is there many times is
+    not boilerplate for that.
     """
     stage = stage or Stage(docs.sparkSession)
     pages = docs.select(F.col(site_col).cast("string").alias("_site"),
                         F.col(text_col).alias("_text"))
-    drop = boilerplate_lines(pages, stage, max_ratio, min_pages)
+    drop = boilerplate_lines(pages, stage, max_ratio, min_pages, spare_copies)
+    lines = lines_of(F.col("_text"))
+    kept = F.when(F.col("_drop").isNull(), lines).otherwise(
+        F.filter(lines, lambda x: ~F.array_contains("_drop", x)))
+
+    def split(rows: DataFrame, *columns: str) -> DataFrame:
+        return rows.join(drop, F.col("_site").eqNullSafe(F.col("_of")), "left").select(
+            *columns, lines.alias("_lines"), kept.alias("_kept"))
+
     # The row travels as one struct, so that its columns cannot clash with those made here.
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
                         F.col(site_col).cast("string").alias("_site"),
                         F.col(text_col).alias("_text"))
-    lines = lines_of(F.col("_text"))
-    kept = F.when(F.col("_drop").isNull(), lines).otherwise(
-        F.filter(lines, lambda x: ~F.array_contains("_drop", x)))
-    done = whole.join(drop, F.col("_site").eqNullSafe(F.col("_of")), "left").select(
-        "_row", lines.alias("_lines"), kept.alias("_kept"))
+    done = split(whole, "_row", "_site", "_text")
+    if spare_copies:
+        spared = spared_pages(split(pages, "_site", "_text"), stage)
+        stays = F.col("_whole") == page_hash(F.col("_text"))
+        # Rows that lose little meet nothing; hashes of their own spread them in the join.
+        own = F.xxhash64(*[F.col(f"_row.`{c}`") for c, kind in docs.dtypes if "map<" not in kind])
+        spread = F.struct(own, F.lit(-1).cast("bigint"))
+        done = (done.withColumn("_loss", F.coalesce(_loss(), spread))
+                .join(spared, F.col("_loss") == F.col("_of_loss"), "left")
+                .select("_row", "_lines", F.when(stays, F.col("_lines")).otherwise(
+                    F.col("_kept")).alias("_kept")))
     n_lines, n_kept = (F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0))
                        for c in ("_lines", "_kept"))
     out = [F.array_join("_kept", "\n").alias(c) if c == text_col else F.col(f"_row.`{c}`")
