@@ -25,8 +25,11 @@ each one shuffle of one row per chunk and shard:
 The chunks then meet their answers and add up the scores of their documents. Every step works on
 all documents; what is sent grows with the input, what a task holds does not: a chunk or a shard.
 The driver sees a row of totals and the list of frequent words. All steps in between are staged
-in shared storage, the tries among them (``model_dir``), where a lost executor's tasks read them
-again.
+in shared storage, where a lost executor's tasks read them again. The tries are among them, as
+rows of the second round's answers. The query does not map them: a shard's trie is asked in the
+task that builds it, from the bytes in memory. ``NgramTrie.open`` is for a trie saved as a file.
+
+The model ends at order 2; longer contexts are not in the score of any document.
 
 Words are identified by 64-bit hashes, successors in a trie by 40 bits of them.
 
