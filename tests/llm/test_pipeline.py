@@ -47,7 +47,7 @@ def test_stages_do_what_their_operators_say(spark, kept):
     want = {r.doc_id: r.text for r in line_dedup.site_line_dedup(good).collect()}
     assert {r.doc_id: r.text for r in lines.collect()} == want
     assert lines.where("n_chars <> length(text)").count() == 0
-    firsts = {r.doc_id for r in minhash_dedup.near_duplicates(lines).where("kept").collect()}
+    firsts = {r.doc_id for r in minhash_dedup.near_duplicates(lines, percent=cp.NEAR_PERCENT).where("kept").collect()}
     assert {r.doc_id for r in single.collect()} == firsts and single.exceptAll(lines).count() == 0
     assert len(firsts) < lines.count()
     bench = spark.read.parquet(f"{DATA}/benchmark.parquet")

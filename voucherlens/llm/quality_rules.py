@@ -184,9 +184,14 @@ WITH split AS (
          list_filter(string_split(coalesce(text, ''), chr(10)),
                      lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
   FROM documents),
+words AS (  -- one row a word, so that memory grows with the words and not with their square
+  SELECT row, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM split),
+windows AS (
+  SELECT row, i, [{", ".join(f"lead(w, {k}) OVER following" for k in range(WINDOW))}] AS five
+  FROM words WINDOW following AS (PARTITION BY row ORDER BY i)),
 runs AS (
-  SELECT row, i, count(*) OVER (PARTITION BY row, ws[i:i + {WINDOW - 1}]) AS n
-  FROM (SELECT row, ws, unnest(range(1, len(ws) - {WINDOW - 2})) AS i FROM split)),
+  SELECT row, i, count(*) OVER (PARTITION BY row, five) AS n
+  FROM windows WHERE five[{WINDOW}] IS NOT NULL),
 covered AS (
   SELECT row, count(DISTINCT place) AS n
   FROM (SELECT row, unnest(range(i, i + {WINDOW})) AS place FROM runs WHERE n > 1) GROUP BY row),
