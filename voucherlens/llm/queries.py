@@ -13,11 +13,13 @@ from voucherlens.llm.quality_classifier import op9_quality_classifier
 from voucherlens.llm.quality_rules import OP8_SQL, op8_quality_rules
 from voucherlens.llm.secret_scan import op2_secret_scan
 from voucherlens.llm.sentencepiece_codec import op7_sentencepiece
+from voucherlens.llm.source_divergence import OP11_SQL, op11_source_divergence
 from voucherlens.llm.suffix_dedup import op4_suffix_dedup
 
 QUERIES = {f.__name__: f for f in (
     op1_lm_scoring, op2_secret_scan, op3_line_dedup, op4_suffix_dedup, op5_minhash_dedup,
     op6_decontamination, op7_sentencepiece, op8_quality_rules, op9_quality_classifier,
-    op10_html_extraction,
+    op10_html_extraction, op11_source_divergence,
 )} | {"pipeline": corpus_pipeline.run}
-ORACLE = {"op3_line_dedup": OP3_SQL, "op8_quality_rules": OP8_SQL}
+ORACLE = {"op3_line_dedup": OP3_SQL, "op8_quality_rules": OP8_SQL,
+          "op11_source_divergence": OP11_SQL}
