@@ -38,6 +38,7 @@ import heapq
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -53,7 +54,7 @@ MIN_DOCS = 3
 SCALE = 1_000_000_000
 TOP_TERMS = 200
 
-POSTINGS = 300_000
+POSTINGS = 600_000
 BLOCK = 4096
 PAIRS = 1 << 20
 CELLS = 1 << 20
@@ -89,36 +90,51 @@ class Block:
             self.size += len(counts)
             self.docs[lang].update(set(terms))
 
-    def run(self, shards: int) -> Iterator[dict]:
+    def run(self, shards: int) -> Iterator[pa.RecordBatch]:
         """The block as rows: sorted by term within a shard and language."""
         for lang, by_source in self.count.items():
-            names, docs = list(by_source), self.docs[lang]
-            postings = sorted((term, i, n) for i, name in enumerate(names)
-                              for term, n in by_source[name].items())
-            parts: dict[int, list] = defaultdict(list)
-            for p in postings:
-                parts[zlib.crc32(p[0]) % shards].append(p)
-            for shard, part in parts.items():
-                yield from _rows(shard, lang, part, docs, names)
-
-
-def _rows(shard: int, lang: str, postings: list, docs: Counter, names: list[str]) -> Iterator[dict]:
-    """Sorted postings as rows of at most ``BLOCK`` terms, with the names of their sources."""
-    starts = [i for i, p in enumerate(postings) if i == 0 or postings[i - 1][0] != p[0]]
-    for at in range(0, len(starts), BLOCK):
-        own = starts[at:at + BLOCK]
-        end = starts[at + BLOCK] if at + BLOCK < len(starts) else len(postings)
-        part, terms = postings[own[0]:end], [postings[i][0] for i in own]
-        used = {s: k for k, s in enumerate(sorted({p[1] for p in part}))}
-        yield {"shard": shard, "lang": lang, "first": terms[0], "terms": terms,
-               "docs": [docs[t] for t in terms],
-               "sizes": [b - a for a, b in zip(own, own[1:] + [end])],
-               "names": [names[s] for s in used], "source": [used[p[1]] for p in part],
-               "count": [p[2] for p in part]}
-
-
-def _arrow(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pylist(rows, schema=schema)
+            docs = self.docs[lang]
+            ordered = sorted(docs)
+            shard = np.fromiter(map(zlib.crc32, ordered), np.int64, len(ordered)) % shards
+            by_shard = np.argsort(shard, kind="stable")
+            shard = shard[by_shard]
+            terms = [ordered[i] for i in by_shard.tolist()]
+            place = dict(zip(terms, range(len(terms))))
+            n_docs = np.fromiter(map(docs.__getitem__, terms), np.int64, len(terms))
+            term = np.concatenate([np.fromiter(map(place.__getitem__, c), np.int64, len(c))
+                                   for c in by_source.values()])
+            count = np.concatenate([np.fromiter(c.values(), np.int64, len(c))
+                                    for c in by_source.values()])
+            source = np.repeat(np.arange(len(by_source)), [len(c) for c in by_source.values()])
+            by_term = np.argsort(term, kind="stable")
+            yield from _rows(lang, shard, terms, n_docs, list(by_source), term[by_term],
+                             source[by_term], count[by_term])
+
+
+def _rows(lang: str, shard: np.ndarray, terms: list[bytes], docs: np.ndarray, names: list[str],
+          term: np.ndarray, source: np.ndarray, count: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Terms in the order of (shard, term), with their postings, as rows of at most ``BLOCK`` terms
+    and with the names of the sources that occur in them."""
+    edges = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(terms)]
+    cuts = sorted({c for a, b in zip(edges, edges[1:]) for c in range(a, b, BLOCK)} | {len(terms)})
+    sizes = np.bincount(term, minlength=len(terms))
+    upto = np.searchsorted(term, cuts)
+    used, places = [], []
+    for a, b in zip(upto, upto[1:]):
+        own, at = np.unique(source[a:b], return_inverse=True)
+        used.append([names[i] for i in own])
+        places.append(at)
+
+    def lists(values: pa.Array, offsets: object) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+
+    n = len(cuts) - 1
+    yield pa.RecordBatch.from_arrays([
+        pa.array(shard[cuts[:-1]], pa.int32()), pa.array([lang] * n, pa.string()),
+        pa.array([terms[c] for c in cuts[:-1]], pa.binary()), lists(pa.array(terms, pa.binary()), cuts),
+        lists(pa.array(docs), cuts), lists(pa.array(sizes, pa.int32()), cuts), pa.array(used, pa.list_(pa.string())),
+        lists(pa.array(np.concatenate(places), pa.int32()), upto), lists(pa.array(count), upto)],
+        schema=_RUN_ARROW)
 
 
 def _batches(rows: Iterator[dict], schema: pa.Schema, per_batch: int) -> Iterator[pa.RecordBatch]:
@@ -126,10 +142,10 @@ def _batches(rows: Iterator[dict], schema: pa.Schema, per_batch: int) -> Iterato
     for r in rows:
         held.append(r)
         if len(held) == per_batch:
-            yield _arrow(held, schema)
+            yield pa.RecordBatch.from_pylist(held, schema=schema)
             held = []
     if held:
-        yield _arrow(held, schema)
+        yield pa.RecordBatch.from_pylist(held, schema=schema)
 
 
 _RUN_ARROW = pa.schema([
@@ -150,67 +166,82 @@ def runs(texts: DataFrame, shards: int, postings: int = POSTINGS) -> DataFrame:
             for lang, source, text in zip(*(batch.column(c) for c in ("lang", "source", "text"))):
                 block.add(lang.as_py(), source.as_py(), text.as_py())
                 if block.size >= postings:
-                    yield from _batches(block.run(shards), _RUN_ARROW, 64)
+                    yield from block.run(shards)
                     block = Block()
-        yield from _batches(block.run(shards), _RUN_ARROW, 64)
+        yield from block.run(shards)
 
     return texts.select("lang", "source", "text").mapInArrow(index, _RUN)
 
 
-def merge(rows: Iterator[dict]) -> Iterator[tuple[tuple, int, dict[str, int]]]:
-    """Heap-merges run rows that come in the order of (shard, lang, first term).
+def merge(rows: Iterator[tuple]) -> Iterator[tuple[tuple, int, dict[str, int]]]:
+    """Heap-merges run rows (as :func:`_opened` gives them) in the order of (shard, lang, first
+    term).
 
     Gives ((shard, lang, term), documents, {source: count}) in that order.
     """
     heap: list[tuple] = []
     last, docs, counts = None, 0, {}
 
-    def cursor(row: dict) -> Iterator[tuple]:
-        at = 0
-        for term, n, size in zip(row["terms"], row["docs"], row["sizes"]):
-            yield (row["shard"], row["lang"], term), n, row, at, at + size
-            at += size
+    def cursor(key: tuple, terms: list, n_docs: list, sizes: list, postings: Iterator) -> Iterator[tuple]:
+        for term, n, size in zip(terms, n_docs, sizes):
+            yield (*key, term), n, list(islice(postings, size))
 
     def smallest(below: tuple | None) -> Iterator[tuple]:
         while heap and (below is None or heap[0][0] < below):
-            key, _, found, rest = heap[0]
-            yield key, *found[1:]
+            _, number, found, rest = heap[0]
+            yield found
             following = next(rest, None)
             if following is None:
                 heapq.heappop(heap)
             else:
-                heapq.heapreplace(heap, (following[0], heap[0][1], following, rest))
+                heapq.heapreplace(heap, (following[0], number, following, rest))
 
     def entries() -> Iterator[tuple]:
-        for number, row in enumerate(rows):
-            yield from smallest((row["shard"], row["lang"], row["first"]))
-            rest = cursor(row)
+        for number, (key, terms, *columns) in enumerate(rows):
+            yield from smallest((*key, terms[0]))
+            rest = cursor(key, terms, *columns)
             head = next(rest)
             heapq.heappush(heap, (head[0], number, head, rest))
         yield from smallest(None)
 
-    for key, n, row, start, end in entries():
+    for key, n, postings in entries():
         if key != last:
             if last is not None:
                 yield last, docs, counts
-            last, docs, counts = key, 0, {}
-        docs += n
-        for i in range(start, end):
-            name = row["names"][row["source"][i]]
-            counts[name] = counts.get(name, 0) + row["count"][i]
+            last, docs, counts = key, n, dict(postings)
+        else:
+            docs += n
+            for name, count in postings:
+                counts[name] = counts.get(name, 0) + count
     if last is not None:
         yield last, docs, counts
 
 
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Run rows as ((shard, lang), terms, documents, sizes, postings (source, count))."""
+    for b in batches:
+        shard, lang, _, terms, docs, sizes, names, source, count = b.columns
+        for i in range(b.num_rows):
+            own = names[i].as_py()
+            each = map(own.__getitem__, source[i].values.to_numpy().tolist())
+            yield ((shard[i].as_py(), lang[i].as_py()), terms[i].as_py(),
+                   docs[i].values.to_numpy().tolist(), sizes[i].values.to_numpy().tolist(),
+                   zip(each, count[i].values.to_numpy().tolist()))
+
+
 def frequencies(spilled: DataFrame, shards: int, min_docs: int = MIN_DOCS) -> DataFrame:
     """The merged runs: a row for each term in at least ``min_docs`` documents of its language."""
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (r for b in batches for i in range(b.num_rows) for r in b.slice(i, 1).to_pylist())
-        found = ({"shard": shard, "lang": lang, "term": term.decode(),
-                  "source": list(counts), "count": list(counts.values())}
-                 for (shard, lang, term), docs, counts in merge(rows) if docs >= min_docs)
-        yield from _batches(found, _KEPT_ARROW, 4096)
+        found = ((*key, counts) for key, docs, counts in merge(_opened(batches)) if docs >= min_docs)
+        while part := list(islice(found, BLOCK)):
+            offsets = pa.array(np.cumsum([0, *(len(p[3]) for p in part)]), pa.int32())
+            yield pa.RecordBatch.from_arrays([
+                pa.array([p[0] for p in part], pa.int32()), pa.array([p[1] for p in part], pa.string()),
+                pa.array([p[2] for p in part], pa.binary()).cast(pa.string()),
+                pa.ListArray.from_arrays(offsets, pa.array([x for p in part for x in p[3]], pa.string())),
+                pa.ListArray.from_arrays(offsets, pa.array([x for p in part for x in p[3].values()], pa.int64()))],
+                schema=_KEPT_ARROW)
 
     dealt = spilled.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "lang", "first")
     return dealt.mapInArrow(kept, _KEPT)
