@@ -6,6 +6,7 @@ from __future__ import annotations
 import corpus_pipeline
 from voucherlens.llm.decontamination import op6_decontamination
 from voucherlens.llm.html_extraction import op10_html_extraction
+from voucherlens.llm.language_id import op12_language_id
 from voucherlens.llm.line_dedup import OP3_SQL, op3_line_dedup
 from voucherlens.llm.lm_scoring import op1_lm_scoring
 from voucherlens.llm.minhash_dedup import op5_minhash_dedup
@@ -19,7 +20,7 @@ from voucherlens.llm.suffix_dedup import op4_suffix_dedup
 QUERIES = {f.__name__: f for f in (
     op1_lm_scoring, op2_secret_scan, op3_line_dedup, op4_suffix_dedup, op5_minhash_dedup,
     op6_decontamination, op7_sentencepiece, op8_quality_rules, op9_quality_classifier,
-    op10_html_extraction, op11_source_divergence,
+    op10_html_extraction, op11_source_divergence, op12_language_id,
 )} | {"pipeline": corpus_pipeline.run}
 ORACLE = {"op3_line_dedup": OP3_SQL, "op8_quality_rules": OP8_SQL,
           "op11_source_divergence": OP11_SQL}
