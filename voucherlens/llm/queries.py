@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 from voucherlens.llm.decontamination import op6_decontamination
+from voucherlens.llm.hard_negatives import OP13_SQL, op13_hard_negatives
 from voucherlens.llm.html_extraction import op10_html_extraction
 from voucherlens.llm.language_id import op12_language_id
 from voucherlens.llm.line_dedup import OP3_SQL, op3_line_dedup
@@ -21,6 +22,7 @@ QUERIES = {f.__name__: f for f in (
     op1_lm_scoring, op2_secret_scan, op3_line_dedup, op4_suffix_dedup, op5_minhash_dedup,
     op6_decontamination, op7_sentencepiece, op8_quality_rules, op9_quality_classifier,
     op10_html_extraction, op11_source_divergence, op12_language_id,
+    op13_hard_negatives,
 )} | {"pipeline": corpus_pipeline.run}
 ORACLE = {"op3_line_dedup": OP3_SQL, "op8_quality_rules": OP8_SQL,
-          "op11_source_divergence": OP11_SQL}
+          "op11_source_divergence": OP11_SQL, "op13_hard_negatives": OP13_SQL}
