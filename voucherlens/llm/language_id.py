@@ -10,8 +10,8 @@ that is no piece is spelt with the byte pieces. A text scores the sum of its uni
 language's share of the training documents; the score of the prediction is its posterior
 probability.
 
-Training: expectation-maximisation. At most ``PER_LANG`` documents of each language outside the
-held-out fold, those with the smallest hash of their id, are counted into units by Spark; in each
+Training: expectation-maximisation. About ``PER_LANG`` documents of each language outside the
+held-out fold, chosen by the hash of their id, are counted into units by Spark; in each
 of ``ROUNDS`` rounds the tasks sum the expected piece counts of their units by the forward-backward
 algorithm, as whole numbers of ``1 / GRAIN``, so that the model does not depend on partitions. Only
 these sums, a number for each piece and language, come to the driver. Each language is smoothed
@@ -34,6 +34,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 from typing import NamedTuple
 
 import ahocorasick
@@ -47,14 +48,15 @@ from voucherlens.staging import Stage
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
+BREAK = "\n"  # between units; no unit and no piece has it
 UNKNOWN = "und"
 FOLDS, HELD_OUT = 4, 2
 PER_LANG = 2000
 ROUNDS = 3
 GRAIN = 1 << 20
 SMOOTHING = 100.0   # expected pieces that the background is worth
-SALTS = 64
-MEMO_UNITS, MEMO_CELLS, MEMO_CHARS = 200_000, 1 << 21, 32
+SALTS = 16
+MEMO_UNITS, MEMO_CELLS, MEMO_CHARS = 400_000, 1 << 21, 32
 STRETCH = 1024
 CHUNK_CHARS = 100_000
 SLICE_CHARS = 1 << 20
@@ -65,17 +67,27 @@ class Pieces:
 
     def __init__(self, ordinary: dict[str, int], byte_ids: list[int], size: int):
         self.byte_ids, self.size = byte_ids, size
+        ordinary = {p: i for p, i in ordinary.items() if BREAK not in p}
         self.longest = max(map(len, ordinary), default=1)
-        self.single = {p for p in ordinary if len(p) == 1}
+        self.length = np.ones(size, np.int64)
+        self.length[list(ordinary.values())] = [len(p) for p in ordinary]
+        self.single = np.array(sorted(ord(p) for p in ordinary if len(p) == 1), np.uint32)
         self.automaton = ahocorasick.Automaton()
         for piece, i in ordinary.items():
-            self.automaton.add_word(piece, (len(piece), i))
+            self.automaton.add_word(piece, i)
         if ordinary:
             self.automaton.make_automaton()
         self.empty = not ordinary
 
+    def found(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """All occurrences of pieces: the place of the last character, and the id."""
+        if self.empty:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        flat = np.fromiter(chain.from_iterable(self.automaton.iter(text)), np.int64)
+        return flat[0::2], flat[1::2]
+
     def spelt(self, char: str) -> list[int]:
-        return [self.byte_ids[b] for b in char.encode("utf-8", "surrogatepass")]
+        return [self.byte_ids[b] for b in char.encode()]
 
 
 def read_vocabulary(path: str = MODEL_PATH) -> bytes:
@@ -104,40 +116,33 @@ def units_of(text: str) -> Counter:
 class Lattice:
     """All pieces in some prepared texts, as edges from position to position.
 
-    Text ``t`` has the positions ``base[t] .. base[t] + len(text)``. ``piece`` is an id, or the
+    Text ``t`` has the positions ``base[t] .. base[t] + len(text)``: the places of its characters
+    in one string of all texts, with a ``BREAK`` behind each. ``piece`` is an id, or the
     size of the vocabulary plus a place in ``chars`` for a character in bytes. The edges come in
     the order of their distance from the start, then of their text.
     """
 
     def __init__(self, pieces: Pieces, texts: list[str]):
-        self.pieces, self.chars = pieces, []
-        at: dict[str, int] = {}
-        text_of, start, end, piece = [], [], [], []
-        for t, text in enumerate(texts):
-            for last, (size, i) in (() if pieces.empty else pieces.automaton.iter(text)):
-                text_of.append(t)
-                start.append(last + 1 - size)
-                end.append(last + 1)
-                piece.append(i)
-            for k, c in enumerate(text):
-                if c not in pieces.single:
-                    if c not in at:
-                        at[c] = len(at)
-                        self.chars.append(c)
-                    text_of.append(t)
-                    start.append(k)
-                    end.append(k + 1)
-                    piece.append(pieces.size + at[c])
-        self.length = np.array([len(t) for t in texts], np.int64)
+        self.pieces = pieces
+        self.length = np.fromiter(map(len, texts), np.int64, len(texts))
         self.base = np.cumsum(self.length + 1) - (self.length + 1)
         self.places = int((self.length + 1).sum())
-        text, start, end = (np.array(x, np.int64) for x in (text_of, start, end))
-        order = np.lexsort((text, end))
-        text, start, end = text[order], start[order], end[order]
-        self.text, self.piece = text, np.array(piece, np.int64)[order]
-        self.start, self.end = self.base[text] + start, self.base[text] + end
-        self.steps = np.searchsorted(end, np.arange(int(self.length.max(initial=0)) + 2))
-        self.first = start
+        whole = "".join(t + BREAK for t in texts)
+        last, piece = pieces.found(whole)
+        size = pieces.length[piece]
+        code = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+        odd = np.flatnonzero(~np.isin(code, pieces.single) & (code != ord(BREAK)))
+        chars, which = np.unique(code[odd], return_inverse=True)
+        self.chars = [chr(c) for c in chars]
+        end = np.concatenate([last, odd]) + 1
+        start = end - np.concatenate([size, np.ones(len(odd), np.int64)])
+        piece = np.concatenate([piece, pieces.size + which])
+        text = np.searchsorted(self.base, start, "right") - 1
+        order = np.lexsort((text, end - self.base[text]))
+        self.text, self.piece, self.start, self.end = text[order], piece[order], start[order], end[order]
+        self.first = self.start - self.base[self.text]
+        self.steps = np.searchsorted(self.end - self.base[self.text],
+                                     np.arange(int(self.length.max(initial=0)) + 2))
 
     def weights(self, logp: np.ndarray) -> np.ndarray:
         """``logp`` (pieces x languages) with a row for each character in bytes."""
@@ -221,11 +226,14 @@ class Scorer:
 
     def _learn(self, units: list[str]) -> np.ndarray:
         """Scores of some units, a bounded number of characters at a time."""
-        out, held, chars = [], [], 0
+        out, held, chars = [self.value[:0]], [], 0
         for u in units:
+            if len(u) > MEMO_CHARS:
+                out.append(long_unit_score(self.pieces, self.logp, u)[None])
+                continue
             held.append(u)
             chars += len(u) + 1
-            if chars > CHUNK_CHARS:
+            if chars > CHUNK_CHARS or len(held) == len(units):
                 out.append(unit_scores(self.pieces, self.logp, held))
                 held, chars = [], 0
         if held:
@@ -235,40 +243,48 @@ class Scorer:
     def scores(self, texts: list[str]) -> np.ndarray:
         """Log probability of each text and each language."""
         counted = [units_of(t) for t in texts]
-        short = {u for c in counted for u in c if len(u) <= MEMO_CHARS and u not in self.row}
-        if len(self.row) + len(short) > self.most:
+        new = set().union(*counted).difference(self.row)
+        if len(self.row) + len(new) > self.most:
             self.row, self.value = {}, self.value[:0]
-            short = {u for c in counted for u in c if len(u) <= MEMO_CHARS}
-        if short:
-            new = list(short)
-            self.row.update(zip(new, range(len(self.row), len(self.row) + len(new))))
-            self.value = np.vstack([self.value, self._learn(new)])
+            new = set().union(*counted)
+        short = [u for u in new if len(u) <= MEMO_CHARS]
+        long = [u for u in new if len(u) > MEMO_CHARS]
+        for some in (short, long):
+            self.row.update(zip(some, range(len(self.row), len(self.row) + len(some))))
+            self.value = np.vstack([self.value, self._learn(some)])
         out = np.tile(self.prior, (len(texts), 1))
         for k, counts in enumerate(counted):
-            ordinary = [u for u in counts if len(u) <= MEMO_CHARS]
-            if ordinary:
-                n = np.fromiter(map(counts.__getitem__, ordinary), float, len(ordinary))
-                at = np.fromiter(map(self.row.__getitem__, ordinary), np.int64, len(ordinary))
-                out[k] += (n[:, None] * self.value[at]).sum(axis=0)
-            for u in counts:
-                if len(u) > MEMO_CHARS:
-                    out[k] += counts[u] * long_unit_score(self.pieces, self.logp, u)
+            n = np.fromiter(counts.values(), float, len(counts))
+            at = np.fromiter(map(self.row.__getitem__, counts), np.int64, len(counts))
+            out[k] += (n[:, None] * self.value[at]).sum(axis=0)
+        for u in long:  # the last rows
+            del self.row[u]
+        self.value = self.value[:len(self.row)]
         return out
 
 
+_last: list = []
+
+
+def scorer_of(model: Model) -> Scorer:
+    """The scorer of a worker, with what it remembers from its tasks before."""
+    if not _last or _last[0] is not model:
+        _last[:] = [model, Scorer(model)]
+    return _last[1]
+
+
 def sample(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
-    """At most ``per_lang`` ids of each language outside the held-out fold: ``doc_id, lang``.
+    """About ``per_lang`` ids of each language outside the held-out fold: ``doc_id, lang``.
 
-    Ranked within salts of a language first, so no task sorts a language.
+    Those with the smallest hashes in each of ``SALTS`` parts of a language, so that no task ranks
+    a whole language: at most ``per_lang`` rounded up to a multiple of ``SALTS``.
     """
     ids = (docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull()
                       & (fold_of(folds=FOLDS) != HELD_OUT))
            .select("doc_id", "lang", F.xxhash64("doc_id").alias("_h")))
-    order = ["_h", "doc_id"]
-    salted = Window.partitionBy("lang", F.pmod(F.col("_h"), F.lit(SALTS))).orderBy(*order)
-    few = ids.withColumn("_n", F.row_number().over(salted)).where(F.col("_n") <= per_lang)
-    first = few.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
-    return first.where(F.col("_n") <= per_lang).select("doc_id", "lang").distinct()
+    salted = Window.partitionBy("lang", F.pmod(F.col("_h"), F.lit(SALTS))).orderBy("_h", "doc_id")
+    few = ids.withColumn("_n", F.row_number().over(salted)).where(F.col("_n") <= -(-per_lang // SALTS))
+    return few.select("doc_id", "lang").distinct()
 
 
 def _count_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -367,7 +383,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        scorer = Scorer(own)
+        scorer = scorer_of(own)
         for batch in batches:
             texts = batch.column("text").to_pylist()
             if not own.langs:
