@@ -1,6 +1,6 @@
 import math
 import random
-from decimal import Decimal
+from decimal import Decimal, localcontext
 
 import pytest
 from conftest import DATA, day, ids
@@ -121,8 +121,7 @@ def test_only_big_vendors_are_cut(invoices, stage):
 
 
 def exact(df, key, value, stage, probs):
-    targets = stage(quantiles.rank_buckets(df, key, value, probs), "targets")
-    got = quantiles.percentiles_in_buckets(df, targets, key, value, len(probs))
+    got = quantiles.percentiles(df, stage, key, value, probs)
     return {r[0]: tuple(float(x) for x in r[1:]) for r in got.collect()}
 
 
@@ -150,6 +149,79 @@ def test_quartiles_equal_the_built_in_for_any_rows(invoices, stage, rows):
         inv, "category_id", "amount", probs)
 
 
+def quartiles_by_hand(values):
+    """Exact quartiles of whole numbers, in quarters."""
+    v = sorted(values)
+    out = []
+    for k in (1, 3):
+        at, rest = divmod(k * (len(v) - 1), 4)
+        out.append(4 * v[at] + rest * (v[min(at + 1, len(v) - 1)] - v[at]))
+    return out
+
+
+@pytest.mark.parametrize("bound", [1 << 16, 8])
+@pytest.mark.parametrize("scale, low, high, kind", [
+    (4, 1, 9_999, "decimal(18,4)"),               # values below 1
+    (2, -500, 500, "decimal(12,2)"),
+    (2, 1, 10 ** 11, "decimal(18,2)"),            # 10^9 apart
+    (0, -2 * 10 ** 18, 9 * 10 ** 18, "bigint"),
+    (2, -10 ** 34, 10 ** 35, "decimal(38,2)")])
+def test_quartiles_of_any_scale_in_bounded_rounds(spark, stage, monkeypatch, bound, scale, low, high, kind):
+    monkeypatch.setattr(quantiles, "BOUND", bound)
+    rnd = random.Random(high)
+    near = [rnd.randint(high // 2, high // 2 + max(20, high // 10 ** 7)) for _ in range(150)]
+    rows = [(rnd.choice([1, 1, 2, None]), rnd.choice([v, rnd.randint(low, high)])) for v in near * 2]
+    rows += [(3, high), (4, low), (4, high), (5, None)]
+    df = spark.createDataFrame([(k, None if v is None else f"{v}e-{scale}") for k, v in rows],
+                               "category_id int, amount string")
+    df = stage(df.withColumn("amount", F.col("amount").cast(kind)), "rows")
+    rounds = []
+
+    def spy(frame, name):
+        rounds.append(name)
+        return stage(frame, name)
+
+    got = {r[0]: [r[1], r[2]] for r in quantiles.percentiles(
+        df, spy, "category_id", "amount", (0.25, 0.75)).collect()}
+    with localcontext() as exactly:
+        exactly.prec = 60
+        want = {}
+        for c in {k for k, v in rows if k is not None and v is not None}:
+            q = quartiles_by_hand([v for k, v in rows if k == c and v is not None])
+            want[c] = [Decimal(x).scaleb(-scale) / 4 for x in q]
+        assert got == want
+    assert 1 <= len(rounds) <= (4 if bound > 8 else 14)
+
+
+def test_no_window_of_the_quartiles_has_more_rows_than_the_bound(spark, stage, monkeypatch):
+    df = stage(spark.range(200_000).select(
+        F.lit(1).alias("category_id"),
+        (F.lit(10 ** 9) + F.col("id") * 7919 % 199_999).cast("decimal(18,4)").alias("amount")), "rows")
+    want = exact(df, "category_id", "amount", stage, (0.25, 0.75))
+    for bound in (16, 1000):
+        monkeypatch.setattr(quantiles, "BOUND", bound)
+        found = stage(quantiles.first_intervals(df, "category_id", "amount", (0.25, 0.75)), "first")
+        assert found.groupBy("_key").count().first()["count"] <= 4
+        rounds = 1
+        while not found.where("low < high").isEmpty():
+            parts = quantiles.parts_of_intervals(df, found.where("low < high"), "category_id", "amount")
+            assert parts.groupBy("_k", "_low").count().agg(F.max("count")).first()[0] <= bound + 1
+            found = stage(quantiles.next_intervals(df, found, "category_id", "amount"), "next")
+            rounds += 1
+        assert 2 < rounds < 12
+        assert exact(df, "category_id", "amount", stage, (0.25, 0.75)) == want
+
+
+def test_one_value_many_times_and_few_buckets_whatever_the_type(spark, stage):
+    df = spark.range(5000).select(F.lit(1).alias("k"), F.lit(7).cast("decimal(38,10)").alias("v"))
+    assert exact(df, "k", "v", stage, (0.25, 0.5)) == {1: (7.0, 7.0)}
+    wide = spark.createDataFrame([(1, "9" * 38), (1, "-" + "9" * 38), (1, "0")], "k int, v string")
+    wide = wide.withColumn("v", F.col("v").cast("decimal(38,0)"))
+    bucket = quantiles._bucket(quantiles.units(F.col("v"), wide.schema["v"].dataType))
+    spread = [r[0] for r in wide.select(bucket).collect()]
+    assert max(spread) - min(spread) < quantiles.BOUND
+
+
 def test_fence_is_strict(invoices, stage):
     # quartiles 20 and 40, fence 70
     base = [10, 20, 30, 40]

@@ -1,11 +1,19 @@
 """Exact grouped percentiles by counting, and the inter-quartile fence check.
 
 Spark's exact ``percentile`` keeps every distinct value of a group in one task. Here the
-values are decimals, so a percentile can be found by counting instead: a first pass counts
-values per bucket of ``BUCKET`` and finds the buckets that hold the wanted ranks; a
-second pass counts single values inside just those buckets. Both passes combine before the
-shuffle, so what moves is bounded by the number of buckets and of distinct values per bucket,
-however many rows a category has.
+values are whole numbers of their last decimal place, so a percentile can be found by counting,
+in rounds that close in on the wanted ranks:
+
+* The first round counts a group's values in buckets of equal ratio (``PER_FOLD`` for each factor of
+  e), whatever their scale, and finds the buckets that hold the ranks, each with the smallest and the largest value
+  that really is in it.
+* Each further round looks only at the values in those intervals. An interval with at most ``BOUND``
+  rows, or less than ``BOUND`` wide, is counted value by value, which gives the answer; any
+  other is cut into ``BOUND`` equal parts, of which the one with the rank is the next interval.
+
+So an interval gets at least ``BOUND`` times smaller in a round, and most need two rounds in all. Counts combine
+before the shuffle, and no window has more than ``BOUND`` rows, however many rows or distinct values
+a group has.
 """
 
 from __future__ import annotations
@@ -21,32 +29,49 @@ from voucherlens import schema as S
 from voucherlens.functions.money import exact_type, text2, units
 from voucherlens.operators.flags import flag, flag_rows
 
-BUCKET = 10_000  # in whole amounts
+BOUND = 1 << 16
+# 38 digits are 87.5 factors of e, so with both signs there are less than BOUND buckets.
+PER_FOLD = 370
 
+Staging = Callable[[DataFrame, str], DataFrame]
 
-def _bucket(value: Column, kind: T.DecimalType) -> Column:
-    # Any function that does not fall and is the same in both passes will do.
-    return F.floor(units(value, kind).cast("double") / F.lit(float(BUCKET * 10 ** kind.scale)))
 
+def _bucket(number: Column) -> Column:
+    # Any function that does not fall will do, as long as it is the same in all rounds.
+    x = number.cast("double")
+    return (F.signum(x) * F.floor(F.log1p(F.abs(x)) * F.lit(float(PER_FOLD)))).cast("int")
 
-def _running(df: DataFrame, partition: Sequence[str], order: str) -> DataFrame:
+
+def _holding(counts: DataFrame, partition: Sequence[str], order: str) -> DataFrame:
+    """``counts`` with the number of values before each row (``_before``) and up to it."""
     upto = Window.partitionBy(*partition).orderBy(order)
-    return (df.withColumn("_upto", F.sum("_n").over(upto))
-            .withColumn("_before", F.col("_upto") - F.col("_n")))
+    return (counts.withColumn("_upto", F.sum("n").over(upto))
+            .withColumn("_before", F.col("_upto") - F.col("n")))
+
+
+def _counted(number: Column) -> list[Column]:
+    return [F.count(F.lit(1)).alias("n"), F.min(number).alias("low"), F.max(number).alias("high"),
+            F.min("_x").alias("value")]
+
+
+def _numbers(df: DataFrame, key: str, value: str) -> DataFrame:
+    kind = exact_type(df, value)
+    own = df.select(F.col(key).alias("_key"), units(F.col(value), kind).alias("_v"),
+                    F.col(value).cast(kind).alias("_x"))
+    return (own.where(F.col("_key").isNotNull() & F.col("_v").isNotNull())
+            .withColumn("_bucket", _bucket(F.col("_v"))))
 
 
-def rank_buckets(df: DataFrame, key: str, value: str, probs: Sequence[float]) -> DataFrame:
-    """First pass. For each group and wanted rank: its bucket and its rank in the bucket.
+def first_intervals(df: DataFrame, key: str, value: str, probs: Sequence[float]) -> DataFrame:
+    """First round. For each group and wanted rank: the bucket that holds it, as an interval of
+    units (``low`` to ``high``, ``n`` values, the smallest of them ``value``), and the rank among its values.
 
     The percentile at ``p`` of ``n`` sorted values lies at position ``p * (n - 1)``, between
     the two ranks around it. At most two rows per group and probability.
     """
-    kind = exact_type(df, value)
-    counts = (df.where(F.col(value).isNotNull() & F.col(key).isNotNull())
-              .groupBy(key, _bucket(F.col(value), kind).alias("_bucket"))
-              .agg(F.count(F.lit(1)).alias("_n")))
-    total = F.sum("_n").over(Window.partitionBy(key))
-    ranked = _running(counts.withColumn("_total", total), [key], "_bucket")
+    counts = _numbers(df, key, value).groupBy("_key", "_bucket").agg(*_counted(F.col("_v")))
+    total = F.sum("n").over(Window.partitionBy("_key"))
+    ranked = _holding(counts.withColumn("_total", total), ["_key"], "_bucket")
     wanted = []
     for i, p in enumerate(probs):
         at = F.lit(float(p)) * (F.col("_total") - 1)
@@ -55,50 +80,81 @@ def rank_buckets(df: DataFrame, key: str, value: str, probs: Sequence[float]) ->
                                    rank.alias("rank"), (at - F.floor(at)).alias("frac")))
     inside = F.filter(F.array(*wanted),
                       lambda w: (w["rank"] >= F.col("_before")) & (w["rank"] < F.col("_upto")))
-    return (ranked.select(key, "_bucket", "_before", F.explode(inside).alias("w"))
-            .select(F.col(key).alias("_key"), F.col("_bucket").alias("_target"),
-                    "w.prob", "w.side", "w.frac",
-                    (F.col("w.rank") - F.col("_before")).alias("rank_in_bucket")))
+    return (ranked.select("_key", "_bucket", "low", "high", "value", "n", "_before", F.explode(inside).alias("w"))
+            .select("_key", "_bucket", "low", "high", "value", "n", "w.prob", "w.side", "w.frac",
+                    (F.col("w.rank") - F.col("_before")).alias("rank")))
 
 
-def percentiles_in_buckets(df: DataFrame, targets: DataFrame, key: str, value: str,
-                           n_probs: int) -> DataFrame:
-    """Second pass. Reads the values at the ranks found by :func:`rank_buckets`.
+def _part(number: Column) -> Column:
+    """Place of a number in its interval: itself in a small one, else one of ``BOUND`` parts.
 
-    Interpolates in decimals with two more digits than the values have, which is exact for
-    quartiles.
+    The parts are cut in floating point, which keeps the order, and the two ends of an interval
+    never fall into the same one.
+    """
+    width = (F.col("_high") - F.col("_low")).cast("double") + F.lit(1.0)
+    place = F.floor((number - F.col("_low")).cast("double") * F.lit(float(BOUND)) / width)
+    small = (F.col("_n") <= BOUND) | (width <= F.lit(float(BOUND)))
+    return F.when(small, number).otherwise(place)
+
+
+def parts_of_intervals(df: DataFrame, intervals: DataFrame, key: str, value: str) -> DataFrame:
+    """Counts of the parts of the given open intervals, with the running count inside each."""
+    some = intervals.select(F.col("_key").alias("_k"), F.col("_bucket").alias("_b"),
+                            F.col("low").alias("_low"), F.col("high").alias("_high"),
+                            F.col("n").alias("_n")).distinct()
+    number = F.col("_v")
+    met = _numbers(df, key, value).join(
+        some, (F.col("_key") == F.col("_k")) & (F.col("_bucket") == F.col("_b"))
+        & (number >= F.col("_low")) & (number <= F.col("_high")))
+    counts = met.groupBy("_k", "_low", _part(number).alias("_part")).agg(*_counted(number))
+    return _holding(counts, ["_k", "_low"], "_part")
+
+
+def next_intervals(df: DataFrame, intervals: DataFrame, key: str, value: str) -> DataFrame:
+    """A further round: ``intervals`` with every open one replaced by its part with the rank."""
+    is_open = F.col("low") < F.col("high")
+    found = parts_of_intervals(df, intervals.where(is_open), key, value).select(
+        "_k", "_low", "_before", "_upto", F.col("low").alias("_part_low"),
+        F.col("high").alias("_part_high"), F.col("n").alias("_part_n"),
+        F.col("value").alias("_part_value"))
+    closer = (intervals.where(is_open).join(
+        found, (F.col("_key") == F.col("_k")) & (F.col("low") == F.col("_low"))
+        & (F.col("rank") >= F.col("_before")) & (F.col("rank") < F.col("_upto")))
+        .select("_key", "_bucket", F.col("_part_low").alias("low"), F.col("_part_high").alias("high"),
+                F.col("_part_value").alias("value"), F.col("_part_n").alias("n"), "prob", "side", "frac",
+                (F.col("rank") - F.col("_before")).alias("rank")))
+    return closer.unionByName(intervals.where(~is_open))
+
+
+def percentiles(df: DataFrame, stage: Staging, key: str, value: str, probs: Sequence[float]) -> DataFrame:
+    """``key`` and the exact percentiles ``p0``, ``p1``, … of ``value``, NULLs left out.
+
+    Interpolates in decimals with as many more digits as ``probs`` have (two at least), which is
+    exact. ``df`` should be staged: it is read once in each round.
     """
     kind = exact_type(df, value)
-    result = T.DecimalType(min(38, kind.precision + 6), kind.scale + 2)
-    buckets = targets.select("_key", "_target").distinct()
-    counts = (df.where(F.col(value).isNotNull())
-              .select(key, F.col(value).alias("_value"),
-                      _bucket(F.col(value), kind).alias("_bucket"))
-              .join(buckets, (F.col(key) == F.col("_key")) & (F.col("_bucket") == F.col("_target")),
-                    "left_semi")
-              .groupBy(key, "_bucket", "_value").agg(F.count(F.lit(1)).alias("_n")))
-    ranked = _running(counts, [key, "_bucket"], "_value")
-    found = ranked.join(
-        targets,
-        (F.col(key) == F.col("_key")) & (F.col("_bucket") == F.col("_target"))
-        & (F.col("rank_in_bucket") >= F.col("_before")) & (F.col("rank_in_bucket") < F.col("_upto")))
-    x = F.col("_value").cast(kind)
+    digits = max(2, *(-Decimal(str(p)).as_tuple().exponent for p in probs))
+    found = stage(first_intervals(df, key, value, probs), "rank_intervals")
+    while not found.where("low < high").isEmpty():  # one bit, of a table with a few rows a group
+        found = stage(next_intervals(df, found, key, value), "rank_intervals")
+    result = T.DecimalType(min(38, kind.precision + 4 + digits), kind.scale + digits)
 
     def pick(i: int, side: str) -> Column:
-        return F.max(F.when((F.col("prob") == i) & (F.col("side") == side), x))
+        return F.max(F.when((F.col("prob") == i) & (F.col("side") == side), F.col("value")))
 
     def at(i: int) -> Column:
-        frac = F.max(F.when(F.col("prob") == i, F.col("frac"))).cast("decimal(9,8)")
+        frac = F.max(F.when(F.col("prob") == i, F.col("frac"))).cast(
+            T.DecimalType(digits + 1, digits))
         return (pick(i, "lo") + (pick(i, "hi") - pick(i, "lo")) * frac).cast(result)
 
-    return found.groupBy(key).agg(*[at(i).alias(f"p{i}") for i in range(n_probs)])
+    return (found.groupBy(F.col("_key").alias(key))
+            .agg(*[at(i).alias(f"p{i}") for i in range(len(probs))]))
 
 
-def iqr_fences(clean: DataFrame, stage: Callable[[DataFrame, str], DataFrame],
-               key: str = "category_id", value: str = "amount", k: float = 1.5) -> DataFrame:
+def iqr_fences(clean: DataFrame, stage: Staging, key: str = "category_id", value: str = "amount",
+               k: float = 1.5) -> DataFrame:
     """Per ``key``: quartiles, their distance and the upper fence ``q3 + k * iqr``."""
-    targets = stage(rank_buckets(clean, key, value, (0.25, 0.75)), "quartile_buckets")
-    q = percentiles_in_buckets(clean, targets, key, value, 2)
+    q = percentiles(clean, stage, key, value, (0.25, 0.75))
     iqr = F.col("q3") - F.col("q1")
     return (q.select(key, F.col("p0").alias("q1"), F.col("p1").alias("q3"))
             .withColumn("iqr", iqr)
