@@ -1,6 +1,7 @@
 import math
 import random
 from decimal import Decimal, localcontext
+from fractions import Fraction
 
 import pytest
 from conftest import DATA, day, ids
@@ -9,6 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from voucherlens.functions.money import mean_text2
 from voucherlens.operators import baselines, quantiles, rolling
 from voucherlens.plans import audit
 from voucherlens.schema import AuditParams
@@ -172,7 +174,8 @@ def test_quartiles_of_any_scale_in_bounded_rounds(spark, stage, monkeypatch, bou
     near = [rnd.randint(high // 2, high // 2 + max(20, high // 10 ** 7)) for _ in range(150)]
     rows = [(rnd.choice([1, 1, 2, None]), rnd.choice([v, rnd.randint(low, high)])) for v in near * 2]
     rows += [(3, high), (4, low), (4, high), (5, None)]
-    df = spark.createDataFrame([(k, None if v is None else f"{v}e-{scale}") for k, v in rows],
+    df = spark.createDataFrame([(k, None if v is None else f"{v}e-{scale}" if scale else str(v))
+                               for k, v in rows],
                                "category_id int, amount string")
     df = stage(df.withColumn("amount", F.col("amount").cast(kind)), "rows")
     rounds = []
@@ -296,6 +299,69 @@ def test_deviation_of_large_and_negative_amounts(spark):
     assert got[2] == pytest.approx(math.sqrt((1 + 9 + 4 - 4 / 3) / 2) / 100, rel=1e-12)
 
 
+@pytest.mark.parametrize("kind, scale, near, spread", [
+    ("decimal(18,4)", 4, 9 * 10 ** 17, 10 ** 16),          # 9e13
+    ("bigint", 0, 9 * 10 ** 18, 10 ** 17),
+    ("decimal(38,2)", 2, 12 * 10 ** 22, 10 ** 21),         # 1.2e21
+    ("decimal(38,2)", 2, 12 * 10 ** 22, 30),               # the squares differ in the last digits
+    ("decimal(38,0)", 0, 10 ** 35, 10 ** 34),
+    ("decimal(20,6)", 6, 10 ** 3, 10 ** 3),
+    ("decimal(14,2)", 2, 10 ** 13, 10 ** 13)])
+def test_deviation_of_wide_amounts_is_exact(spark, kind, scale, near, spread):
+    rnd = random.Random(spread)
+    rows = [(v, rnd.choice([-1, 1]) * near * (v < 3) + rnd.randint(-spread, spread)) for v in (1, 2) for _ in range(300)]
+    rows = [(v, x if v == 2 else abs(x) % (9 * 10 ** 18 if kind == "bigint" else 10 ** 38)) for v, x in rows]
+    rows += [(3, near), (4, near), (4, near), (5, near), (5, near + 1)]
+    df = spark.createDataFrame([(v, f"{x}e-{scale}" if scale else str(x)) for v, x in rows], "vendor_id long, amount string")
+    df = df.withColumn("amount", F.col("amount").cast(kind))
+    got = {r.vendor_id: r for r in baselines.vendor_baselines(df.repartition(3)).collect()}
+    with localcontext() as exactly:
+        exactly.prec = 120
+        for vendor in (1, 2, 4, 5):
+            x = [v for k, v in rows if k == vendor]
+            n = len(x)
+            variance = Fraction(n * sum(v * v for v in x) - sum(x) ** 2, n * (n - 1))
+            sigma = (Decimal(variance.numerator) / variance.denominator).sqrt().scaleb(-scale)
+            assert got[vendor].std_dev == pytest.approx(float(sigma), rel=4e-16, abs=0)
+            assert got[vendor].baseline == pytest.approx(float(Fraction(sum(x), n * 10 ** scale)), rel=4e-16)
+            assert got[vendor].baseline_total == Decimal(sum(x)).scaleb(-scale)
+        assert got[3].std_dev is None and got[4].std_dev == 0
+
+
+def test_wide_and_plain_sums_agree_to_the_bit(spark, monkeypatch):
+    events = ledger.event_invoices(spark, DATA)
+    want = sorted(map(str, baselines.vendor_baselines(events).collect()))
+    monkeypatch.setattr(baselines, "PLAIN_DIGITS", 1)
+    near = baselines.vendor_baselines(events).collect()
+    assert [r.n_rows for r in near] and len(near) == len(want)
+    monkeypatch.undo()
+    plain = {r.vendor_id: r.std_dev for r in baselines.vendor_baselines(events).collect()}
+    assert all(r.std_dev == pytest.approx(plain[r.vendor_id], rel=4e-16) for r in near if r.std_dev is not None)
+
+
+def test_wide_amounts_are_audited_and_printed(spark):
+    values = ["1200000000000000000000.00"] * 40 + ["1200000000000000000000.01"] + ["9" * 24 + ".99"]
+    found = baselines.detect_zscore(fine(spark, values, "decimal(38,2)")).collect()
+    assert [r.invoice_id for r in found] == ["I041"]
+    with localcontext() as exactly:
+        exactly.prec = 60
+        mean = sum(map(Decimal, values)) / len(values)
+        assert f"| Amount: {'9' * 24}.99 | Baseline: {mean.quantize(Decimal('0.01'))} |" in found[0].details
+
+
+def test_printed_mean_of_wide_totals_rounds_halves_to_even(spark):
+    rows = [("2000000000000000000000.01", 2), ("2000000000000000000000.03", 2), ("-2000000000000000000000.03", 2),
+            ("3000000000000000000000.02", 3)]
+    df = spark.createDataFrame(rows, "t string, n long").select(
+        mean_text2(F.col("t").cast("decimal(38,2)") * 100, F.col("n")).alias("m"))
+    assert [r.m for r in df.collect()] == [
+        "100000000000000000000000.50", "100000000000000000000001.50", "-100000000000000000000001.50",
+        "100000000000000000000000.67"]
+    tie = spark.createDataFrame([("20000000000000000000000.01", 2), ("20000000000000000000000.03", 2)], "t string, n long")
+    got = [r[0] for r in tie.select(mean_text2(F.col("t").cast("decimal(38,2)"), F.col("n"))).collect()]
+    assert got == ["10000000000000000000000.00", "10000000000000000000000.02"]
+
+
 def fine(spark, values, kind="decimal(18,4)"):
     return spark.createDataFrame(
         [(f"I{i:03d}", 1, 1, day(i), v) for i, v in enumerate(values)],
