@@ -150,11 +150,28 @@ def test_csv_round_trip(spark, vendors, tmp_path):
         spark.createDataFrame(list(enumerate(names)), "vendor_id long, vendor_name string"),
         "vendor_id").select(*S.VENDORS.fieldNames())
     sinks.write_csv(ven, str(tmp_path / "v"))
-    back = tables.read_csv(spark, str(tmp_path / "v"), S.VENDORS)
+    with pytest.raises(ValueError, match="multi_line=True"):
+        tables.read_csv(spark, str(tmp_path / "v"), S.VENDORS)
+    back = tables.read_csv(spark, str(tmp_path / "v"), S.VENDORS, multi_line=True)
     assert back.schema == S.VENDORS
     assert sorted(back.collect(), key=str) == sorted(ven.collect(), key=str)
 
 
+def test_big_csv_files_are_read_in_splits(spark, vendors, tmp_path):
+    names = ['a "quoted" one, with a comma', '""', "", None, "plain"]
+    ven = vendors(*[(i, "07") for i in range(20_000)]).withColumn(
+        "vendor_name", F.element_at(F.array(*map(F.lit, names)), (F.col("vendor_id") % 5 + 1).cast("int")))
+    sinks.write_csv(ven, str(tmp_path / "v"), single_file=True)
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+        back = tables.read_csv(spark, str(tmp_path / "v"), S.VENDORS)
+        assert back.rdd.getNumPartitions() > 4
+        assert back.exceptAll(ven).count() == 0 and back.count() == 20_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+
+
 def written(path, *lines):
     path.mkdir()
     for i, text in enumerate(lines):
@@ -193,10 +210,10 @@ def test_csv_with_ragged_rows_or_other_headers_fails(spark, tmp_path):
 def test_parquet_and_table_sources_and_timestamps(spark, run, tmp_path):
     sinks.write_scores(run.scores, str(tmp_path / "scores"))
     sinks.write_scores(run.scores, str(tmp_path / "scores"))
-    back = spark.read.parquet(str(tmp_path / "scores"))
+    back = tables.read_committed(spark, str(tmp_path / "scores"))
     assert back.columns[-1] == "scored_at" and back.count() == run.scores.count()
     sinks.write_flags(run.flags, str(tmp_path / "flags"))
-    read = tables.read_parquet(spark, str(tmp_path / "flags"), S.FLAGS)
+    read = tables.read_committed(spark, str(tmp_path / "flags"), S.FLAGS)
     assert read.schema == S.FLAGS and read.count() == run.flags.count()
     spark.range(3).withColumn("category_id", F.col("id").cast("int")).createOrReplaceTempView("cats_view")
     with pytest.raises(ValueError, match="category_name"):

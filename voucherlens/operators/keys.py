@@ -28,18 +28,29 @@ def check_fk(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
     return child.where(F.col(key).isNotNull()).join(parent.select(key), key, "left_anti")
 
 
+def first_of_each(rows: DataFrame, key: str) -> DataFrame:
+    """One row for each key, the smallest by column order.
+
+    An aggregate that is combined before the shuffle, so a key repeated without end is safe. A
+    NULL key is no key: it makes the query fail.
+    """
+    others = [c for c in rows.columns if c != key]
+    checked = F.when(F.col(key).isNull(), F.raise_error(F.lit(f"NULL in the key {key}"))
+                     ).otherwise(F.col(key))
+    keyed = rows.select(*[checked.alias(c) if c == key else F.col(c) for c in rows.columns])
+    return (keyed.groupBy(key).agg(F.min(F.struct(*others)).alias("_row")).select(key, "_row.*")
+            .select(*rows.columns))
+
+
 def insert_if_absent(existing: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
-    """``existing`` plus those ``incoming`` rows whose key is not there yet.
+    """``existing`` plus those ``incoming`` rows whose key is not there yet, as a table.
 
-    If a new key arrives several times, the smallest row by column order is kept. The rows that
-    are there already go first (an anti join), then the choice among the few new ones is an
-    aggregate, combined before the shuffle, so a key repeated without end is safe. A NULL key
-    is no key: incoming rows with one make the query fail.
+    The rows that are there already go first (an anti join), then :func:`first_of_each` chooses
+    among the few new ones; incoming rows with a NULL key make the query fail.
+    ``sources.commits.KeyedLedger`` writes just the new rows to a ledger at rest.
     """
-    others = [c for c in existing.columns if c != key]
     checked = F.when(F.col(key).isNull(), F.raise_error(F.lit(f"NULL in the key {key}"))
                      ).otherwise(F.col(key))
     rows = incoming.select(*[checked.alias(c) if c == key else F.col(c) for c in existing.columns])
-    new = rows.join(existing.select(key), key, "left_anti")
-    first = (new.groupBy(key).agg(F.min(F.struct(*others)).alias("_row")).select(key, "_row.*"))
-    return existing.unionByName(first)
+    new = rows.join(existing.select(key), key, "left_anti").select(*existing.columns)
+    return existing.unionByName(first_of_each(new, key))

@@ -16,7 +16,7 @@ from voucherlens import schema as S
 from voucherlens.operators import (baselines, flags, keys, quantiles, rolling, rules, scores,
                                    signals)
 from voucherlens.plans import audit, reports
-from voucherlens.sources import ledger
+from voucherlens.sources import commits, ledger
 from voucherlens.staging import Stage
 
 PARAMS = S.AuditParams(recency_cutoff=ledger.CUTOFF)
@@ -299,6 +299,32 @@ def insert_if_absent(spark, folder, stage):
                                  incoming, "invoice_id")
 
 
+def append_only_new(spark, folder, stage):
+    """The same as an append at rest: what the second run adds is written, and nothing else.
+
+    The second run is sent twice, and a third one with the same rows: they add nothing.
+    """
+    kind = dict(category=False, state=False)
+    old = ledger.invoices(spark, folder, copies=False, **kind)
+    new = ledger.invoices(spark, folder, **kind).withColumn("tax_claimed", F.lit(0).cast(S.MONEY))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    at_rest = commits.KeyedLedger(spark, f"{stage.path}/ledger", old.schema, "invoice_id", buckets)
+    for rows, run in ((old, "first"), (new, "second"), (new, "second"), (new, "third")):
+        at_rest.append(rows, run)
+    return at_rest.rows()
+
+
+def flag_log(spark, folder, stage):
+    """The flags of both layers in a log by layer and date; the second layer is run again."""
+    found = stage(_audited(spark, folder, stage), "audited")
+    log = commits.FlagLog(spark, f"{stage.path}/flags")
+    table = flags.flag_table(found)
+    first = F.col("flag_type").isin(*S.LAYER_1)
+    for layer, rows in ((1, first), (2, ~first), (2, ~first)):
+        log.write(table.where(rows), layer, PARAMS.recency_cutoff)
+    return log.flags().drop("flag_date")
+
+
 # --- the same detectors over the event table -------------------------------------------------
 
 def events_flag_zscore(spark, folder, stage):
@@ -338,6 +364,24 @@ def fine_flag_iqr(spark, folder, stage):
     return quantiles.detect_iqr(events, stage(quantiles.iqr_fences(events, stage), "fences"))
 
 
+# Amounts below 1, and amounts whose squares no decimal holds.
+
+def small_category_fences(spark, folder, stage):
+    """Fences of a thousandth of the values, in millionths."""
+    events = ledger.event_invoices(spark, folder)
+    small = (F.col("amount") / F.lit(1000)).cast("decimal(18,6)")
+    return quantiles.iqr_fences(stage(events.withColumn("amount", small), "small"), stage)
+
+
+def wide_zscore(spark, folder, stage):
+    """z-scores of 10^18 times the values, as decimals of 38 digits."""
+    events = ledger.event_invoices(spark, folder)
+    wide = (F.col("amount") * F.lit(10 ** 18)).cast("decimal(38,2)")
+    rows = events.withColumn("amount", wide)
+    base = stage(baselines.vendor_baselines(rows), "baselines")
+    return baselines.with_zscore(rows, base).select("invoice_id", "vendor_id", "z_score")
+
+
 QUERIES: dict[str, Query] = {f.__name__: _query(f) for f in (
     dup_groups, flag_duplicate, flag_state_mismatch, flag_invalid_amount, missing_fields,
     validation_status, validation_summary, status_from_flag_table,
@@ -350,6 +394,8 @@ QUERIES: dict[str, Query] = {f.__name__: _query(f) for f in (
     report_kpi, report_flags, report_monthly, report_vendor_scores, report_invoice_detail,
     report_category,
     duplicate_ids, missing_field_flags, unknown_vendors, insert_if_absent,
+    append_only_new, flag_log,
     events_flag_zscore, events_flag_rolling_spike, events_flag_iqr,
     fine_flag_zscore, fine_flag_rolling_spike, fine_flag_iqr,
+    small_category_fences, wide_zscore,
 )}

@@ -64,6 +64,7 @@ MISSING_FIELD = "MISSING_FIELD"  # our own; only on request
 LOW, MEDIUM, HIGH = "LOW", "MEDIUM", "HIGH"
 PENDING, CLEAN, FLAGGED = "PENDING", "CLEAN", "FLAGGED"
 
+LAYER_1 = (DUPLICATE, GSTIN_MISMATCH, INVALID_AMOUNT, MISSING_FIELD)  # the others are layer 2
 DUPLICATE_KEYS = ("vendor_id", "amount", "invoice_date")
 REQUIRED_FIELDS = ("invoice_id", "vendor_id", "amount", "invoice_date")
 

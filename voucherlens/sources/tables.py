@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from voucherlens.sources.commits import CommittedFolder
+
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Selects the columns of ``schema`` with its types; missing columns are an error."""
@@ -20,16 +22,29 @@ def read_table(spark: SparkSession, name: str, schema: T.StructType) -> DataFram
     return conform(spark.table(name), schema)
 
 
+def read_committed(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """The last committed version of a table that :mod:`sources.commits` wrote."""
+    df = CommittedFolder(spark, path).read()
+    return df if schema is None else conform(df, schema)
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType,
-             multi_line: bool = True) -> DataFrame:
+             multi_line: bool = False, check_lines: bool = True) -> DataFrame:
     """CSV with a header, as :func:`sinks.write_csv` writes it.
 
     Columns are found by their name in the header, in every file, and read as text first:
     codes keep leading zeros, and a value that is not of its column's type is an error that names
     both, never a silent NULL. An unquoted empty field is NULL, a quoted one the empty text.
-    ``multi_line`` allows line breaks in quoted fields and reads a file in one task; big ledgers
-    without any can do without it.
+
+    Files are split, so that a big one is read by many tasks. That cannot work where a quoted field
+    holds a line break; such a line has an odd number of quotes, and finding one is an error
+    (one pass over the lines, which ``check_lines=False`` leaves out for files known to be
+    without). ``multi_line=True`` reads them, each file in one task.
     """
+    if check_lines and not multi_line:
+        quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+        if not spark.read.text(path).where(quotes % 2 == 1).isEmpty():
+            raise ValueError(f"{path} has line breaks in quoted fields; read it with multi_line=True")
     options = dict(header=True, escape='"', multiLine=multi_line, mode="FAILFAST",
                    ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
                    nullValue="\0")  # any text that is not the empty one
