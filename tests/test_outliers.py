@@ -203,7 +203,8 @@ def test_no_window_of_the_quartiles_has_more_rows_than_the_bound(spark, stage, m
     want = exact(df, "category_id", "amount", stage, (0.25, 0.75))
     for bound in (16, 1000):
         monkeypatch.setattr(quantiles, "BOUND", bound)
-        found = stage(quantiles.first_intervals(df, "category_id", "amount", (0.25, 0.75)), "first")
+        found = stage(quantiles.first_intervals(
+            quantiles.bucket_counts(df, "category_id", "amount"), (0.25, 0.75)), "first")
         assert found.groupBy("_key").count().first()["count"] <= 4
         rounds = 1
         while not found.where("low < high").isEmpty():

@@ -1,6 +1,7 @@
 """Every registered query against its SQL twin, and the shape of the plans."""
 
 import re
+from decimal import Decimal
 
 import duckdb
 import pytest
@@ -9,7 +10,7 @@ from conftest import DATA
 import __spark_entry__ as entry
 import check
 from voucherlens import schema as S
-from voucherlens.operators import baselines, rolling, rules
+from voucherlens.operators import baselines, quantiles, rolling, rules
 from voucherlens.plans import audit, catalog
 from voucherlens.sources import ledger
 
@@ -87,6 +88,30 @@ def test_duplicate_groups_of_a_run_read_one_table(spark, stage):
     assert seen["duplicate_groups"].count("FileScan") == 1
 
 
+def test_baselines_and_quartiles_share_a_scan(spark, stage):
+    validated = stage(audit.validate(ledger.invoices(spark, DATA), ledger.vendor_states(spark, DATA),
+                                     stage), "validated")
+    scans = []
+
+    def spy(df, name):
+        scans.append((name, plan(df).count("validation_status,CLEAN)")))
+        return stage(df, name)
+
+    audit.find_outliers(validated, spy)
+    read = [name for name, n in scans if n]
+    assert read == ["sums", "rank_intervals"] and all(n <= 1 for _, n in scans)
+
+
+def test_sums_of_one_pass_are_those_of_two(spark, stage):
+    events = ledger.event_invoices(spark, DATA).unionByName(spark.createDataFrame(
+        [("a", None, "x", None, None, Decimal(0)), ("b", 1, None, None, None, Decimal(0))],
+        ledger.event_invoices(spark, DATA).schema))
+    base, counted = audit.sums_in_one_pass(events, stage)
+    assert sorted(map(str, base.collect())) == sorted(map(str, baselines.vendor_baselines(events).collect()))
+    want = quantiles.bucket_counts(events, "category_id", "amount")
+    assert sorted(counted.collect()) == sorted(want.collect())
+
+
 def test_the_clean_ledger_is_shuffled_once_by_vendor(spark, stage):
     """Window and baseline join share a partitioning, also without broadcasts."""
     clean = stage(ledger.event_invoices(spark, DATA), "clean")

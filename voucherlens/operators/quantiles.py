@@ -42,36 +42,47 @@ def _bucket(number: Column) -> Column:
     return (F.signum(x) * F.floor(F.log1p(F.abs(x)) * F.lit(float(PER_FOLD)))).cast("int")
 
 
-def _holding(counts: DataFrame, partition: Sequence[str], order: str) -> DataFrame:
-    """``counts`` with the number of values before each row (``_before``) and up to it."""
+def _holding(counted: DataFrame, partition: Sequence[str], order: str) -> DataFrame:
+    """``counted`` with the number of values before each row (``_before``) and up to it."""
     upto = Window.partitionBy(*partition).orderBy(order)
-    return (counts.withColumn("_upto", F.sum("n").over(upto))
+    return (counted.withColumn("_upto", F.sum("n").over(upto))
             .withColumn("_before", F.col("_upto") - F.col("n")))
 
 
-def _counted(number: Column) -> list[Column]:
-    return [F.count(F.lit(1)).alias("n"), F.min(number).alias("low"), F.max(number).alias("high"),
-            F.min("_x").alias("value")]
+def counted_rows(df: DataFrame, value: str) -> dict[str, Column]:
+    """What is counted of a row: its number in units, the value itself, and the bucket."""
+    kind = exact_type(df, value)
+    number = units(F.col(value), kind)
+    return {"_number": number, "_value": F.col(value).cast(kind), "_bucket": _bucket(number)}
+
+
+def counts() -> list[Column]:
+    """Aggregates over :func:`counted_rows`: how many, and the smallest and the largest."""
+    return [F.count("_number").alias("n"), F.min("_number").alias("low"),
+            F.max("_number").alias("high"), F.min("_value").alias("value")]
 
 
 def _numbers(df: DataFrame, key: str, value: str) -> DataFrame:
-    kind = exact_type(df, value)
-    own = df.select(F.col(key).alias("_key"), units(F.col(value), kind).alias("_v"),
-                    F.col(value).cast(kind).alias("_x"))
-    return (own.where(F.col("_key").isNotNull() & F.col("_v").isNotNull())
-            .withColumn("_bucket", _bucket(F.col("_v"))))
+    own = df.select(F.col(key).alias("_key"), *[c.alias(n) for n, c in counted_rows(df, value).items()])
+    return own.where(F.col("_key").isNotNull() & F.col("_number").isNotNull())
+
+
+def bucket_counts(df: DataFrame, key: str, value: str) -> DataFrame:
+    """``_key``, ``_bucket`` and the :func:`counts` of the first round."""
+    return _numbers(df, key, value).groupBy("_key", "_bucket").agg(*counts())
 
 
-def first_intervals(df: DataFrame, key: str, value: str, probs: Sequence[float]) -> DataFrame:
+def first_intervals(counted: DataFrame, probs: Sequence[float]) -> DataFrame:
     """First round. For each group and wanted rank: the bucket that holds it, as an interval of
-    units (``low`` to ``high``, ``n`` values, the smallest of them ``value``), and the rank among its values.
+    units (``low`` to ``high``, ``n`` values, the smallest of them ``value``), and the rank among
+    its values.
 
     The percentile at ``p`` of ``n`` sorted values lies at position ``p * (n - 1)``, between
-    the two ranks around it. At most two rows per group and probability.
+    the two ranks around it. At most two rows per group and probability. ``counted`` is as
+    :func:`bucket_counts` gives it.
     """
-    counts = _numbers(df, key, value).groupBy("_key", "_bucket").agg(*_counted(F.col("_v")))
     total = F.sum("n").over(Window.partitionBy("_key"))
-    ranked = _holding(counts.withColumn("_total", total), ["_key"], "_bucket")
+    ranked = _holding(counted.withColumn("_total", total), ["_key"], "_bucket")
     wanted = []
     for i, p in enumerate(probs):
         at = F.lit(float(p)) * (F.col("_total") - 1)
@@ -102,12 +113,12 @@ def parts_of_intervals(df: DataFrame, intervals: DataFrame, key: str, value: str
     some = intervals.select(F.col("_key").alias("_k"), F.col("_bucket").alias("_b"),
                             F.col("low").alias("_low"), F.col("high").alias("_high"),
                             F.col("n").alias("_n")).distinct()
-    number = F.col("_v")
+    number = F.col("_number")
     met = _numbers(df, key, value).join(
         some, (F.col("_key") == F.col("_k")) & (F.col("_bucket") == F.col("_b"))
         & (number >= F.col("_low")) & (number <= F.col("_high")))
-    counts = met.groupBy("_k", "_low", _part(number).alias("_part")).agg(*_counted(number))
-    return _holding(counts, ["_k", "_low"], "_part")
+    parts = met.groupBy("_k", "_low", _part(number).alias("_part")).agg(*counts())
+    return _holding(parts, ["_k", "_low"], "_part")
 
 
 def next_intervals(df: DataFrame, intervals: DataFrame, key: str, value: str) -> DataFrame:
@@ -126,15 +137,19 @@ def next_intervals(df: DataFrame, intervals: DataFrame, key: str, value: str) ->
     return closer.unionByName(intervals.where(~is_open))
 
 
-def percentiles(df: DataFrame, stage: Staging, key: str, value: str, probs: Sequence[float]) -> DataFrame:
+def percentiles(df: DataFrame, stage: Staging, key: str, value: str, probs: Sequence[float],
+                counted: DataFrame | None = None) -> DataFrame:
     """``key`` and the exact percentiles ``p0``, ``p1``, … of ``value``, NULLs left out.
 
     Interpolates in decimals with as many more digits as ``probs`` have (two at least), which is
-    exact. ``df`` should be staged: it is read once in each round.
+    exact. ``df`` should be staged: it is read once in each round, unless the first one is given
+    as ``counted``.
     """
     kind = exact_type(df, value)
     digits = max(2, *(-Decimal(str(p)).as_tuple().exponent for p in probs))
-    found = stage(first_intervals(df, key, value, probs), "rank_intervals")
+    if counted is None:
+        counted = bucket_counts(df, key, value)
+    found = stage(first_intervals(counted, probs), "rank_intervals")
     while not found.where("low < high").isEmpty():  # one bit, of a table with a few rows a group
         found = stage(next_intervals(df, found, key, value), "rank_intervals")
     result = T.DecimalType(min(38, kind.precision + 4 + digits), kind.scale + digits)
@@ -152,9 +167,9 @@ def percentiles(df: DataFrame, stage: Staging, key: str, value: str, probs: Sequ
 
 
 def iqr_fences(clean: DataFrame, stage: Staging, key: str = "category_id", value: str = "amount",
-               k: float = 1.5) -> DataFrame:
+               k: float = 1.5, counted: DataFrame | None = None) -> DataFrame:
     """Per ``key``: quartiles, their distance and the upper fence ``q3 + k * iqr``."""
-    q = percentiles(clean, stage, key, value, (0.25, 0.75))
+    q = percentiles(clean, stage, key, value, (0.25, 0.75), counted)
     iqr = F.col("q3") - F.col("q1")
     return (q.select(key, F.col("p0").alias("q1"), F.col("p1").alias("q3"))
             .withColumn("iqr", iqr)
