@@ -7,8 +7,6 @@ no last place and are refused.
 
 from __future__ import annotations
 
-from decimal import Decimal
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +15,8 @@ from voucherlens import schema as S
 
 # Units of columns up to this many digits are longs; thirty of them still add up in a long.
 LONG_DIGITS = 16
+# Amounts of up to this many digits are printed by short expressions.
+PRINTED_DIGITS = 18
 
 
 def exact_type(df: DataFrame, column: str) -> T.DecimalType:
@@ -44,28 +44,32 @@ def from_units(number: Column, kind: T.DecimalType = S.MONEY) -> Column:
             if kind.scale else exact)
 
 
-def text2(x: Column) -> Column:
+def is_wide(kind: T.DecimalType) -> bool:
+    """Whether amounts, or sums of them, may have more digits than the short forms below take."""
+    return kind.precision > PRINTED_DIGITS
+
+
+def text2(x: Column, wide: bool = False) -> Column:
     """A number with two decimals, e.g. ``1234.50``."""
-    return x.cast("decimal(38,2)").cast("string")
+    return x.cast("decimal(38,2)" if wide else "decimal(18,2)").cast("string")
 
 
-def mean_text2(total: Column, n: Column) -> Column:
+def mean_text2(total: Column, n: Column, wide: bool = False) -> Column:
     """The exact mean ``total / n`` with two decimals; halves go to the even digit.
 
-    Totals beyond 22 digits are divided with a remainder, as a quotient of theirs would not have
-    the places to see a half.
+    Wide totals are divided with a remainder, as a quotient of theirs would not have the places
+    to see a half.
     """
-    common = F.bround(total.try_cast("decimal(28,6)") / n.cast("decimal(18,0)"), 2).cast("decimal(38,2)")
-    cents = (total * F.lit(100)).cast("decimal(38,2)")
+    if not wide:
+        return F.bround(total.cast("decimal(28,6)") / n.cast("decimal(18,0)"), 2).cast("string")
+    cents = total * F.lit(100)
     whole = n.cast("decimal(18,0)")
     rest = F.pmod(cents, whole)
     down = ((cents - rest).cast("decimal(38,0)") / whole).cast("decimal(38,0)")
     odd = F.pmod(down, F.lit(2).cast("decimal(1,0)")) == 1
     up = (rest * 2 > whole) | ((rest * 2 == whole) & odd)
-    wide = ((down + F.when(up, 1).otherwise(0).cast("decimal(1,0)")).cast("decimal(38,0)")
-            / F.lit(100).cast("decimal(3,0)")).cast("decimal(38,2)")
-    fits = F.abs(total) < F.lit(Decimal(10 ** 21))
-    return F.when(fits, common).otherwise(wide).cast("string")
+    nearest = (down + F.when(up, 1).otherwise(0).cast("decimal(1,0)")).cast("decimal(38,0)")
+    return (nearest / F.lit(100).cast("decimal(3,0)")).cast("decimal(38,2)").cast("string")
 
 
 def mean(total: Column, n: Column, scale: int = 2) -> Column:

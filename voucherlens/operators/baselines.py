@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from decimal import Decimal
-from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voucherlens import schema as S
-from voucherlens.functions.money import exact_type, mean, mean_text2, text2, units
+from voucherlens.functions.money import exact_type, is_wide, mean, mean_text2, text2, units
 from voucherlens.operators.flags import flag, flag_rows
 
 _WHOLE = T.DecimalType(38, 0)
@@ -20,32 +18,6 @@ PLAIN_DIGITS = 14
 LIMB = 10 ** 8  # wider amounts are cut into limbs of eight digits
 
 
-class Sums(NamedTuple):
-    """What is summed for the baselines: columns of a row, aggregates over them, and the way from
-    these to the variance. So the sums can share a pass with other aggregates."""
-
-    rows: dict[str, Column]
-    aggregates: list[Column]
-    variance: Callable[[DataFrame], tuple[DataFrame, Column]]
-    scale: int
-
-
-def baseline_sums(clean: DataFrame, value: str = "amount") -> Sums:
-    kind = exact_type(clean, value)
-    first = [F.count(F.lit(1)).alias("n_rows"), F.count(value).alias("baseline_n"),
-             F.sum(F.col(value).cast(kind)).alias("baseline_total")]
-    rows, more, variance = (_plain_sums if kind.precision <= PLAIN_DIGITS else _wide_sums)(value, kind)
-    return Sums(rows, [*first, *more], variance, kind.scale)
-
-
-def from_sums(summed: DataFrame, sums: Sums, key: str = "vendor_id") -> DataFrame:
-    """The baselines from the aggregates of ``sums`` per ``key``."""
-    out, variance = sums.variance(summed)
-    return (out.withColumn("std_dev", F.sqrt(variance) / F.lit(float(10 ** sums.scale)))
-            .withColumn("baseline", mean(F.col("baseline_total"), F.col("baseline_n"), sums.scale))
-            .select(key, "n_rows", "baseline_n", "baseline_total", "std_dev", "baseline"))
-
-
 def vendor_baselines(clean: DataFrame, key: str = "vendor_id",
                      value: str = "amount") -> DataFrame:
     """Per ``key``: rows, values, exact sum, mean and sample standard deviation of ``value``.
@@ -55,41 +27,48 @@ def vendor_baselines(clean: DataFrame, key: str = "vendor_id",
     on the order or the partitions of the rows; it is rounded once, in the end. Columns of any
     width are taken; only the sum itself has to fit into 38 digits.
     """
-    sums = baseline_sums(clean, value)
-    rows = clean.select(key, F.col(value), *[c.alias(n) for n, c in sums.rows.items()])
-    return from_sums(rows.groupBy(key).agg(*sums.aggregates), sums, key)
+    kind = exact_type(clean, value)
+    total = F.sum(F.col(value).cast(kind)).alias("baseline_total")
+    count = [F.count(F.lit(1)).alias("n_rows"), F.count(value).alias("baseline_n")]
+    if kind.precision <= PLAIN_DIGITS:
+        out, variance = _plain_sums(clean, key, value, kind, [*count, total])
+    else:
+        out, variance = _wide_sums(clean, key, value, kind, [*count, total])
+    return (out.withColumn("std_dev", F.sqrt(variance) / F.lit(float(10 ** kind.scale)))
+            .withColumn("baseline", mean(F.col("baseline_total"), F.col("baseline_n"), kind.scale))
+            .select(key, "n_rows", "baseline_n", "baseline_total", "std_dev", "baseline"))
 
 
-def _plain_sums(value: str, kind: T.DecimalType):
+def _plain_sums(clean: DataFrame, key: str, value: str, kind: T.DecimalType,
+                first: list[Column]) -> tuple[DataFrame, Column]:
     """The variance from the sums of the values and of their squares, in units.
 
     With ``q`` near the mean, ``A = sum (v - q)^2`` and ``r = sum (v - q)`` follow exactly from
     them, and the variance is ``(A - r * r / n) / (n - 1)``.
     """
     v = units(F.col(value), kind).cast(T.DecimalType(min(38, kind.precision), 0))
-
-    def variance(out: DataFrame) -> tuple[DataFrame, Column]:
-        n = F.nullif(F.col("baseline_n"), F.lit(0)).cast(T.DecimalType(18, 0))
-        out = out.withColumn("_n", n).withColumn(
-            "_q", F.expr("`_sum` div `_n`").cast(T.DecimalType(19, 0)))
-        out = out.withColumn("_r", (F.col("_sum") - F.col("_q") * F.col("_n")).cast(T.DecimalType(19, 0)))
-        spread = (F.col("_squares") - (F.col("_q") * F.col("_sum")).cast(_WHOLE) * 2
-                  + (F.col("_q") * F.col("_q")).cast(_WHOLE) * F.col("_n"))
-        correction = (F.col("_r") * F.col("_r")).cast("double") / F.col("_n").cast("double")
-        return out, (spread.cast("double") - correction) / F.nullif(
-            F.col("_n") - 1, F.lit(0)).cast("double")
-
-    return {"_v": v}, [F.sum("_v").cast(_WHOLE).alias("_sum"),
-                       F.sum(F.col("_v") * F.col("_v")).cast(_WHOLE).alias("_squares")], variance
-
-
-def _wide_sums(value: str, kind: T.DecimalType):
+    out = clean.select(key, F.col(value), v.alias("_v")).groupBy(key).agg(
+        *first, F.sum("_v").cast(_WHOLE).alias("_sum"),
+        F.sum(F.col("_v") * F.col("_v")).cast(_WHOLE).alias("_squares"))
+    n = F.nullif(F.col("baseline_n"), F.lit(0)).cast(T.DecimalType(18, 0))
+    out = out.withColumn("_n", n).withColumn(
+        "_q", F.expr("`_sum` div `_n`").cast(T.DecimalType(19, 0)))
+    out = out.withColumn("_r", (F.col("_sum") - F.col("_q") * F.col("_n")).cast(T.DecimalType(19, 0)))
+    spread = (F.col("_squares") - (F.col("_q") * F.col("_sum")).cast(_WHOLE) * 2
+              + (F.col("_q") * F.col("_q")).cast(_WHOLE) * F.col("_n"))
+    correction = (F.col("_r") * F.col("_r")).cast("double") / F.col("_n").cast("double")
+    return out, (spread.cast("double") - correction) / F.nullif(
+        F.col("_n") - 1, F.lit(0)).cast("double")
+
+
+def _wide_sums(clean: DataFrame, key: str, value: str, kind: T.DecimalType,
+               first: list[Column]) -> tuple[DataFrame, Column]:
     """The same for amounts whose squares do not fit into a decimal.
 
     A value is ``sum a_i * LIMB^i``. The sums of the limbs ``a_i`` and of the coefficients of the
     square, ``sum of a_i * a_j over i + j = k``, stay small and are combined like any sum. The
-    coefficients of ``n * sum v^2 - (sum v)^2`` follow from them exactly; once per key they are
-    carried into digits from 0 to ``LIMB``, which can be added in floating point without cancelling.
+    coefficients of ``n * sum v^2 - (sum v)^2`` follow from them exactly; once per key they are carried into digits
+    from 0 to ``LIMB``, which can be added in floating point without cancelling.
     """
     n_limbs = -(-kind.precision // 8)
     limbs = [F.col(f"_a{i}") for i in range(n_limbs)]
@@ -101,18 +80,18 @@ def _wide_sums(value: str, kind: T.DecimalType):
             out = out + t
         return out
 
-    def variance(out: DataFrame) -> tuple[DataFrame, Column]:
-        n = F.nullif(F.col("baseline_n"), F.lit(0))
-        whole = n.cast(T.DecimalType(18, 0))
-        spread = [(whole * F.col(f"_c{k}") - sum_of([(F.col(f"_s{i}") * F.col(f"_s{j}")).cast(_WHOLE)
-                                                     for i, j in p])).cast(_WHOLE)
-                  for k, p in enumerate(pairs)]
-        return out, _carried(spread) / (n.cast("double") * F.nullif(n - 1, F.lit(0)).cast("double"))
-
-    squares = [sum_of([limbs[i] * limbs[j] for i, j in p]).cast(T.DecimalType(18, 0)) for p in pairs]
-    return ({f"_a{i}": a for i, a in enumerate(_limbs(F.col(value), kind, n_limbs))},
-            [*[F.sum(a).cast(T.DecimalType(19, 0)).alias(f"_s{i}") for i, a in enumerate(limbs)],
-             *[F.sum(c).cast(T.DecimalType(28, 0)).alias(f"_c{k}") for k, c in enumerate(squares)]], variance)
+    rows = clean.select(key, F.col(value), *[a.alias(f"_a{i}") for i, a in enumerate(
+        _limbs(F.col(value), kind, n_limbs))])
+    out = rows.groupBy(key).agg(
+        *first, *[F.sum(a).cast(T.DecimalType(19, 0)).alias(f"_s{i}") for i, a in enumerate(limbs)],
+        *[F.sum(sum_of([limbs[i] * limbs[j] for i, j in p]).cast(T.DecimalType(18, 0)))
+          .cast(T.DecimalType(28, 0)).alias(f"_c{k}") for k, p in enumerate(pairs)])
+    n = F.nullif(F.col("baseline_n"), F.lit(0))
+    whole = n.cast(T.DecimalType(18, 0))
+    spread = [(whole * F.col(f"_c{k}") - sum_of([(F.col(f"_s{i}") * F.col(f"_s{j}")).cast(_WHOLE)
+                                                 for i, j in p])).cast(_WHOLE)
+              for k, p in enumerate(pairs)]
+    return out, _carried(spread) / (n.cast("double") * F.nullif(n - 1, F.lit(0)).cast("double"))
 
 
 def _limbs(value: Column, kind: T.DecimalType, n: int) -> list[Column]:
@@ -171,14 +150,16 @@ def with_zscore(clean: DataFrame, baselines: DataFrame | None = None, key: str =
     return known.unionByName(unknown).drop("_key").withColumn("z_score", z_score(value))
 
 
-def zscore_finding(z_min: float, z_high: float, value: str = "amount") -> Column:
+def zscore_finding(z_min: float, z_high: float, value: str = "amount",
+                   kind: T.DecimalType = S.MONEY) -> Column:
+    wide = is_wide(kind)
     z = F.col("z_score")
     # The wording of the evidence, which magnitude_from_text reads back.
     details = F.concat(
         F.lit("Z-score: "), text2(z),
-        F.lit(" | Amount: "), text2(F.col(value)),
-        F.lit(" | Baseline: "), mean_text2(F.col("baseline_total"), F.col("baseline_n")),
-        F.lit(" | StdDev: "), text2(F.col("std_dev")))
+        F.lit(" | Amount: "), text2(F.col(value), wide),
+        F.lit(" | Baseline: "), mean_text2(F.col("baseline_total"), F.col("baseline_n"), wide),
+        F.lit(" | StdDev: "), text2(F.col("std_dev"), wide))
     return flag(S.STATISTICAL_ZSCORE, F.when(z > z_high, S.HIGH).otherwise(S.MEDIUM), details,
                 score=z, baseline=F.col("baseline"), threshold=z_min)
 
@@ -188,4 +169,4 @@ def detect_zscore(clean: DataFrame, key: str = "vendor_id", value: str = "amount
                   baselines: DataFrame | None = None) -> DataFrame:
     """Flags rows more than ``z_min`` deviations above their own vendor's baseline."""
     hits = with_zscore(clean, baselines, key, value).where(F.col("z_score") > z_min)
-    return flag_rows(hits, zscore_finding(z_min, z_high, value))
+    return flag_rows(hits, zscore_finding(z_min, z_high, value, exact_type(clean, value)))

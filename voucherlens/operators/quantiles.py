@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voucherlens import schema as S
-from voucherlens.functions.money import exact_type, text2, units
+from voucherlens.functions.money import exact_type, is_wide, text2, units
 from voucherlens.operators.flags import flag, flag_rows
 
 BOUND = 1 << 16
@@ -37,9 +37,8 @@ Staging = Callable[[DataFrame, str], DataFrame]
 
 
 def _bucket(number: Column) -> Column:
-    # Any function that does not fall will do, as long as it is the same in all rounds.
-    x = number.cast("double")
-    return (F.signum(x) * F.floor(F.log1p(F.abs(x)) * F.lit(float(PER_FOLD)))).cast("int")
+    x = number.cast("double")  # any function that does not fall will do
+    return (F.signum(x) * F.floor(F.log(F.abs(x) + F.lit(1.0)) * F.lit(float(PER_FOLD)))).cast("int")
 
 
 def _holding(counted: DataFrame, partition: Sequence[str], order: str) -> DataFrame:
@@ -49,33 +48,22 @@ def _holding(counted: DataFrame, partition: Sequence[str], order: str) -> DataFr
             .withColumn("_before", F.col("_upto") - F.col("n")))
 
 
-def counted_rows(df: DataFrame, value: str) -> dict[str, Column]:
-    """What is counted of a row: its number in units, the value itself, and the bucket."""
-    kind = exact_type(df, value)
-    number = units(F.col(value), kind)
-    return {"_number": number, "_value": F.col(value).cast(kind), "_bucket": _bucket(number)}
-
-
-def counts() -> list[Column]:
-    """Aggregates over :func:`counted_rows`: how many, and the smallest and the largest."""
-    return [F.count("_number").alias("n"), F.min("_number").alias("low"),
-            F.max("_number").alias("high"), F.min("_value").alias("value")]
-
-
-def _numbers(df: DataFrame, key: str, value: str) -> DataFrame:
-    own = df.select(F.col(key).alias("_key"), *[c.alias(n) for n, c in counted_rows(df, value).items()])
-    return own.where(F.col("_key").isNotNull() & F.col("_number").isNotNull())
+def _counts() -> list[Column]:
+    return [F.count("_number").alias("n"), F.min("_number").alias("low"), F.max("_number").alias("high")]
 
 
 def bucket_counts(df: DataFrame, key: str, value: str) -> DataFrame:
-    """``_key``, ``_bucket`` and the :func:`counts` of the first round."""
-    return _numbers(df, key, value).groupBy("_key", "_bucket").agg(*counts())
+    """``_key``, ``_bucket``, and what the first round counts in it: values, smallest, largest."""
+    number = units(F.col(value), exact_type(df, value))
+    own = df.select(F.col(key).alias("_key"), number.alias("_number"))
+    return (own.where(F.col("_key").isNotNull() & F.col("_number").isNotNull())
+            .groupBy("_key", _bucket(F.col("_number")).alias("_bucket")).agg(*_counts()))
 
 
 def first_intervals(counted: DataFrame, probs: Sequence[float]) -> DataFrame:
-    """First round. For each group and wanted rank: the bucket that holds it, as an interval of
-    units (``low`` to ``high``, ``n`` values, the smallest of them ``value``), and the rank among
-    its values.
+    """First round. For each group the buckets that hold a wanted rank, as intervals of units
+    (``low`` to ``high``, ``n`` values), with the ranks ``wanted`` among their values. The
+    ``value`` itself is for the next round to find.
 
     The percentile at ``p`` of ``n`` sorted values lies at position ``p * (n - 1)``, between
     the two ranks around it. At most two rows per group and probability. ``counted`` is as
@@ -89,11 +77,14 @@ def first_intervals(counted: DataFrame, probs: Sequence[float]) -> DataFrame:
         for side, rank in (("lo", F.floor(at)), ("hi", F.ceil(at))):
             wanted.append(F.struct(F.lit(i).alias("prob"), F.lit(side).alias("side"),
                                    rank.alias("rank"), (at - F.floor(at)).alias("frac")))
-    inside = F.filter(F.array(*wanted),
-                      lambda w: (w["rank"] >= F.col("_before")) & (w["rank"] < F.col("_upto")))
-    return (ranked.select("_key", "_bucket", "low", "high", "value", "n", "_before", F.explode(inside).alias("w"))
-            .select("_key", "_bucket", "low", "high", "value", "n", "w.prob", "w.side", "w.frac",
-                    (F.col("w.rank") - F.col("_before")).alias("rank")))
+    held = ranked.select("_key", "low", "high", "n", _ranks_inside(F.array(*wanted)).alias("wanted"))
+    return held.where(F.size("wanted") > 0)
+
+
+def _ranks_inside(wanted: Column) -> Column:
+    """Those of the ``wanted`` ranks that a row of :func:`_holding` holds, counted from its own first."""
+    inside = F.filter(wanted, lambda w: (w["rank"] >= F.col("_before")) & (w["rank"] < F.col("_upto")))
+    return F.transform(inside, lambda w: w.withField("rank", w["rank"] - F.col("_before")))
 
 
 def _part(number: Column) -> Column:
@@ -109,49 +100,50 @@ def _part(number: Column) -> Column:
 
 
 def parts_of_intervals(df: DataFrame, intervals: DataFrame, key: str, value: str) -> DataFrame:
-    """Counts of the parts of the given open intervals, with the running count inside each."""
-    some = intervals.select(F.col("_key").alias("_k"), F.col("_bucket").alias("_b"),
-                            F.col("low").alias("_low"), F.col("high").alias("_high"),
-                            F.col("n").alias("_n")).distinct()
-    number = F.col("_number")
-    met = _numbers(df, key, value).join(
-        some, (F.col("_key") == F.col("_k")) & (F.col("_bucket") == F.col("_b"))
-        & (number >= F.col("_low")) & (number <= F.col("_high")))
-    parts = met.groupBy("_k", "_low", _part(number).alias("_part")).agg(*counts())
+    """Counts of the parts of the given intervals, with the running count inside each."""
+    some = intervals.select(F.col("_key").alias("_k"), F.col("low").alias("_low"),
+                            F.col("high").alias("_high"), F.col("n").alias("_n"))
+    number, kind = F.col("_number"), exact_type(df, value)
+    rows = df.select(F.col(key).alias("_key"), units(F.col(value), kind).alias("_number"),
+                     F.col(value).cast(kind).alias("_value"))
+    met = rows.join(some, (F.col("_key") == F.col("_k")) & (number >= F.col("_low")) & (number <= F.col("_high")))
+    parts = met.groupBy("_k", "_low", _part(number).alias("_part")).agg(
+        *_counts(), F.min("_value").alias("value"))
     return _holding(parts, ["_k", "_low"], "_part")
 
 
 def next_intervals(df: DataFrame, intervals: DataFrame, key: str, value: str) -> DataFrame:
-    """A further round: ``intervals`` with every open one replaced by its part with the rank."""
-    is_open = F.col("low") < F.col("high")
-    found = parts_of_intervals(df, intervals.where(is_open), key, value).select(
-        "_k", "_low", "_before", "_upto", F.col("low").alias("_part_low"),
-        F.col("high").alias("_part_high"), F.col("n").alias("_part_n"),
-        F.col("value").alias("_part_value"))
-    closer = (intervals.where(is_open).join(
-        found, (F.col("_key") == F.col("_k")) & (F.col("low") == F.col("_low"))
-        & (F.col("rank") >= F.col("_before")) & (F.col("rank") < F.col("_upto")))
-        .select("_key", "_bucket", F.col("_part_low").alias("low"), F.col("_part_high").alias("high"),
-                F.col("_part_value").alias("value"), F.col("_part_n").alias("n"), "prob", "side", "frac",
-                (F.col("rank") - F.col("_before")).alias("rank")))
-    return closer.unionByName(intervals.where(~is_open))
-
-
-def percentiles(df: DataFrame, stage: Staging, key: str, value: str, probs: Sequence[float],
-                counted: DataFrame | None = None) -> DataFrame:
+    """A further round: ``intervals`` with every open one replaced by its parts with the ranks.
+
+    All are open after the first round; later those with more than one value are.
+    """
+    first = "value" not in intervals.columns
+    is_open = F.lit(True) if first else F.col("low") < F.col("high")
+    before = intervals.where(is_open).select(
+        "_key", F.col("low").alias("_from"), F.col("wanted").alias("_wanted"))
+    parts = parts_of_intervals(df, intervals.where(is_open), key, value)
+    held = parts.join(before, (F.col("_key") == F.col("_k")) & (F.col("_from") == F.col("_low")))
+    closer = held.select("_key", "low", "high", "n", _ranks_inside(F.col("_wanted")).alias("wanted"),
+                         "value").where(F.size("wanted") > 0)
+    return closer if first else closer.unionByName(intervals.where(~is_open))
+
+
+def percentiles(df: DataFrame, stage: Staging, key: str, value: str,
+                probs: Sequence[float]) -> DataFrame:
     """``key`` and the exact percentiles ``p0``, ``p1``, … of ``value``, NULLs left out.
 
     Interpolates in decimals with as many more digits as ``probs`` have (two at least), which is
-    exact. ``df`` should be staged: it is read once in each round, unless the first one is given
-    as ``counted``.
+    exact. ``df`` should be staged: it is read once in each round.
     """
     kind = exact_type(df, value)
     digits = max(2, *(-Decimal(str(p)).as_tuple().exponent for p in probs))
-    if counted is None:
-        counted = bucket_counts(df, key, value)
-    found = stage(first_intervals(counted, probs), "rank_intervals")
-    while not found.where("low < high").isEmpty():  # one bit, of a table with a few rows a group
+    found = stage(first_intervals(bucket_counts(df, key, value), probs), "rank_intervals")
+    wide = found.where(F.col("n") > BOUND)
+    while not wide.isEmpty():  # one bit, of a table with a few rows a group
         found = stage(next_intervals(df, found, key, value), "rank_intervals")
+        wide = found.where("low < high")
+    if "value" not in found.columns:  # every interval is counted value by value: the last round
+        found = next_intervals(df, found, key, value)
     result = T.DecimalType(min(38, kind.precision + 4 + digits), kind.scale + digits)
 
     def pick(i: int, side: str) -> Column:
@@ -162,14 +154,15 @@ def percentiles(df: DataFrame, stage: Staging, key: str, value: str, probs: Sequ
             T.DecimalType(digits + 1, digits))
         return (pick(i, "lo") + (pick(i, "hi") - pick(i, "lo")) * frac).cast(result)
 
-    return (found.groupBy(F.col("_key").alias(key))
+    ranks = found.select("_key", "value", F.inline("wanted"))
+    return (ranks.groupBy(F.col("_key").alias(key))
             .agg(*[at(i).alias(f"p{i}") for i in range(len(probs))]))
 
 
 def iqr_fences(clean: DataFrame, stage: Staging, key: str = "category_id", value: str = "amount",
-               k: float = 1.5, counted: DataFrame | None = None) -> DataFrame:
+               k: float = 1.5) -> DataFrame:
     """Per ``key``: quartiles, their distance and the upper fence ``q3 + k * iqr``."""
-    q = percentiles(clean, stage, key, value, (0.25, 0.75), counted)
+    q = percentiles(clean, stage, key, value, (0.25, 0.75))
     iqr = F.col("q3") - F.col("q1")
     return (q.select(key, F.col("p0").alias("q1"), F.col("p1").alias("q3"))
             .withColumn("iqr", iqr)
@@ -180,12 +173,12 @@ def is_outlier(value: str = "amount") -> Column:
     return F.col(value) > F.col("upper_fence")
 
 
-def iqr_finding(value: str = "amount") -> Column:
-    amount = F.col(value)
+def iqr_finding(value: str = "amount", kind: T.DecimalType = S.MONEY) -> Column:
+    amount, wide = F.col(value), is_wide(kind)
     # The wording of the evidence.
-    details = F.concat(F.lit("Amount: "), text2(amount),
-                       F.lit(" | Upper fence: "), text2(F.col("upper_fence")),
-                       F.lit(" | IQR: "), text2(F.col("iqr")))
+    details = F.concat(F.lit("Amount: "), text2(amount, wide),
+                       F.lit(" | Upper fence: "), text2(F.col("upper_fence"), wide),
+                       F.lit(" | IQR: "), text2(F.col("iqr"), wide))
     return flag(S.IQR_OUTLIER, S.MEDIUM, details,
                 score=amount.cast("double")
                 / F.nullif(F.col("upper_fence").cast("double"), F.lit(0.0)),
@@ -199,4 +192,4 @@ def detect_iqr(clean: DataFrame, fences: DataFrame, key: str = "category_id",
     ``fences`` should be staged, so that its size decides how it is joined.
     """
     hits = clean.join(fences, key).where(is_outlier(value))
-    return flag_rows(hits, iqr_finding(value))
+    return flag_rows(hits, iqr_finding(value, exact_type(clean, value)))

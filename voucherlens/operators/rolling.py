@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voucherlens import schema as S
-from voucherlens.functions.money import exact_type, from_units, mean_text2, text2, units
+from voucherlens.functions.money import exact_type, from_units, is_wide, mean_text2, text2, units
 from voucherlens.operators.flags import flag, flag_rows
 
 ORDER = ("invoice_date", "invoice_id")
@@ -138,9 +138,9 @@ def spike_finding(factor: int | float = 3, value: str = "amount",
     # The wording of the evidence.
     details = F.concat(
         F.lit("Spike ratio: "), text2(spike_ratio(value, kind)),
-        F.lit("x | Amount: "), text2(F.col(value)),
+        F.lit("x | Amount: "), text2(F.col(value), is_wide(kind)),
         F.lit(" | Rolling avg: "),
-        mean_text2(from_units(F.col("prev_units"), kind), F.col("prev_n")))
+        mean_text2(from_units(F.col("prev_units"), kind), F.col("prev_n"), is_wide(kind)))
     return flag(S.ROLLING_SPIKE, S.HIGH, details, score=spike_ratio(value, kind),
                 baseline=rolling_mean(kind), threshold=factor)
 
