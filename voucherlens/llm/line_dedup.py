@@ -91,16 +91,21 @@ def _loss() -> Column:
 
 def site_line_dedup(docs: DataFrame, site_col: str = "source", text_col: str = "text",
                     max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES,
-                    stage: Stage | None = None, spare_copies: bool = False) -> DataFrame:
+                    stage: Stage | None = None, spare_copies: bool = False,
+                    counts: tuple[str, str] | None = ("_n_lines", "_n_dropped")) -> DataFrame:
     """``docs`` with boilerplate lines removed from ``text_col``.
 
-    All columns come back as they were, but for the text; ``_n_lines`` and ``_n_dropped`` are
-    added (lines before, lines dropped). With ``spare_copies`` a text that is there many times is
-    not boilerplate for that.
+    All columns come back as they were, but for the text, whatever their names; the lines before
+    and the lines dropped are added under the names ``counts``, which must be new, or left out if
+    that is None. With ``spare_copies`` a text that is there many times is not boilerplate for
+    that.
     """
     stage = stage or Stage(docs.sparkSession)
-    pages = docs.select(F.col(site_col).cast("string").alias("_site"),
-                        F.col(text_col).alias("_text"))
+    if counts and set(counts) & set(docs.columns):
+        raise ValueError(f"{', '.join(counts)}: choose other names for the counts, or None")
+    site = F.col(f"`{site_col}`").cast("string").alias("_site")
+    text = F.col(f"`{text_col}`").alias("_text")
+    pages = docs.select(site, text)
     drop = boilerplate_lines(pages, stage, max_ratio, min_pages, spare_copies)
     lines = lines_of(F.col("_text"))
     kept = F.when(F.col("_drop").isNull(), lines).otherwise(
@@ -112,8 +117,7 @@ def site_line_dedup(docs: DataFrame, site_col: str = "source", text_col: str = "
 
     # The row travels as one struct, so that its columns cannot clash with those made here.
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
-                        F.col(site_col).cast("string").alias("_site"),
-                        F.col(text_col).alias("_text"))
+                        site, text)
     done = split(whole, "_row", "_site", "_text")
     if spare_copies:
         spared = spared_pages(split(pages, "_site", "_text"), stage)
@@ -129,8 +133,9 @@ def site_line_dedup(docs: DataFrame, site_col: str = "source", text_col: str = "
                        for c in ("_lines", "_kept"))
     out = [F.array_join("_kept", "\n").alias(c) if c == text_col else F.col(f"_row.`{c}`")
            for c in docs.columns]
-    return done.select(*out, n_lines.cast("long").alias("_n_lines"),
-                       (n_lines - n_kept).cast("long").alias("_n_dropped"))
+    if counts:
+        out += [n.cast("long").alias(c) for n, c in zip((n_lines, n_lines - n_kept), counts)]
+    return done.select(*out)
 
 
 def op3_line_dedup(spark, sf_dir: str) -> DataFrame:
