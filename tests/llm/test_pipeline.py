@@ -1,6 +1,9 @@
+import os
+
 import pytest
 from conftest import DATA
 from llm_cases import no_documents, odd_documents
+from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from voucherlens.llm import (
@@ -12,6 +15,7 @@ from voucherlens.llm import (
 )
 from voucherlens.llm.common import id_and_text
 from voucherlens.llm.queries import ORACLE, QUERIES
+from voucherlens.staging import Stage
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -27,8 +31,6 @@ def test_every_operator_is_registered():
 @pytest.fixture(scope="module")
 def kept(spark):
     """What each stage returns, each working on its predecessor's rows."""
-    from voucherlens.staging import Stage
-
     with Stage(spark) as stage:
         docs = spark.read.parquet(f"{DATA}/documents.parquet")
         out = [docs]
@@ -72,6 +74,34 @@ def test_odd_and_no_rows_pass_all_stages(spark):
         assert cp.STAGES[-1][1](spark, docs, DATA).where("not round_trip").count() == 0
 
 
+def test_columns_of_any_name_pass_all_stages(spark, stage):
+    docs = odd_documents(spark).drop("ids", "score")
+    for c in ("_n_lines", "_n_dropped", "a.b", "_row", "_name", "_site", "number", "`x", "item"):
+        docs = docs.withColumn(c.replace("`", ""), F.lit(3))
+    for _, step in cp.STAGES[:-1]:
+        columns, docs = docs.columns, step(spark, docs, DATA, stage)
+        assert docs.columns == columns and docs.count() > 0
+    assert {tuple(r) for r in docs.select("_n_lines", "`a.b`", "item").collect()} == {(3, 3, 3)}
+    assert cp.STAGES[-1][1](spark, docs, DATA).where("not round_trip").count() == 0
+
+
+def test_counts_of_line_dedup_go_by_names_of_the_caller(spark, stage):
+    docs = odd_documents(spark).withColumn("_n_lines", F.lit(1))
+    with pytest.raises(ValueError, match="other names"):
+        line_dedup.site_line_dedup(docs, stage=stage)
+    got = line_dedup.site_line_dedup(docs, stage=stage, counts=("before", "gone"))
+    assert got.columns == [*docs.columns, "before", "gone"] and got.where("gone > before").count() == 0
+
+
+def test_closing_the_stage_of_a_run_leaves_nothing(spark):
+    root = spark.conf.get("spark.checkpoint.dir").removeprefix("file://") + "/voucherlens"
+    before = set(os.listdir(root)) if os.path.isdir(root) else set()
+    with Stage(spark) as stage:
+        assert cp.run(spark, DATA, stage).count() > 0
+        assert len(set(os.listdir(root)) - before) == 1
+    assert set(os.listdir(root)) <= before
+
+
 def test_near_dedup_stage_links_from_80_percent_on(spark):
     """Copies of similarity 0.82 go, those of 0.78 stay; op5 alone links neither."""
     def copy(base, at):  # other words at the start: ``at`` shingles differ
