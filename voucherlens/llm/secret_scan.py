@@ -1,16 +1,22 @@
 r"""Secret scan: fixed patterns, and two character Markov models compared by likelihood ratio.
 
 Fixed patterns find what is named or shaped like a secret. The models find what merely looks
-random: every run of 16 or more characters of the key alphabet outside a fixed match gets the
-log-likelihood ratio of a Markov model of random strings against one of ordinary identifiers,
-and becomes a span of kind ``markov`` if the ratio per character and in total is high enough.
+random. Each character of a run of the key alphabet gets the log-likelihood ratio of a Markov model
+of random strings against one of ordinary identifiers, less a threshold. A segment whose sum is
+``MIN_EXCESS`` or more becomes a span of kind ``markov``, alone or inside a path, a dotted name or
+beside a fixed match: it begins where the sum last left zero, ends at its highest sum before falling
+by ``MIN_EXCESS``, and is widened to the ends of the letters and digits around it. It has to have
+16 characters then. One pass finds all such segments, as the part after a highest sum holds none.
+Fixed matches belong to no such span, nor do UUIDs, which name things and are not reported.
 
 Training: the labelled sample are the runs of a bounded sample of documents (those whose id
 hashes below a limit set so that about ``sample_docs`` are expected). Values matched by a fixed
 pattern are labelled random, other runs of four or more characters ordinary. Spark counts the
 character pairs of both labels; the driver sees the two tables of counts, 67 by 67 numbers
 however large the corpus is. After a character that was seen rarely, a model backs off to its
-frequencies of single characters; without anything to learn from it is uniform.
+frequencies of single characters, of which a little (``MIX``) is mixed in everywhere; a hundredth
+goes to all characters alike, so that a separator that neither label has speaks for none of them. Without
+anything to learn from a model is uniform.
 
 Edge cases: null and empty texts have no spans; whole texts are scanned; positions are code
 points, the end exclusive; rows are scanned one by one, so repeated rows get equal results; a
@@ -47,14 +53,17 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # 20 characters or more; runs are mat
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "markov")
 RUN = re.compile(r"[A-Za-z0-9+/_=.-]{16,}")
+UUID = re.compile(r"(?<![A-Za-z0-9])[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}(?![A-Za-z0-9])")
 WORD_RUN = re.compile(r"[A-Za-z0-9+/_=.-]{4,}")
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=.-"
 START = len(ALPHABET)  # the state before the first character
 SAMPLE_DOCS = 4000
 MIN_PER_CHAR = 0.5
-MIN_TOTAL = 12.0
+MIN_EXCESS = 10.0   # of the ratio over MIN_PER_CHAR, summed over a segment
+MIN_LENGTH = 16
 BACK_OFF = 5.0
+UNSEEN, MIX = 0.01, 0.005   # shares of any character, and of a character whatever stands before it
 
 _CODES = np.zeros(256, dtype=np.int64)
 for _i, _c in enumerate(ALPHABET):
@@ -93,27 +102,72 @@ class RandomnessModel:
 
         def logs(counts: np.ndarray) -> np.ndarray:
             pair = counts.reshape(shape)
-            single = pair.sum(axis=0) + 0.1
-            c = pair + BACK_OFF * single / single.sum()  # rare contexts go by the characters alone
-            return np.log(c / c.sum(axis=1, keepdims=True))
+            # The same floor in both models: what neither has seen tells nothing.
+            single = pair.sum(axis=0)
+            single = (1 - UNSEEN) * single / max(1.0, single.sum()) + UNSEEN / len(ALPHABET)
+            single /= single.sum()
+            c = pair + BACK_OFF * single  # rare contexts go by the characters alone
+            return np.log((1 - MIX) * c / c.sum(axis=1, keepdims=True) + MIX * single)
 
         self.ratio = (logs(random) - logs(ordinary)).ravel()
 
-    def score(self, run: str) -> float:
-        return float(self.ratio[pairs(run)].sum())
+    def segments(self, run: str) -> list[tuple[int, int]]:
+        """The parts of a run that look random, widened to whole words of letters and digits;
+        parts that meet in a word are one."""
+        excess = self.ratio[pairs(run)] - MIN_PER_CHAR
+        total = np.concatenate([[0.0], np.cumsum(excess)])
+        if len(run) < MIN_LENGTH or (total - np.minimum.accumulate(total)).max() < MIN_EXCESS:
+            return []
+        out: list[tuple[int, int]] = []
+
+        def add(start: int, end: int) -> None:
+            past = out[-1][1] if out else 0
+            if end <= past:
+                return
+            if start < past:  # it begins in the word that the last one was widened to
+                start = out.pop()[0]
+            while start > 0 and run[start].isalnum() and run[start - 1].isalnum():
+                start -= 1
+            while end < len(run) and run[end].isalnum() and run[end - 1].isalnum():
+                end += 1
+            if end - start >= MIN_LENGTH:
+                out.append((start, end))
+
+        start, top, end, s = 0, 0.0, 0, 0.0
+        for at, x in enumerate(excess.tolist(), 1):
+            s += x
+            if s > top:
+                top, end = s, at
+            elif s <= 0 or s <= top - MIN_EXCESS:
+                if top >= MIN_EXCESS:
+                    add(start, end)
+                start, top, end, s = at, 0.0, at, 0.0
+        if top >= MIN_EXCESS:
+            add(start, end)
+        return out
 
     def is_secret(self, run: str) -> bool:
-        llr = self.score(run)
-        return llr >= MIN_TOTAL and llr >= MIN_PER_CHAR * len(run)
+        return bool(self.segments(run))
 
     def spans(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-        """Runs that look random and touch no fixed match."""
-        out = []
+        """What looks random beside the fixed matches and UUIDs, in order of its start."""
+        out: list[tuple[int, int, int]] = []
+        taken: list[tuple[int, int]] | None = None
+        next_taken = 0
         for m in RUN.finditer(text):
-            s, e = m.span()
-            if all(b_end <= s or b_start >= e for b_start, _, b_end in base) \
-                    and self.is_secret(m.group()):
-                out.append((s, 3, e))
+            if taken is None:
+                taken = sorted([(s, e) for s, _, e in base] + [u.span() for u in UUID.finditer(text)])
+            at = m.start()
+            while next_taken < len(taken) and taken[next_taken][0] < m.end():
+                s, e = taken[next_taken]
+                if s > at:
+                    out += [(at + a, 3, at + b) for a, b in self.segments(text[at:s])]
+                at = max(at, e)
+                if e > m.end():
+                    break  # it may reach into the next run
+                next_taken += 1
+            if at < m.end():
+                out += [(at + a, 3, at + b) for a, b in self.segments(text[at:m.end()])]
         return out
 
 
@@ -194,5 +248,6 @@ def sha256_hex(text: str) -> str:
 
 def op2_secret_scan(spark, sf_dir: str) -> DataFrame:
     found = secret_spans(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_assign", "n_access", "n_hex", "n_markov",
-                        F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
+    return found.select("doc_id", "n_assign", "n_access", "n_hex",
+                        F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"),
+                        "spans", "n_markov")
