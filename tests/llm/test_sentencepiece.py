@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -69,13 +70,53 @@ def test_encode_agrees_with_the_library_as_a_unigram_model():
         assert total[0] >= total[1] - 1e-3 * abs(total[1])
 
 
-def test_memo_is_bounded():
-    codec = sc.Codec(MODEL, memo=50)
-    want = {}
-    for i in range(400):
-        want[i] = codec.encode(f"word{i} other{i % 7}").tolist()
-    assert len(codec.memo) + len(codec.older) <= 120
-    assert all(codec.encode(f"word{i} other{i % 7}").tolist() == want[i] for i in range(400))
+def held(codec):
+    return sum(sc.ENTRY_BYTES + 4 * len(u) + len(ids) for memo in (codec.memo, codec.older)
+               for u, ids in memo.items())
+
+
+def test_memo_is_bounded_in_bytes():
+    limit = 50 * sc.ENTRY_BYTES
+    codec = sc.Codec(MODEL, memo=limit)
+    for i in range(1000):
+        text = f"word{i} the other{i}"
+        assert codec.decode(codec.encode(text)) == text
+        assert held(codec) <= 2 * limit + 10 * sc.ENTRY_BYTES
+    rnd = random.Random(7)
+    codec = sc.Codec(MODEL, memo=1 << 20)
+    for _ in range(300):  # texts without spaces: each is one unit of 1,000 characters
+        text = "".join(chr(rnd.randint(0x4e00, 0x9fa5)) for _ in range(1000))
+        assert codec.decode(codec.encode(text)) == text
+    assert held(codec) == 0  # none of them is remembered
+
+
+def test_one_long_text_of_many_units_is_cut_too(monkeypatch):
+    monkeypatch.setattr(sc, "BLOCK_UNITS", 100)
+    limit = 50 * sc.ENTRY_BYTES
+    codec = sc.Codec(MODEL, memo=limit)
+    text = " ".join(f"unit{i}" for i in range(5000))
+    assert codec.encode(text).tolist() == sc.Codec(MODEL).encode(text).tolist()
+    assert held(codec) <= 2 * (limit + 150 * sc.ENTRY_BYTES)
+
+
+def test_a_unit_of_a_million_characters_needs_little_memory():
+    for char in ("a", "漢"):
+        codec = sc.Codec(MODEL)
+        text = char * 1_000_000
+        tracemalloc.start()
+        ids = codec.encode(text)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 100 << 20, peak
+        assert codec.decode(ids) == text
+
+
+@given(st.text(alphabet="atheion漢é", min_size=65, max_size=200))
+@settings(max_examples=50, deadline=None)
+def test_long_units_are_segmented_as_well(text):
+    total, spelt, _ = score(list(MODEL.best(text)), text)
+    assert total + spelt * MODEL.unknown == pytest.approx(best_score(text))
+
 
 
 def test_odd_rows(spark, monkeypatch):

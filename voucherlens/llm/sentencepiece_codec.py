@@ -10,7 +10,9 @@ Text is prepared as the model's file says (identity normalisation, white space k
 becomes the mark U+2581 and one mark goes in front of a non-empty text. A U+2581 that is in the
 text itself is spelt in bytes, so decoding gives back exactly what was encoded. No piece has the
 mark after another character, so a best segmentation is a row of best segmentations of the
-units ``mark* other+``; units are memoised in a bounded table per Python worker.
+units ``mark* other+``; units of up to ``MEMO_CHARS`` characters are memoised in a table per Python
+worker that is bounded in bytes. Longer ones (a text without spaces is one unit) are segmented
+every time, in typed arrays of 16 bytes a character.
 
 Edge cases: null and empty texts give no tokens and decode to the empty text; texts are encoded
 whole, however long; ids that are no byte or ordinary piece (unknown, begin, end) decode to
@@ -21,6 +23,7 @@ an empty table gives an empty result. Only id and text are read, so other column
 from __future__ import annotations
 
 import re
+from array import array
 from collections import deque
 from collections.abc import Iterator
 
@@ -34,7 +37,10 @@ from voucherlens.llm.common import id_and_text, schema_with, table
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 _UNITS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-MEMO_UNITS = 250_000
+MEMO_BYTES = 64 << 20   # for each of two generations
+MEMO_CHARS = 64
+ENTRY_BYTES = 250       # what an entry takes beside its characters and ids
+BLOCK_UNITS = 1 << 16   # of one text at most so many units are looked up before the memo is cut
 # A mark that stands for itself while a text is prepared: a code point UTF-8 cannot hold.
 _LITERAL = "\ud800"
 
@@ -101,33 +107,37 @@ class PieceModel:
         i = self.own[state]
         return () if i < 0 else ((self.depth[state], self.pieces[i][1], i),)
 
-    def best(self, unit: str) -> list[int]:
+    def best(self, unit: str) -> list[int] | array:
         """Ids of the best segmentation of a prepared text, in one pass over it."""
         goto, fail, out = self.goto, self.fail, self.out
-        score = [0.0] * (len(unit) + 1)
-        back: list[tuple[int, int]] = [(0, -1)] * (len(unit) + 1)
+        n = len(unit)
+        if n <= MEMO_CHARS:
+            score, start_of, piece_of, ids = [0.0] * (n + 1), [0] * (n + 1), [-1] * (n + 1), []
+        else:  # the same in 8 + 4 + 4 bytes a character, and 4 an id
+            score = array("d", bytes(8 * (n + 1)))
+            start_of, piece_of = (array("i", bytes(4 * (n + 1))) for _ in range(2))
+            ids = array("i")
         state = 0
         for at, c in enumerate(unit, 1):
             while state and c not in goto[state]:
                 state = fail[state]
             state = goto[state].get(c, 0)
-            top, via = None, (at - 1, -1)
+            top, start, via = None, at - 1, -1
             for length, value, piece in out[state]:
                 value += score[at - length]
                 if top is None or value > top:
-                    top, via = value, (at - length, piece)
-            if via[1] < 0 or via[0] != at - 1:
+                    top, start, via = value, at - length, piece
+            if via < 0 or start != at - 1:
                 # A single character may always be spelt out, unless it is a piece itself.
                 single = goto[0].get(c, 0)
                 if not single or self.own[single] < 0:
                     value = score[at - 1] + self.unknown
                     if top is None or value > top:
-                        top, via = value, (at - 1, -1)
-            score[at], back[at] = top, via
-        ids: list[int] = []
-        at = len(unit)
+                        top, start, via = value, at - 1, -1
+            score[at], start_of[at], piece_of[at] = top, start, via
+        at = n
         while at:
-            start, piece = back[at]
+            start, piece = start_of[at], piece_of[at]
             if piece >= 0:
                 ids.append(piece)
             else:
@@ -135,7 +145,8 @@ class PieceModel:
                 spelt = MARK.encode() if c == _LITERAL else c.encode()
                 ids.extend(self.byte_ids[b] for b in reversed(spelt))
             at = start
-        return ids[::-1]
+        ids.reverse()
+        return ids
 
 
 def prepare(text: str) -> str:
@@ -145,10 +156,10 @@ def prepare(text: str) -> str:
 
 
 class Codec:
-    """Encoder and decoder with two generations of memoised units, about ``memo`` in each."""
+    """Encoder and decoder with two generations of memoised units, about ``memo`` bytes in each."""
 
-    def __init__(self, model: PieceModel, memo: int = MEMO_UNITS):
-        self.model, self.limit = model, memo
+    def __init__(self, model: PieceModel, memo: int = MEMO_BYTES):
+        self.model, self.limit, self.used = model, memo, 0
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.text_of = [b"" if i in model.special
@@ -158,16 +169,28 @@ class Codec:
 
     def encode(self, text: str) -> np.ndarray:
         units = _UNITS.findall(prepare(text))
-        memo = self.memo
+        parts = [self._encode_units(units[a:a + BLOCK_UNITS])
+                 for a in range(0, len(units), BLOCK_UNITS)]
+        return np.frombuffer(b"".join(parts), dtype=np.int32)
+
+    def _encode_units(self, units: list[str]) -> bytes:
+        memo, long_units = self.memo, {}
         for u in set(units).difference(memo):
-            if u in self.older:
-                memo[u] = self.older[u]
+            ids = self.older.get(u)
+            if ids is None:
+                ids = array("i", self.model.best(u)).tobytes()
+            if len(u) > MEMO_CHARS:
+                long_units[u] = ids
             else:
-                memo[u] = np.array(self.model.best(u), dtype=np.int32).tobytes()
-        ids = np.frombuffer(b"".join(map(memo.__getitem__, units)), dtype=np.int32)
-        if len(memo) > self.limit:  # keep what was used lately, forget what was not
-            self.memo, self.older = {}, memo
-        return ids
+                memo[u] = ids
+                self.used += ENTRY_BYTES + 4 * len(u) + len(ids)
+        if long_units:
+            out = b"".join([memo[u] if u in memo else long_units[u] for u in units])
+        else:
+            out = b"".join(map(memo.__getitem__, units))
+        if self.used > self.limit:  # keep what was used lately, forget what was not
+            self.memo, self.older, self.used = {}, memo, 0
+        return out
 
     def decode(self, ids) -> str:
         text = b"".join(map(self.text_of.__getitem__, ids)).decode("utf-8", "replace")
