@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -72,11 +73,70 @@ def edited(rnd, base, edits):
     return w
 
 
-@pytest.mark.parametrize("small,elements", [(256, 4_000_000), (256, 0), (5, 0)])
-def test_groups_in_which_not_all_are_linked_to_one(spark, stage, monkeypatch, small, elements):
+def template_members(n, kind, rnd):
+    """Differences of ``n`` texts from a template of 30 shingles; no two of them are linked."""
+    own = rnd.integers(1 << 20, 1 << 60, (n, 10))
+    if kind == "template":      # one word differs: five shingles are gone from all
+        own[:, 5:] = np.arange(5)
+    elif kind == "few":         # two words of 140 kinds each
+        k = np.arange(n)
+        own[:, :5] = 1000 + 5 * (k % 140)[:, None] + np.arange(5)
+        own[:, 5:] = 100_000 + 5 * (k // 140)[:, None] + np.arange(5)
+    return list(own.astype(np.uint64))
+
+
+@pytest.mark.parametrize("kind", ["own", "template", "few"])
+def test_a_group_task_does_not_grow_with_the_square_of_its_members(kind):
+    n = 20_000
+    lists = template_members(n, kind, np.random.default_rng(1))
+    start = time.process_time()
+    assert md.links_in_group(30, np.full(n, 5), lists, np.ones(n, bool), 85) == []
+    assert time.process_time() - start < (1 if kind != "few" else 5)
+    if kind == "few":
+        assert md.links_in_group(30, np.full(n, 5), lists, np.ones(n, bool), 85, 1000) is None
+
+
+def test_links_of_a_group_by_brute_force():
+    rnd = np.random.default_rng(2)
+    many = 0
+    for _ in range(600):
+        n, size, percent = int(rnd.integers(2, 14)), int(rnd.integers(8, 80)), int(rnd.choice([80, 85]))
+        gone, pool = np.arange(size)[:rnd.integers(4, 40)], int(rnd.integers(4, 40))
+        lists, added = [], []
+        for _ in range(n):
+            r = rnd.choice(gone, rnd.integers(0, min(8, len(gone)) + 1), replace=False)
+            a = 1000 + rnd.choice(pool, rnd.integers(not len(r), min(8, pool) + 1), replace=False)
+            lists.append(np.concatenate([a, r]).astype(np.uint64))
+            added.append(len(a))
+        added, lengths = np.array(added), np.array([len(e) for e in lists])
+        linked = 100 * (size - (lengths - added)) >= percent * (size + added)
+        sets = [set(range(size)).difference(e[k:].tolist()).union(e[:k].tolist())
+                for e, k in zip(lists, added)]
+        true = {(i, j) for i in range(n) for j in range(n) if i != j
+                and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])}
+
+        def roots(pairs, known=linked, n=n):
+            root = list(range(n))
+            for a, b in [*pairs, *[(int(np.argmax(known)), k) for k in np.flatnonzero(known).tolist()]]:
+                a, b = root[a], root[b]
+                root = [a if r == b else r for r in root]
+            return [root.index(r) for r in root]
+
+        found = md.links_in_group(size, added, lists, ~linked, percent)
+        assert set(found) <= true
+        if not linked.all():
+            assert roots(found) == roots(true)
+        many += len(found)
+    assert many > 100
+
+
+@pytest.mark.parametrize("small,elements,work", [
+    (256, 4_000_000, 30_000_000), (256, 4_000_000, 10), (256, 0, 0), (5, 0, 0)])
+def test_groups_in_which_not_all_are_linked_to_one(spark, stage, monkeypatch, small, elements, work):
     """Copies of copies, chains, and a template that many texts share without being linked."""
     monkeypatch.setattr(md, "SMALL", small)
     monkeypatch.setattr(md, "GROUP_ELEMENTS", elements)
+    monkeypatch.setattr(md, "GROUP_WORK", work)
     rnd = random.Random(4)
     texts = []
     for g in range(4):

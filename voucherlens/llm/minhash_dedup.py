@@ -25,8 +25,9 @@ joined with all differences of the unlinked members; the members that meet form
 those within one component are dropped. Differences from one leader also tell how two members
 differ from each other, so from here on these short lists are compared and no texts. A leader's
 group whose differences are ``GROUP_ELEMENTS`` at most is finished by one task with an index from
-difference to members. Larger groups go by the buckets: up to ``SMALL`` members in one task, more
-with leaders of their own, twice as many in every round. This loses no pair that shares a key.
+the rarest differences to members, unless the members met in that index are more than ``GROUP_WORK``.
+Other groups go by the buckets: up to ``SMALL`` members in one task, more with leaders of their own,
+twice as many in every round. This loses no pair that shares a key.
 
 Scale: all group work is joins that AQE can split and aggregates that combine before the
 shuffle; no task gets a bucket, class or component. Texts cross the network once, then only those
@@ -71,6 +72,7 @@ BANDS, ROWS = 12, 4
 MISSED = 3e-4  # the chance that a pair right at the threshold shares no key
 SMALL = 256
 GROUP_ELEMENTS = 4_000_000
+GROUP_WORK = 30_000_000  # entries of the index met by one group, about ten seconds
 
 
 def bands_for(percent: int) -> int:
@@ -285,37 +287,95 @@ def _next_buckets(rows: DataFrame, roots: DataFrame, stage: Stage) -> DataFrame:
     return stage(rows.select("base", "key", "node").join(wanted, "key"), "buckets")
 
 
+class Components:
+    """Disjoint sets of places; joining two renames the smaller one, n log n renames at most."""
+
+    def __init__(self, of: np.ndarray):
+        self.of = of
+        self.members: dict[int, list[int]] = {}  # of sets of two or more
+        names, counts = np.unique(of, return_counts=True)
+        for name in names[counts > 1].tolist():
+            self.members[name] = np.flatnonzero(of == name).tolist()
+
+    def unite(self, i: int, j: int) -> bool:
+        """Whether the two places were in different sets."""
+        a, b = int(self.of[i]), int(self.of[j])
+        if a == b:
+            return False
+        x, y = self.members.pop(a, [i]), self.members.pop(b, [j])
+        if len(x) < len(y):
+            x, y, a = y, x, b
+        self.of[y] = a
+        x += y
+        self.members[a] = x
+        return True
+
+
 def links_in_group(size: int, added: np.ndarray, elements: list[np.ndarray], open_: np.ndarray,
-                   percent: int) -> list[tuple[int, int]]:
+                   percent: int, most_work: int | None = None) -> list[tuple[int, int]] | None:
     """Links (places) that connect all that is linked in a group, given by the differences from
-    one set of ``size`` shingles; only rows in ``open_`` have links that are not known yet.
+    one set of ``size`` shingles. Rows not in ``open_`` are linked with that set, hence connected.
 
-    What two members share is counted by way of an index from difference to members.
+    Rows whose differences are so few that they need none in common are linked with the row of the
+    least cost. For the others the number a link needs in common has a lower bound per row, so
+    that two linked rows share one of the rarest ``length - need + 1`` differences of both; only
+    these are indexed, and only rows of other components are compared. None if the rows to be met
+    in the index are more than ``most_work``.
     """
     n = len(elements)
+    if n < 2 or not open_.any():
+        return []
     lengths = np.array([len(e) for e in elements])
     cost = 100 * (lengths - added) + percent * added
+    slack = (100 - percent) * size
+    component = Components(np.where(open_, np.arange(n), int(np.argmin(open_))))
+    found: list[tuple[int, int]] = []
+
+    def link(i: int, j: int) -> None:
+        if component.unite(i, j):
+            found.append((i, j))
+
+    low = int(np.argmin(cost))
+    for i in np.flatnonzero(cost + cost[low] <= slack).tolist():
+        if i != low:
+            link(low, i)
+    # A link has (100 + percent) * common >= cost[i] + cost[j] - slack, cost[j] >= percent * common.
+    need = np.maximum(1, np.maximum(-((slack - cost - cost[low]) // (100 + percent)),
+                                    -((slack - cost) // 100)))
     _, which, count = np.unique(np.concatenate(elements), return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(n), lengths)[np.argsort(which, kind="stable")]
-    start = np.cumsum(count) - count
+    owner = np.repeat(np.arange(n), lengths)
     row = np.cumsum(lengths) - lengths
-    group, found = np.arange(n), []
-    for i in np.flatnonzero(open_):
-        mine = which[row[i]:row[i] + lengths[i]]
-        mine = mine[count[mine] > 1]
-        common = np.bincount(owner[concat_ranges(start[mine], count[mine])], minlength=n)
-        linked = (100 + percent) * common >= cost[i] + cost - (100 - percent) * size
-        linked[i] = False
-        others, first = np.unique(group[linked], return_index=True)
-        near = np.flatnonzero(linked)[first]
-        for g, j in zip(others, near, strict=True):
-            if group[i] != g:
-                found.append((int(i), int(j)))
-                group[group == g] = group[i]
+    order = np.lexsort((which, count[which], owner))
+    place = np.arange(len(which)) - row[owner]
+    kept = order[(place <= (lengths - need)[owner]) & (count[which[order]] > 1)]
+    if not len(kept):
+        return found
+    by_owner, by_element = kept, kept[np.argsort(which[kept], kind="stable")]
+    posted = np.bincount(which[kept], minlength=len(count))
+    post_start = np.cumsum(posted) - posted
+    if most_work is not None and int(posted[which[kept[open_[owner[kept]]]]].sum()) > most_work:
+        return None
+    posting = owner[by_element]
+    own_count = np.bincount(owner[by_owner], minlength=n)
+    own_start = np.cumsum(own_count) - own_count
+    mine = np.zeros(len(count), dtype=bool)
+    for i in np.flatnonzero(open_ & (own_count > 0)).tolist():
+        keys = which[by_owner[own_start[i]:own_start[i] + own_count[i]]]
+        near = posting[concat_ranges(post_start[keys], posted[keys])]
+        near = np.unique(near[component.of[near] != component.of[i]])
+        if not len(near):
+            continue
+        mine[which[row[i]:row[i] + lengths[i]]] = True
+        hit = mine[which[concat_ranges(row[near], lengths[near])]]
+        mine[which[row[i]:row[i] + lengths[i]]] = False
+        common = np.add.reduceat(hit, np.cumsum(lengths[near]) - lengths[near], dtype=np.int64)
+        for j in near[(100 + percent) * common >= cost[i] + cost[near] - slack].tolist():
+            link(i, j)
     return found
 
 
-def _links_of_groups(percent: int):
+def _links_of_groups(percent: int, most_work: int | None):
+    """Per group its links, or one row of its base and null if it is too much for a task."""
     def run(table: pa.Table) -> pa.Table:
         base, nodes, sizes, added = (table.column(c).to_numpy()
                                      for c in ("base", "node", "size", "n_added"))
@@ -325,19 +385,26 @@ def _links_of_groups(percent: int):
         a, b = [], []
         for rows in np.split(order, np.flatnonzero(np.diff(base[order])) + 1):
             lists = [np.asarray(elements[int(i)].values) for i in rows]
-            for i, j in links_in_group(int(sizes[rows[0]]), added[rows].astype(np.int64), lists,
-                                       open_[rows], percent):
+            links = links_in_group(int(sizes[rows[0]]), added[rows].astype(np.int64), lists,
+                                   open_[rows], percent, most_work)
+            if links is None:
+                a.append(int(base[rows[0]]))
+                b.append(None)
+                continue
+            for i, j in links:
                 a.append(int(nodes[rows[i]]))
                 b.append(int(nodes[rows[j]]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
     return run
 
 
-def _group_links(known: DataFrame, tasks: int, percent: int) -> DataFrame:
-    """Links inside the groups of ``known`` (base, node and differences), each held by a task."""
+def _group_links(known: DataFrame, tasks: int, percent: int, most_work: int | None = None
+                 ) -> DataFrame:
+    """Links inside the groups of ``known`` (base, node and differences), each held by a task;
+    with ``most_work``, (base, null) for the groups that need more."""
     return (known.select("base", "node", "linked", "size", "n_added", "elements")
             .groupBy(F.pmod(F.xxhash64("base"), F.lit(tasks)).alias("task"))
-            .applyInArrow(_links_of_groups(percent), "a bigint, b bigint"))
+            .applyInArrow(_links_of_groups(percent, most_work), "a bigint, b bigint"))
 
 
 def _small_links(buckets: DataFrame, known: DataFrame, stage: Stage, percent: int) -> DataFrame:
@@ -383,10 +450,13 @@ def find_links(buckets: DataFrame, texts: DataFrame, stage: Stage, percent: int
         .where("open and n > 1").select("base", "total"), "open_groups")
     fits = F.col("total") <= GROUP_ELEMENTS
     total = groups.where(fits).agg(F.sum("total")).first()[0] or 0
-    links = links.unionByName(stage(_group_links(
+    done = stage(_group_links(
         known.join(groups.where(fits), "base", "left_semi"),
-        int(4 * total // max(1, GROUP_ELEMENTS)) + 1, percent), "group_links"))
-    large = known.join(groups.where(~fits), "base", "left_semi")
+        int(4 * total // max(1, GROUP_ELEMENTS)) + 1, percent, GROUP_WORK), "group_links")
+    links = links.unionByName(done.where("b IS NOT NULL"))
+    rest = groups.where(~fits).select("base").unionByName(
+        done.where("b IS NULL").select(F.col("a").alias("base")))
+    large = known.join(rest, "base", "left_semi")
     buckets = _next_buckets(large.withColumn("chain", F.col("base")), roots, stage)
     many = 1
     while not buckets.isEmpty():
