@@ -7,14 +7,17 @@ edges, stronger the closer they are in the element tree. A maximum flow then sep
 from boilerplate at the least total cost: a short paragraph in the middle of an article stays
 with its neighbours, a lone sentence between two menus goes with them.
 
-The classifier adds two parts. *Structure*: what the enclosing elements say (fixed table below);
-the evidence against a block wins over evidence for it, whichever is further in. A class word
-against an element that holds the article or most of the page is about something else and does not
-count, nor does a form around them; but a thread of comments, a list of related pages or a sidebar
-stays one, whatever its size and the articles in it (``FIRM_WORDS``). *Text*: logistic
-regression over length, punctuation, link share, digits and place of the block, trained on a
-bounded sample of pages whose structurally clear blocks are the labels; it decides where the
-structure is silent.
+The classifier is a logistic regression over two kinds of features. *Structure*: what the enclosing
+elements say (fixed table below), for or against; the evidence against a block wins over evidence
+for it, whichever is further in. A class word against an element that holds the article or most of
+the page is about something else and does not count, nor does a form around them; but a thread of
+comments, a list of related pages or a sidebar stays one, whatever its size and the articles in it
+(``FIRM_WORDS``). *Text*: length, punctuation, link share, element and place of the block. All
+weights, those of the structure too, are learnt from a bounded sample of pages. The labels come
+from how a page's text is spread and not from names: the element right above most of the text that
+is not in links (``CLEAR_SHARE`` of it, else the page has no labels) gives the main text, what
+stands before and after all of it the rest, and what else is among it has no label. The weights are drawn to
+``DEFAULT_MODEL`` where the sample says little, as about a kind of evidence that it lacks.
 
 Text rules: character references are decoded, white space inside a block (line breaks and
 ``<br>`` included) becomes one space, blocks are trimmed and joined by two newlines in page
@@ -43,6 +46,7 @@ from pyspark.sql import functions as F
 from voucherlens.llm.common import schema_with, ship, table
 
 SAMPLE_PAGES = 300
+PENALTY = 1e-2  # of squared distance from the default weights, beside a mean loss
 
 # Elements of HTML by the way they are read.
 RAW = frozenset("script style textarea title xmp noframes iframe noembed".split())
@@ -82,8 +86,6 @@ SIDE_WORDS = frozenset("sidebar sidebars rail".split())
 # Beside such a word, as in has-sidebar, they tell of the page and not of the element.
 LAYOUT_WORDS = frozenset("has with without no layout template".split())
 GOOD_WORDS = frozenset("article content post entry story main body maintext articlebody".split())
-BAD_COST, GOOD_COST = 8.0, 5.0
-HEADER_COST = 6.0
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|"
@@ -295,11 +297,13 @@ def blocks_of(page: str) -> list[Block]:
     return out
 
 
-N_FEATURES = 9
+N_TEXT = 9
+N_FEATURES = N_TEXT + 2
+CLEAR_SHARE = 0.6
 
 
-def text_features(blocks: list[Block]) -> np.ndarray:
-    """What the text of each block says, the structure around it left out."""
+def features(blocks: list[Block]) -> np.ndarray:
+    """What the text of each block says, then what the structure says against and for it."""
     total = max(1, len(blocks))
     out = np.zeros((len(blocks), N_FEATURES))
     for i, b in enumerate(blocks):
@@ -309,48 +313,67 @@ def text_features(blocks: list[Block]) -> np.ndarray:
             1.0, min(1.0, np.log1p(n) / 7), min(1.0, np.log1p(words) / 5),
             min(1.0, b.link_chars / n), min(1.0, (t.count(".") + t.count(",")) / words * 4),
             1.0 if t[-1] in ".!?…" else 0.0, 1.0 if b.name in ("p", "blockquote", "pre") else 0.0,
-            1.0 if b.name == "li" else 0.0, abs(2 * (i + 0.5) / total - 1))
+            1.0 if b.name == "li" else 0.0, abs(2 * (i + 0.5) / total - 1),
+            1.0 if b.bad else 0.0, 1.0 if b.good and not b.bad else 0.0)
     return out
 
 
-def structure_cost(b: Block) -> float:
-    """Positive speaks for main text, negative against; 0 is no evidence."""
-    if b.bad:
-        return -BAD_COST
-    return GOOD_COST if b.good else 0.0
-
-
 def labelled_blocks(page: str) -> tuple[np.ndarray, np.ndarray]:
-    """Text features and labels (1 main text) of the structurally clear blocks."""
+    """Features and labels (1 main text) of the blocks whose place on the page is clear."""
     blocks = blocks_of(page)
-    cost = np.array([structure_cost(b) for b in blocks])
-    clear = cost != 0
-    return text_features(blocks)[clear], (cost[clear] > 0).astype(float)
-
-
-class TextModel(NamedTuple):
+    plain = [max(0, len(b.text) - b.link_chars) for b in blocks]
+    under: dict[int, int] = {}
+    for b, n in zip(blocks, plain, strict=True):
+        under[b.parent] = under.get(b.parent, 0) + n
+    holder = max(under, key=lambda k: (under[k], -k), default=None)
+    if holder is None or under[holder] < CLEAR_SHARE * sum(plain) or not under[holder]:
+        return np.zeros((0, N_FEATURES)), np.zeros(0)
+    main = np.array([b.parent == holder for b in blocks])
+    inside = np.flatnonzero(main)
+    place = np.arange(len(blocks))
+    clear = main | (place < inside[0]) | (place > inside[-1])
+    return features(blocks)[clear], main[clear].astype(float)
+
+
+class BlockModel(NamedTuple):
     weights: np.ndarray
 
+    def text_logit(self, x: np.ndarray) -> np.ndarray:
+        return np.clip(x[:, :N_TEXT] @ self.weights[:N_TEXT], -4.0, 4.0)
+
     def logit(self, x: np.ndarray) -> np.ndarray:
-        return np.clip(x @ self.weights, -4.0, 4.0)
+        """Positive speaks for main text; however clear a text, it says no more than 4."""
+        return self.text_logit(x) + x[:, N_TEXT:] @ self.weights[N_TEXT:]
 
 
 # Used where there is nothing to learn from. Long, punctuated text outside links.
-DEFAULT_MODEL = TextModel(np.array([-2.0, 1.0, 3.0, -5.0, 1.0, 1.0, 1.0, -1.0, -0.5]))
+DEFAULT_MODEL = BlockModel(np.array([-2.0, 1.0, 3.0, -5.0, 1.0, 1.0, 1.0, -1.0, -0.5, -8.0, 5.0]))
 
 
-def fit(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, steps: int = 30) -> TextModel:
-    """Logistic regression by Newton steps; both labels have the same total weight."""
+def fit(x: np.ndarray, y: np.ndarray, penalty: float = PENALTY, steps: int = 30) -> BlockModel:
+    """Logistic regression by Newton steps, drawn to the default weights; both labels have the
+    same total weight."""
     if len(y) == 0 or y.min() == y.max():
         return DEFAULT_MODEL
     weight = np.where(y > 0, 0.5 / y.sum(), 0.5 / (1 - y).sum())
-    w = np.zeros(N_FEATURES)
+    start = DEFAULT_MODEL.weights
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float(weight @ (np.logaddexp(0, z) - y * z) + penalty / 2 * ((w - start) ** 2).sum())
+
+    w, now = start, loss(start)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (weight * (p - y)) + penalty * w
+        gradient = x.T @ (weight * (p - y)) + penalty * (w - start)
         hessian = (x * (weight * p * (1 - p))[:, None]).T @ x + penalty * np.eye(N_FEATURES)
-        w = w - np.linalg.solve(hessian, gradient)
-    return TextModel(w)
+        step = np.linalg.solve(hessian, gradient)
+        while (ahead := loss(w - step)) > now and np.abs(step).max() > 1e-9:
+            step = step / 2  # a whole step may go too far where the labels are well apart
+        if now - ahead < 1e-12:
+            break
+        w, now = w - step, ahead
+    return BlockModel(w)
 
 
 class FlowNetwork:
@@ -420,14 +443,12 @@ class FlowNetwork:
 ADJACENT, SAME_PARENT = 0.75, 0.75
 
 
-def main_blocks(blocks: list[Block], model: TextModel) -> list[bool]:
+def main_blocks(blocks: list[Block], model: BlockModel) -> list[bool]:
     """The labelling with the least cost of labels and of cut smoothness edges."""
     if not blocks:
         return []
     n = len(blocks)
-    prior = np.array([structure_cost(b) for b in blocks])
-    # The text decides where the structure is silent; elsewhere it only shades the cost.
-    cost = prior + np.where(prior == 0, 1.0, 0.25) * model.logit(text_features(blocks))
+    cost = model.logit(features(blocks))
     net = FlowNetwork(n + 2)
     s, t = n, n + 1
     for i, c in enumerate(cost.tolist()):
@@ -447,14 +468,14 @@ def main_blocks(blocks: list[Block], model: TextModel) -> list[bool]:
     return net.source_side(s, t)[:n]
 
 
-def extract(page: str, model: TextModel) -> str:
+def extract(page: str, model: BlockModel) -> str:
     blocks = blocks_of(page)
     keep = main_blocks(blocks, model)
     return "\n\n".join(b.text for b, k in zip(blocks, keep, strict=True) if k)
 
 
-def train(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> TextModel:
-    """Fits the text part on the ``sample_pages`` pages with the smallest hash of id and html."""
+def train(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> BlockModel:
+    """Fits the classifier on the ``sample_pages`` pages with the smallest hash of id and html."""
     sample = (pages.orderBy(F.xxhash64("page_id"), F.xxhash64("html")).limit(sample_pages)
               .select("html"))
 
@@ -473,7 +494,7 @@ def train(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> TextModel:
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
-                  html_col: str = "html", model: TextModel | None = None) -> DataFrame:
+                  html_col: str = "html", model: BlockModel | None = None) -> DataFrame:
     """``page_id``, ``url``, the main ``text`` and its ``n_chars`` in code points."""
     ship(pages.sparkSession)
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"),
