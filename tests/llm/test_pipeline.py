@@ -1,4 +1,5 @@
 import os
+import weakref
 
 import pytest
 from conftest import DATA
@@ -131,3 +132,58 @@ def test_one_copy_of_a_large_group_survives(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
     left = cp.near_duplicates(spark, cp.lines(spark, docs, DATA), DATA).collect()
     assert sorted(r.text for r in left) == sorted({r[1] for r in rows})
+
+
+def calls_of(monkeypatch, spark):
+    """Each later call of ``mapInArrow``: its input and, run here, the rows its function gives."""
+    kind, made = type(spark.range(1)), []
+    plain = kind.mapInArrow
+
+    def noted(self, function, *args, **kwargs):
+        def here():
+            batches = self.toArrow().to_batches()
+            return [r for b in function(iter(batches)) for r in b.to_pylist()]
+        made.append((self, here))
+        return plain(self, function, *args, **kwargs)
+
+    monkeypatch.setattr(kind, "mapInArrow", noted)
+    return made
+
+
+def test_a_worker_does_not_keep_the_codec_through_the_other_stages(spark, monkeypatch):
+    """Codec, memo and tables of powers add up to a large part of an executor's memory."""
+    docs = spark.createDataFrame([(1, "some words of a text, ten of them at least here"), (2, None)],
+                                 "doc_id bigint, text string")
+    bench = docs.selectExpr("'x' AS item_id", "text")
+    model = quality_classifier.fit([], [])
+    made = calls_of(monkeypatch, spark)
+    sentencepiece_codec.encode(docs)
+    quality_classifier.classify(docs, model, whole=True)
+    decontamination.decontaminate(docs, bench, whole=True)
+    monkeypatch.setattr(minhash_dedup, "shared_keys", lambda *_: 1 / 0)
+    with Stage(spark) as stage, pytest.raises(ZeroDivisionError):
+        minhash_dedup.near_duplicates(docs, stage=stage)
+    encode, *others = [here for _, here in made]
+    assert len(others) == 3
+    for other in others:
+        assert [len(r["ids"]) > 0 for r in encode()] == [True, False]
+        codec = weakref.ref(sentencepiece_codec.codec_for(sentencepiece_codec.load_model()))
+        assert codec() is not None                 # kept from task to task of its own operator
+        assert len(other()) == 2
+        assert codec() is None
+
+
+@pytest.mark.parametrize("kind, alone", [("string", True), ("int", False)])
+def test_a_text_goes_to_python_once(spark, monkeypatch, kind, alone):
+    docs = spark.createDataFrame([(1, "17"), (2, None), (3, "")], "doc_id bigint, note string")
+    docs = docs.select("doc_id", F.expr(f"try_cast(note AS {kind})").alias("note"), F.lit(5).alias("text"))
+    bench = spark.createDataFrame([("x", "17")], "item_id string, text string")
+    made = calls_of(monkeypatch, spark)
+    judged = quality_classifier.classify(docs, quality_classifier.fit([], []), text_col="note", whole=True)
+    found = decontamination.decontaminate(docs, bench, text_col="note", whole=True)
+    for sent, _ in made:
+        assert sent.columns == (["doc_id", "row"] if alone else ["doc_id", "text", "row"])
+    assert judged.count() == 3
+    assert judged.select("row.*").exceptAll(docs).count() == 0
+    assert {r.doc_id: (r.n_words, r.n_hit) for r in found.collect()} == {1: (1, 1), 2: (0, 0), 3: (0, 0)}
+    assert found.select("row.*").exceptAll(docs).count() == 0

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voucherlens.llm.common import id_and_text, schema_with, table
+from voucherlens.llm.common import id_and_text, kept, schema_with, sent, table
 from voucherlens.staging import Stage
 
 WINDOW = 10
@@ -142,14 +142,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = int(total // block_bytes) + 1
     if blocks == 1:
-        return _search(texts, items, window, keep)
+        return _search(texts, text_col, items, window, keep)
     # More than one pass: rows get a number that ties the passes together.
     stage = stage or Stage(docs.sparkSession)
     numbered = stage(texts.withColumn("number", F.monotonically_increasing_id()), "numbered")
     found = None
     for k in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
-        one = _search(numbered, part, window, ("number",))
+        one = _search(numbered.drop("row"), text_col, part, window, ("number",))
         found = one if found is None else found.unionByName(one)
     grouped = found.groupBy("number").agg(
         F.max("n_words").alias("n_words"),
@@ -170,17 +170,20 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return numbered.select("number", *keep).join(merged, "number").drop("number")
 
 
-def _search(texts: DataFrame, items: DataFrame, window: int, keep: tuple[str, ...]) -> DataFrame:
+def _search(texts: DataFrame, text_col: str, items: DataFrame, window: int,
+            keep: tuple[str, ...]) -> DataFrame:
     rows = [(r.item, r.text) for r in items.collect()]  # a block: bounded by block_bytes
     shared = texts.sparkSession.sparkContext.broadcast(rows)
     compiled: list[list[WuManber]] = []
+    texts, text_of = sent(texts, text_col)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("decontamination").clear()
         if not compiled:
             compiled.append(compile_items(shared.value, window))
         for batch in batches:
             done = []
-            for text in batch.column("text"):
+            for text in text_of(batch):
                 words = words_of(text.as_py())
                 done.append((len(words), *hits(words, compiled[0])))
             yield _finish({c: batch.column(c) for c in keep}, done)

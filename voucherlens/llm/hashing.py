@@ -13,6 +13,8 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
+from voucherlens.llm.common import kept
+
 U64 = np.uint64
 _BASE = U64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 _BASE_INV = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -41,13 +43,11 @@ def _byte_codes(lower: bool) -> np.ndarray:
     return codes
 
 
-_POWERS: list[np.ndarray] = []
-
-
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0..n of the base and of its inverse; kept for ordinary slices, not for giants."""
-    if _POWERS and len(_POWERS[0]) > n:
-        return _POWERS[0], _POWERS[1]
+    powers = kept("hashing")
+    if powers and len(powers["base"]) > n:
+        return powers["base"], powers["inverse"]
     size = max(n + 1, SLICE_BYTES + (1 << 16))
     made = []
     for b in (_BASE, _BASE_INV):
@@ -55,7 +55,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
         p[0] = 1
         made.append(np.cumprod(p, dtype=U64))
     if size <= 2 * SLICE_BYTES:
-        _POWERS[:] = made
+        powers.update(base=made[0], inverse=made[1])
     return made[0], made[1]
 
 

@@ -72,6 +72,7 @@ BANDS, ROWS = 12, 4
 MISSED = 3e-4  # the chance that a pair right at the threshold shares no key
 SMALL = 256
 GROUP_ELEMENTS = 4_000_000
+SLICE_BYTES = 1 << 19  # of texts at once: their shingles take many times as much memory
 GROUP_WORK = 30_000_000  # entries of the index met by one group, about ten seconds
 
 
@@ -120,7 +121,7 @@ def _sign(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, digests, signs = [], [], []
-            for _, _, texts in slices(batch.column("text")):
+            for _, _, texts in slices(batch.column("text"), SLICE_BYTES):
                 for s in shingle_sets(texts):
                     sizes.append(len(s))
                     digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
@@ -234,7 +235,7 @@ def _compare_texts(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, leader_set = None, None
         for batch in batches:
-            for a, b, texts in slices(batch.column("member_text")):
+            for a, b, texts in slices(batch.column("member_text"), SLICE_BYTES):
                 members, diffs = shingle_sets(texts), []
                 for k in range(a, b):
                     leader = batch.column("leader")[k].as_py()

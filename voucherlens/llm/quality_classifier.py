@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voucherlens.llm.common import fold_of, id_and_text, schema_with, table
+from voucherlens.llm.common import fold_of, id_and_text, kept, schema_with, sent, table
 
 BUCKETS = 1 << 13
 RANK = 8
@@ -136,6 +136,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: i
 
 
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kept("quality").clear()
     for batch in batches:
         made = [features(t.as_py()) for t in batch.column("text")]
         yield pa.RecordBatch.from_pydict({
@@ -173,11 +174,13 @@ def classify(docs: DataFrame, model: FactorisationMachine, id_col: str = "doc_id
     texts = id_and_text(docs, id_col, text_col, whole)
     shared = texts.sparkSession.sparkContext.broadcast(model)
     keep = ("doc_id", "row") if whole else ("doc_id",)
+    texts, text_of = sent(texts, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("quality").clear()
         machine = shared.value
         for batch in batches:
-            scores = [machine.score(*features(t.as_py())) for t in batch.column("text")]
+            scores = [machine.score(*features(t.as_py())) for t in text_of(batch)]
             yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in keep}
                                              | {"score": pa.array(scores, pa.float64())})
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voucherlens.llm.common import id_and_text, schema_with, table
+from voucherlens.llm.common import id_and_text, kept, schema_with, table
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -197,15 +197,13 @@ class Codec:
         return text[1:] if text.startswith(" ") else text
 
 
-_CODECS: dict[bytes, Codec] = {}
-
-
 def codec_for(proto: bytes) -> Codec:
-    """One codec per worker and model, so that the memo outlives the task."""
-    if proto not in _CODECS:
-        _CODECS.clear()
-        _CODECS[proto] = Codec(PieceModel.parse(proto))
-    return _CODECS[proto]
+    """One codec per worker and model: the memo outlives the task, until another operator's task."""
+    codecs = kept("sentencepiece")
+    if proto not in codecs:
+        codecs.clear()
+        codecs[proto] = Codec(PieceModel.parse(proto))
+    return codecs[proto]
 
 
 def load_model(path: str = MODEL_PATH) -> bytes:
