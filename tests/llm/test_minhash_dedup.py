@@ -1,3 +1,4 @@
+import pathlib
 import random
 import time
 
@@ -96,6 +97,77 @@ def test_a_group_task_does_not_grow_with_the_square_of_its_members(kind):
         assert md.links_in_group(30, np.full(n, 5), lists, np.ones(n, bool), 85, 1000) is None
 
 
+def test_members_with_differences_of_their_own_are_no_work():
+    """9,700 near copies, some over and some under the threshold: each lacks what others lack too."""
+    rnd, n, size = np.random.default_rng(3), 9_700, 396
+    lists, added = [], []
+    for k in rnd.choice([1, 2, 3, 4, 6, 8, 10, 13, 17, 20, 25], n):
+        gone = 5 * rnd.choice(size // 5, k, replace=False)
+        own = rnd.integers(1 << 20, 1 << 60, 5 * k)
+        lists.append(np.concatenate([own, (gone[:, None] + np.arange(5)).ravel()]).astype(np.uint64))
+        added.append(5 * k)
+    added = np.array(added)
+    open_ = 100 * (size - added) < 80 * (size + added)
+    assert 3_000 < open_.sum() < 7_000
+    assert md.links_in_group(size, added, lists, open_, 80, md.GROUP_WORK) == []
+
+
+def test_a_group_too_large_for_a_task_writes_little(spark, stage, monkeypatch):
+    """Its members' differences are not compared and written again and again."""
+    monkeypatch.setattr(md, "GROUP_ELEMENTS", 0)
+    rnd = random.Random(6)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(edited(rnd, base, rnd.choice([1, 2, 4, 6, 9, 12])))) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    check(df, rows, stage)
+    written = {t: sum(f.stat().st_size for f in t.glob("*.parquet"))
+               for t in pathlib.Path(stage.path.removeprefix("file://")).iterdir()}
+    first = min(t for t in written if t.name.endswith("verified"))
+    assert sum(b for t, b in written.items() if t > first) < written[first]
+
+
+def blocks_by_brute_force(size, added, lists, open_, percent, blocks):
+    """Links of all blocks and pairs of blocks, as tasks find them."""
+    n, out = len(lists), []
+    block = np.arange(n) % blocks
+    for a in range(blocks):
+        for b in range(a, blocks):
+            at = np.flatnonzero((block == a) | (block == b))
+            side = None if a == b else (block[at] == b).astype(int)
+            found = md.links_in_group(size, added[at], [lists[i] for i in at], open_[at], percent,
+                                      side=side)
+            out += [(int(at[i]), int(at[j])) for i, j in found]
+    return out
+
+
+def test_blocks_find_what_the_group_finds():
+    rnd, many = np.random.default_rng(8), 0
+    for _ in range(300):
+        n, size, percent = int(rnd.integers(4, 16)), int(rnd.integers(8, 60)), int(rnd.choice([80, 85]))
+        pool = int(rnd.integers(2, 30))
+        lists, added = [], []
+        for _ in range(n):
+            a = 1000 + rnd.choice(pool, rnd.integers(0, min(9, pool)), replace=False)
+            r = rnd.choice(size, rnd.integers(not len(a), 8), replace=False)
+            lists.append(np.concatenate([a, r]).astype(np.uint64))
+            added.append(len(a))
+        added, lengths = np.array(added), np.array([len(e) for e in lists])
+        linked = 100 * (size - (lengths - added)) >= percent * (size + added)
+        base = [(int(np.argmax(linked)), int(k)) for k in np.flatnonzero(linked)]
+        names = []
+        for found in (md.links_in_group(size, added, lists, ~linked, percent),
+                      blocks_by_brute_force(size, added, lists, ~linked, percent, 3)):
+            groups = Groups(n)
+            for i, j in [*base, *found]:
+                if groups.find(i) != groups.find(j):
+                    groups.join(i, j)
+            roots = [groups.find(i) for i in range(n)]
+            names.append([roots.index(r) for r in roots])
+            many += len(found)
+        assert names[0] == names[1]
+    assert many > 100
+
+
 def test_links_of_a_group_by_brute_force():
     rnd = np.random.default_rng(2)
     many = 0

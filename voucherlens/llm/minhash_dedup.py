@@ -13,21 +13,22 @@ is 12 bands (``BANDS``) for 0.85, where at 0.9 it is about 5 in a million, and 1
 
 *Verification without all pairs.* In each bucket the members are compared with a leader, the one
 with the most neighbours: that links what belongs together in most groups. What remains are
-pairs of members of which at least one, x, is not linked to the leader b. With D the shingles a
-member lacks of b, A those it has beyond b, and c = |D| + t|A| for threshold t, such a pair is
-linked only if
+pairs of members of which at least one, x, is not linked to the leader b. Differences from one
+leader also tell how two members differ from each other (``relative``), so from here on these
+short lists are compared and no texts. With D the shingles a member lacks of b, A those it has
+beyond b, and c = |D| + t|A| for threshold t, such a pair is linked only if
 
     (1 + t) (|Dx & Dy| + |Ax & Ay|) >= cx + cy - (1 - t)|b| > cy,
 
-so y shares more than cy / (1 + t) of its differences with x, hence at least one of any
-|Dy| + |Ay| - floor(cy / (1 + t)) of them. These (added shingles first: they are rare) are
-joined with all differences of the unlinked members; the members that meet form new buckets, and
-those within one component are dropped. Differences from one leader also tell how two members
-differ from each other, so from here on these short lists are compared and no texts. A leader's
-group whose differences are ``GROUP_ELEMENTS`` at most is finished by one task with an index from
-the rarest differences to members, unless the members met in that index are more than ``GROUP_WORK``.
-Other groups go by the buckets: up to ``SMALL`` members in one task, more with leaders of their own,
-twice as many in every round. This loses no pair that shares a key.
+so a member most of whose differences no other one has is linked with none and is left out, and
+of the others y shares more than cy / (1 + t) of its differences with x, hence at least one of
+any |Dy| + |Ay| - floor(cy / (1 + t)) of them. An index from the rarest differences to members
+finds these pairs (``links_in_group``). One task does that for a leader's group whose differences
+are ``GROUP_ELEMENTS`` at most, unless the members met in the index are more than ``GROUP_WORK``.
+Other groups are cut into blocks of about ``SMALL`` members and ``BLOCK_ELEMENTS`` differences at
+most, and every two blocks are a task. So a group's differences are copied once for each block
+and nothing else is written, however many differences its members have in common. This loses no
+pair that shares a key.
 
 Scale: all group work is joins that AQE can split and aggregates that combine before the
 shuffle; no task gets a bucket, class or component. Texts cross the network once, then only those
@@ -49,7 +50,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voucherlens.llm.common import id_and_text, schema_with, table
@@ -70,7 +71,8 @@ SHINGLE = 5
 PERCENT = 85
 BANDS, ROWS = 12, 4
 MISSED = 3e-4  # the chance that a pair right at the threshold shares no key
-SMALL = 256
+SMALL = 4096  # members of a block
+BLOCK_ELEMENTS = 500_000
 GROUP_ELEMENTS = 4_000_000
 SLICE_BYTES = 1 << 19  # of texts at once: their shingles take many times as much memory
 GROUP_WORK = 30_000_000  # entries of the index met by one group, about ten seconds
@@ -160,19 +162,13 @@ def _in_buckets(rows: DataFrame) -> DataFrame:
     return rows.join(sizes, "key")
 
 
-def leaders_of(buckets: DataFrame, stage: Stage, many: int) -> DataFrame:
-    """(key, leaders): the ``many`` members of each bucket with the most neighbours."""
+def leaders_of(buckets: DataFrame, stage: Stage) -> DataFrame:
+    """(key, leader): the member of each bucket with the most neighbours."""
     weight = buckets.groupBy("node").agg(F.sum("n").alias("weight"))
     ranked = stage(buckets.join(weight, "node"), "weighted")
-    if many == 1:
-        top = ranked.groupBy("key").agg(
-            F.max(F.struct("weight", (-F.col("node")).alias("neg"))).alias("t"))
-        return top.select("key", F.array(-F.col("t.neg")).alias("leaders"))
-    # row_number with a bound: Spark limits each group before the shuffle.
-    order = Window.partitionBy("key").orderBy(F.desc("weight"), "node")
-    return (ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= many)
-            .groupBy("key").agg(F.array_sort(F.collect_list(F.struct("rank", "node"))).alias("t"))
-            .select("key", F.col("t.node").alias("leaders")))
+    top = ranked.groupBy("key").agg(
+        F.max(F.struct("weight", (-F.col("node")).alias("neg"))).alias("t"))
+    return top.select("key", (-F.col("t.neg")).alias("leader"))
 
 
 class Difference(NamedTuple):
@@ -186,11 +182,6 @@ class Difference(NamedTuple):
         common, union = self.size - len(self.lacking), self.size + len(self.added)
         return 100 * common >= percent * union
 
-    def prefix(self, percent: int) -> int:
-        """How many differences suffice to meet every unlinked member this one is linked to."""
-        a, d = len(self.added), len(self.lacking)
-        return a + d - (100 * d + percent * a) // (100 + percent)
-
 
 def difference(leader: np.ndarray, member: np.ndarray) -> Difference:
     """From two sorted sets of shingles. What is lacking gets another hash than what is added."""
@@ -216,15 +207,13 @@ def relative(leader: Difference, member: Difference) -> Difference:
         np.concatenate([without(member.lacking, leader.lacking), without(leader.added, member.added)]))
 
 
-_DIFF = "size int, n_added int, elements array<bigint>"
-_VERIFIED = "linked boolean, prefix int, " + _DIFF
+_VERIFIED = "linked boolean, size int, n_added int, elements array<bigint>"
 
 
 def _verified(batch: pa.RecordBatch, keep: tuple[str, ...], diffs: list[Difference], at: int,
               percent: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({c: batch.column(c).slice(at, len(diffs)) for c in keep} | {
         "linked": pa.array([d.linked(percent) for d in diffs], pa.bool_()),
-        "prefix": pa.array([d.prefix(percent) for d in diffs], pa.int32()),
         "size": pa.array([d.size for d in diffs], pa.int32()),
         "n_added": pa.array([len(d.added) for d in diffs], pa.int32()),
         "elements": pa.array([np.concatenate([d.added, d.lacking]).view(np.int64) for d in diffs],
@@ -247,47 +236,6 @@ def _compare_texts(percent: int):
     return run
 
 
-def _compare_differences(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def read(batch: pa.RecordBatch, side: str) -> list[Difference]:
-            out = []
-            for size, n, e in zip(*(batch.column(f"{side}_{c}") for c in
-                                    ("size", "n_added", "elements")), strict=True):
-                e = np.asarray(e.values).view(U64)
-                out.append(Difference(size.as_py(), e[:n.as_py()], e[n.as_py():]))
-            return out
-
-        for whole in batches:
-            for a in range(0, whole.num_rows, 1000):
-                batch = whole.slice(a, 1000)
-                diffs = [relative(x, y) for x, y in zip(read(batch, "l"), read(batch, "m"),
-                                                        strict=True)]
-                yield _verified(batch, ("base", "leader", "node"), diffs, 0, percent)
-    return run
-
-
-def _next_buckets(rows: DataFrame, roots: DataFrame, stage: Stage) -> DataFrame:
-    """Members that meet in a difference from their first leader, where a link may be missing.
-
-    ``rows``: (base, chain, node) and the differences, without those that have led the chain.
-    """
-    open_chains = rows.where("not linked").select("chain").distinct()
-    sufficient = F.when(F.col("linked"), F.slice("elements", 1, F.col("prefix"))).otherwise(
-        F.col("elements"))
-    rows = (rows.join(open_chains, "chain", "left_semi")
-            .select("base", "chain", "node", "linked", "prefix", F.posexplode(sufficient).alias("i", "e"))
-            .select("base", F.xxhash64("chain", "e").alias("key"), "node", "linked",
-                    (F.col("i") < F.col("prefix")).alias("first")))
-    rows = stage(rows.join(roots, "node", "left")
-                 .select("base", "key", "node", "linked", "first",
-                         F.coalesce("root", "node").alias("root")), "differences")
-    wanted = (rows.groupBy("key").agg(
-        F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"),
-        F.bool_or("first").alias("some"), F.bool_or(~F.col("linked")).alias("open"))
-        .where("n > 1 and lo <> hi and some and open").select("key", "n"))
-    return stage(rows.select("base", "key", "node").join(wanted, "key"), "buckets")
-
-
 class Components:
     """Disjoint sets of places; joining two renames the smaller one, n log n renames at most."""
 
@@ -312,14 +260,40 @@ class Components:
         return True
 
 
+def _with_partner(cost: np.ndarray, shared: np.ndarray, open_: np.ndarray, side: np.ndarray,
+                  slack: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows may have a link, from how many of their differences other rows have; and ``gain``.
+
+    A link of i and j has (100 + percent) * common >= cost[i] + cost[j] - slack, and neither has
+    more in common than it shares at all: so gain[j] >= cost[i] - slack, and the other way round.
+    """
+    gain = (100 + percent) * shared - cost
+    may = np.zeros(len(cost), dtype=bool)
+    for s in np.unique(side):
+        for state in (True, False):
+            mine = np.flatnonzero((side == s) & (open_ == state))
+            others = np.flatnonzero(((side != s) | (side < 0)) & (open_ | state))
+            if not len(mine) or not len(others):
+                continue
+            others = others[np.argsort(cost[others], kind="stable")]
+            best = np.maximum.accumulate(gain[others])
+            to = np.searchsorted(cost[others], slack + gain[mine], side="right")
+            may[mine] = (to > 0) & (best[np.maximum(to, 1) - 1] >= cost[mine] - slack)
+    return may, gain
+
+
 def links_in_group(size: int, added: np.ndarray, elements: list[np.ndarray], open_: np.ndarray,
-                   percent: int, most_work: int | None = None) -> list[tuple[int, int]] | None:
+                   percent: int, most_work: int | None = None, side: np.ndarray | None = None
+                   ) -> list[tuple[int, int]] | None:
     """Links (places) that connect all that is linked in a group, given by the differences from
     one set of ``size`` shingles. Rows not in ``open_`` are linked with that set, hence connected.
+    With ``side`` (0 or 1 per row) only what links the two sides is looked for.
 
     Rows whose differences are so few that they need none in common are linked with the row of the
-    least cost. For the others the number a link needs in common has a lower bound per row, so
-    that two linked rows share one of the rarest ``length - need + 1`` differences of both; only
+    least cost. The others need some in common: rows that cannot have a link, since too few of
+    their differences are in any other row, are left out, which makes more differences rare, until
+    few more go. Of what stays the number a link needs in common has a lower bound per row, so that
+    two linked rows share one of the rarest ``length - need + 1`` differences of both; only
     these are indexed, and only rows of other components are compared. None if the rows to be met
     in the index are more than ``most_work``.
     """
@@ -340,15 +314,41 @@ def links_in_group(size: int, added: np.ndarray, elements: list[np.ndarray], ope
     for i in np.flatnonzero(cost + cost[low] <= slack).tolist():
         if i != low:
             link(low, i)
-    # A link has (100 + percent) * common >= cost[i] + cost[j] - slack, cost[j] >= percent * common.
-    need = np.maximum(1, np.maximum(-((slack - cost - cost[low]) // (100 + percent)),
-                                    -((slack - cost) // 100)))
-    _, which, count = np.unique(np.concatenate(elements), return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(n), lengths)
+    side = np.full(n, -1) if side is None else side
+    kinds, which = np.unique(np.concatenate(elements), return_inverse=True)
+    kinds, which = len(kinds), which.astype(np.int32)
+    owner = np.repeat(np.arange(n, dtype=np.int32), lengths)
     row = np.cumsum(lengths) - lengths
+    live, before = np.ones(n, dtype=bool), 2 * n
+    while 10 * live.sum() < 9 * before:
+        before = int(live.sum())
+        # A row that is not open only looks for open ones.
+        at = live[owner]
+        count = np.bincount(which[at], minlength=kinds)
+        shares = np.zeros(len(which), dtype=bool)
+        for s in np.unique(side):
+            here = at & (side[owner] == s)
+            there = at & (side[owner] != s) if s >= 0 else here
+            others = np.bincount(which[there], minlength=kinds)
+            opened = np.bincount(which[there & open_[owner]], minlength=kinds)
+            shares[here] = np.where(open_[owner[here]], others[which[here]] > (s < 0),
+                                    opened[which[here]] > 0)
+        shared = np.bincount(owner[shares], minlength=n)
+        kept = np.flatnonzero(live)
+        may, some = _with_partner(cost[kept], shared[kept], open_[kept], side[kept], slack, percent)
+        live[kept] = may
+        gain = np.zeros(n, dtype=np.int64)
+        gain[kept] = some
+    if not (live & open_).any():
+        return found
+    # A link has (100 + percent) * common >= cost[i] + cost[j] - slack, cost[j] >= percent * common,
+    # and one of the two is open.
+    least = np.where(open_, cost[live].min(), cost[live & open_].min())
+    need = np.maximum(1, np.maximum(-((slack - cost - least) // (100 + percent)),
+                                    np.where(open_, -((slack - cost) // 100), 1)))
     order = np.lexsort((which, count[which], owner))
     place = np.arange(len(which)) - row[owner]
-    kept = order[(place <= (lengths - need)[owner]) & (count[which[order]] > 1)]
+    kept = order[(place <= (lengths - need)[owner]) & live[owner] & shares[order]]
     if not len(kept):
         return found
     by_owner, by_element = kept, kept[np.argsort(which[kept], kind="stable")]
@@ -363,7 +363,9 @@ def links_in_group(size: int, added: np.ndarray, elements: list[np.ndarray], ope
     for i in np.flatnonzero(open_ & (own_count > 0)).tolist():
         keys = which[by_owner[own_start[i]:own_start[i] + own_count[i]]]
         near = posting[concat_ranges(post_start[keys], posted[keys])]
-        near = np.unique(near[component.of[near] != component.of[i]])
+        near = near[(component.of[near] != component.of[i]) & ((side[near] != side[i]) | (side[i] < 0))
+                    & (gain[near] >= cost[i] - slack) & (cost[near] - slack <= gain[i])]
+        near = np.unique(near)
         if not len(near):
             continue
         mine[which[row[i]:row[i] + lengths[i]]] = True
@@ -375,63 +377,97 @@ def links_in_group(size: int, added: np.ndarray, elements: list[np.ndarray], ope
     return found
 
 
-def _links_of_groups(percent: int, most_work: int | None):
+class _Members(NamedTuple):
+    nodes: np.ndarray
+    sizes: np.ndarray
+    added: np.ndarray
+    open_: np.ndarray
+    elements: pa.Array
+
+    @classmethod
+    def of(cls, table: pa.Table) -> _Members:
+        nodes, sizes, added = (table.column(c).to_numpy() for c in ("node", "size", "n_added"))
+        open_ = ~table.column("linked").to_numpy(zero_copy_only=False).astype(bool)
+        return cls(nodes, sizes, added.astype(np.int64), open_, table.column("elements").combine_chunks())
+
+    def links(self, rows: np.ndarray, percent: int, most_work: int | None = None,
+              side: np.ndarray | None = None) -> list[tuple[int, int]] | None:
+        """Links, as nodes, of the rows of one group."""
+        lists = [np.asarray(self.elements[int(i)].values) for i in rows]
+        found = links_in_group(int(self.sizes[rows[0]]), self.added[rows], lists, self.open_[rows],
+                               percent, most_work, side)
+        return found if found is None else [
+            (int(self.nodes[rows[i]]), int(self.nodes[rows[j]])) for i, j in found]
+
+
+def _as_table(links: list) -> pa.Table:
+    a, b = zip(*links, strict=True) if links else ((), ())
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _links_of_groups(percent: int, most_work: int):
     """Per group its links, or one row of its base and null if it is too much for a task."""
     def run(table: pa.Table) -> pa.Table:
-        base, nodes, sizes, added = (table.column(c).to_numpy()
-                                     for c in ("base", "node", "size", "n_added"))
-        open_ = ~table.column("linked").to_numpy(zero_copy_only=False).astype(bool)
-        elements = table.column("elements").combine_chunks()
-        order = np.lexsort((nodes, base))
-        a, b = [], []
+        members, base, out = _Members.of(table), table.column("base").to_numpy(), []
+        order = np.lexsort((members.nodes, base))
         for rows in np.split(order, np.flatnonzero(np.diff(base[order])) + 1):
-            lists = [np.asarray(elements[int(i)].values) for i in rows]
-            links = links_in_group(int(sizes[rows[0]]), added[rows].astype(np.int64), lists,
-                                   open_[rows], percent, most_work)
-            if links is None:
-                a.append(int(base[rows[0]]))
-                b.append(None)
-                continue
-            for i, j in links:
-                a.append(int(nodes[rows[i]]))
-                b.append(int(nodes[rows[j]]))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            found = members.links(rows, percent, most_work)
+            out += [(int(base[rows[0]]), None)] if found is None else found
+        return _as_table(out)
     return run
 
 
-def _group_links(known: DataFrame, tasks: int, percent: int, most_work: int | None = None
-                 ) -> DataFrame:
+def _links_of_blocks(percent: int):
+    """Links of one block, or between two."""
+    def run(table: pa.Table) -> pa.Table:
+        members = _Members.of(table)
+        order = np.argsort(members.nodes)
+        side = table.column("side").to_numpy()[order]
+        if side[0] < 0:
+            return _as_table(members.links(order, percent))
+        if (side == side[0]).all():
+            return _as_table([])  # the other block is empty
+        return _as_table(members.links(order, percent, side=side))
+    return run
+
+
+_MEMBER = ("base", "node", "linked", "size", "n_added", "elements")
+
+
+def _group_links(known: DataFrame, tasks: int, percent: int, most_work: int) -> DataFrame:
     """Links inside the groups of ``known`` (base, node and differences), each held by a task;
-    with ``most_work``, (base, null) for the groups that need more."""
-    return (known.select("base", "node", "linked", "size", "n_added", "elements")
-            .groupBy(F.pmod(F.xxhash64("base"), F.lit(tasks)).alias("task"))
+    (base, null) for the groups that need more than ``most_work``."""
+    return (known.select(*_MEMBER).groupBy(F.pmod(F.xxhash64("base"), F.lit(tasks)).alias("task"))
             .applyInArrow(_links_of_groups(percent, most_work), "a bigint, b bigint"))
 
 
-def _small_links(buckets: DataFrame, known: DataFrame, stage: Stage, percent: int) -> DataFrame:
-    """All links inside buckets of at most SMALL members, which a task can hold."""
-    sets = (buckets.groupBy("base", "key")
-            .agg(F.sort_array(F.collect_list("node")).alias("nodes"))  # SMALL at most
-            .select("base", "nodes").distinct())  # the differences of one edit give equal sets
-    rows = stage(sets.select("base", F.xxhash64("base", "nodes").alias("set"),
-                             F.explode("nodes").alias("node")), "small_sets")
-    found = rows.join(known, ["base", "node"]).drop("base").withColumnRenamed("set", "base")
-    return stage(_group_links(found, rows.count() // 20_000 + 1, percent), "small_links")
+def _block_links(known: DataFrame, large: DataFrame, percent: int) -> DataFrame:
+    """Links inside the groups ``large`` (base, total, n), two blocks of a group's members a task."""
+    blocks = F.ceil(F.greatest(F.col("total") / BLOCK_ELEMENTS, F.col("n") / SMALL))
+    copies = (known.select(*_MEMBER).join(large.select("base", blocks.alias("blocks")), "base")
+              .withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
+    first, second = F.least("block", "other"), F.greatest("block", "other")
+    side = F.when(F.col("block") == F.col("other"), -1).otherwise(
+        (F.col("block") > F.col("other")).cast("int"))
+    pairs = copies.select(*_MEMBER, first.alias("first"), second.alias("second"), side.alias("side"))
+    # A block meets itself in a task of its own and the others as one of two sides.
+    return (pairs.groupBy("base", "first", "second")
+            .applyInArrow(_links_of_blocks(percent), "a bigint, b bigint"))
 
 
 def find_links(buckets: DataFrame, texts: DataFrame, stage: Stage, percent: int = PERCENT
                ) -> DataFrame | None:
     """The components of the classes: (node, root), or None where no two share a key.
 
-    The first round compares texts. From then on a member is known by its differences from the
-    leader of that round, its *base*, which decide every further link between its members.
+    Texts are compared with those of leaders. From then on a member is known by its differences
+    from a leader, its *base*, which decide every further link between the base's members.
     """
     if buckets.isEmpty():
         return None
-    leaders = leaders_of(buckets, stage, 1)
+    leaders = leaders_of(buckets, stage)
     members = stage(
-        buckets.join(leaders, "key")
-        .select(F.col("leaders")[0].alias("leader"), "node").distinct().where("leader <> node"),
+        buckets.join(leaders, "key").select("leader", "node").distinct().where("leader <> node"),
         "members")
     known = stage(
         members.join(texts.withColumnRenamed("text", "member_text"), "node")
@@ -439,54 +475,25 @@ def find_links(buckets: DataFrame, texts: DataFrame, stage: Stage, percent: int
               "leader")
         .select("leader", "node", "leader_text", "member_text")
         .mapInArrow(_compare_texts(percent), "leader bigint, node bigint, " + _VERIFIED), "verified")
-    pair = [F.col("leader").alias("a"), F.col("node").alias("b")]
-    links = known.where("linked").select(*pair)
-    roots = connected_components(links, stage)
+    links = known.where("linked").select(F.col("leader").alias("a"), F.col("node").alias("b"))
     known = known.withColumnRenamed("leader", "base")
-    # Groups with a member that is not linked to the base. The usual ones are finished at once.
+    # Groups with a member that is not linked to the base. The usual ones are held by a task.
     groups = stage(
         known.groupBy("base").agg(F.sum(F.size("elements")).alias("total"),
                                   F.count(F.lit(1)).alias("n"),
                                   F.bool_or(~F.col("linked")).alias("open"))
-        .where("open and n > 1").select("base", "total"), "open_groups")
+        .where("open and n > 1").select("base", "total", "n"), "open_groups")
     fits = F.col("total") <= GROUP_ELEMENTS
     total = groups.where(fits).agg(F.sum("total")).first()[0] or 0
     done = stage(_group_links(
         known.join(groups.where(fits), "base", "left_semi"),
         int(4 * total // max(1, GROUP_ELEMENTS)) + 1, percent, GROUP_WORK), "group_links")
     links = links.unionByName(done.where("b IS NOT NULL"))
-    rest = groups.where(~fits).select("base").unionByName(
-        done.where("b IS NULL").select(F.col("a").alias("base")))
-    large = known.join(rest, "base", "left_semi")
-    buckets = _next_buckets(large.withColumn("chain", F.col("base")), roots, stage)
-    many = 1
-    while not buckets.isEmpty():
-        links = links.unionByName(
-            _small_links(buckets.where(F.col("n") <= SMALL), known, stage, percent))
-        buckets = buckets.where(F.col("n") > SMALL)
-        if buckets.isEmpty():
-            break
-        leaders = leaders_of(buckets, stage, many)
-        members = stage(
-            buckets.join(leaders, "key")
-            .select("base", F.xxhash64("base", "leaders").alias("chain"), "leaders", "node")
-            .distinct(), "members")
-        pairs = (members.select("base", F.explode("leaders").alias("leader"), "node")
-                 .where("leader <> node").distinct())
-
-        def side(name: str, as_node: str) -> DataFrame:
-            return known.select("base", F.col("node").alias(as_node),
-                                *[F.col(c).alias(f"{name}_{c}") for c in ("size", "n_added", "elements")])
-
-        verified = stage(
-            pairs.join(side("m", "node"), ["base", "node"]).join(side("l", "leader"), ["base", "leader"])
-            .mapInArrow(_compare_differences(percent),
-                        "base bigint, leader bigint, node bigint, " + _VERIFIED), "verified")
-        links = links.unionByName(verified.where("linked").select(*pair))
-        groups = (members.where(~F.array_contains("leaders", F.col("node")))
-                  .select("base", "chain", F.col("leaders")[0].alias("leader"), "node"))
-        buckets = _next_buckets(groups.join(verified, ["base", "leader", "node"]), roots, stage)
-        many *= 2
+    too_much = done.where("b IS NULL").select(F.col("a").alias("base"))
+    large = stage(groups.where(~fits).unionByName(groups.join(too_much, "base", "left_semi")),
+                  "large_groups")
+    if not large.isEmpty():
+        links = links.unionByName(stage(_block_links(known, large, percent), "block_links"))
     return connected_components(links, stage)
 
 
