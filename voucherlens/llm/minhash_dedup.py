@@ -316,8 +316,8 @@ def links_in_group(size: int, added: np.ndarray, elements: list[np.ndarray], ope
             link(low, i)
     side = np.full(n, -1) if side is None else side
     kinds, which = np.unique(np.concatenate(elements), return_inverse=True)
-    kinds, which = len(kinds), which.astype(np.int32)
-    owner = np.repeat(np.arange(n, dtype=np.int32), lengths)
+    kinds = len(kinds)
+    owner = np.repeat(np.arange(n), lengths)
     row = np.cumsum(lengths) - lengths
     live, before = np.ones(n, dtype=bool), 2 * n
     while 10 * live.sum() < 9 * before:
@@ -360,12 +360,15 @@ def links_in_group(size: int, added: np.ndarray, elements: list[np.ndarray], ope
     own_count = np.bincount(owner[by_owner], minlength=n)
     own_start = np.cumsum(own_count) - own_count
     mine = np.zeros(len(count), dtype=bool)
+    least_gain, most_cost = int(gain[live].min()), int(cost[live].max())
     for i in np.flatnonzero(open_ & (own_count > 0)).tolist():
         keys = which[by_owner[own_start[i]:own_start[i] + own_count[i]]]
         near = posting[concat_ranges(post_start[keys], posted[keys])]
-        near = near[(component.of[near] != component.of[i]) & ((side[near] != side[i]) | (side[i] < 0))
-                    & (gain[near] >= cost[i] - slack) & (cost[near] - slack <= gain[i])]
-        near = np.unique(near)
+        near = np.unique(near[component.of[near] != component.of[i]])
+        if side[i] >= 0:
+            near = near[side[near] != side[i]]
+        if least_gain < cost[i] - slack or most_cost > slack + gain[i]:
+            near = near[(gain[near] >= cost[i] - slack) & (cost[near] <= slack + gain[i])]
         if not len(near):
             continue
         mine[which[row[i]:row[i] + lengths[i]]] = True
